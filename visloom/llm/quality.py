@@ -119,7 +119,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str
     table, bias = model.folded()
     docs = docs.drop("quality_score", "quality_pred")
     schema = docs.select("*", F.lit(0.0).alias("quality_score"), F.lit(0).alias("quality_pred")).schema
-    place = docs.columns.index(text_col)
+    names, place = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +129,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str
                 part = offsets[i : j + 1]
                 x = means(_features(data[part[0] : part[-1]], part - part[0]), table, j - i)[:, 0] + bias
                 score[i:j] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*docs.columns, "quality_score", "quality_pred"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "quality_score", "quality_pred"])
 
     return docs.mapInArrow(run, schema)
 

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visloom.llm import exact_dedup, language_id, quality, token_counts
+from visloom.llm import chat, decontaminate, exact_dedup, language_id, mixing, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest_columns(warc.resolve_revisits(warc.records_from_pages(_table(spark, sf_dir, "pages"))))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), quality.held_out()
     model = quality.fit(quality.learning_rows(docs, _table(spark, sf_dir, "labels"), held))
@@ -20,6 +24,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), quality.held_out("doc_id", 3, 1)
     langs, table = language_id.fit(docs.where(~held))
@@ -33,18 +41,33 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).where("contaminated")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = transcripts = chat.transcripts_of(_table(spark, sf_dir, "conversations"))
+    counts = chat.fit(raw)
+    found = chat.formatted(transcripts.withColumn("key", F.struct("conv_id", "page", "true_roles")), counts)
+    return found.select("key.conv_id", "key.page", "n_turns", F.array_join("roles", ",").alias("roles"), F.array_join("key.true_roles", ",").alias("true_roles"), "rendered")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc_revisits": op2_warc_revisits,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_mixing": op4_mixing,
         "op6_language_id": op6_language_id,
         "op7_token_counts": op7_token_counts,
+        "op8_decontamination": op8_decontamination,
+        "op9_chat_format": op9_chat_format,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_warc_revisits": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
