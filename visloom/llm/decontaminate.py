@@ -151,6 +151,41 @@ def shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
             yield found
 
 
+def verified(column: pa.Array, index: Index, dense: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float, overlap: float, part: float, k: int) -> Iterator[tuple]:
+    """(row, item id, score, item, question and answer overlap, contaminated) of each retrieved pair of a text column."""
+    data, offsets = utf8(column)
+    for i, j in slices(offsets):
+        words, doc = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        if not len(words):
+            continue
+        found = candidates(words, doc, index, dense, threshold)
+        for d in np.unique(found[:, 0]).astype(int):
+            own = words[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
+            held, _ = shingle_hashes(own, np.zeros(len(own), np.int64), 1, k)
+            for _, x, score in found[found[:, 0] == d]:
+                w, q, a = (float(np.isin(s[int(x)], held).mean()) for s in (index.whole, index.question, index.answer))
+                yield i + d, index.ids[int(x)], float(score), w, q, a, w >= overlap and q >= part and a >= part
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, k: int = 5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the contaminated documents; a filter inside the scan, without a shuffle."""
+    place = docs.columns.index(text_col)
+
+    def keep(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dense = index.dense()
+            for batch in batches:
+                ok = np.ones(batch.num_rows, bool)
+                ok[[r[0] for r in verified(batch.column(place), index, dense, threshold, overlap, part, k) if r[-1]]] = False
+                yield batch.filter(pa.array(ok))
+
+        return run
+
+    for group in shards(items, item_id, item_text):
+        docs = docs.mapInArrow(keep(build_index(group, k)), docs.schema)
+    return docs
+
+
 def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Verified (doc_id, item_id, score, item_overlap, question_overlap, answer_overlap, contaminated) rows of retrieved pairs.
 
@@ -165,22 +200,10 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dense = index.dense()
             for batch in batches:
-                data, offsets = utf8(batch.column(1))
-                for i, j in slices(offsets):
-                    words, doc = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    if not len(words):
-                        continue
-                    out = []
-                    found = candidates(words, doc, index, dense, threshold)
-                    for d in np.unique(found[:, 0]).astype(int):
-                        own = words[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-                        held, _ = shingle_hashes(own, np.zeros(len(own), np.int64), 1, k)
-                        for _, x, score in found[found[:, 0] == d]:
-                            w, q, a = (float(np.isin(s[int(x)], held).mean()) for s in (index.whole, index.question, index.answer))
-                            out.append((i + d, index.ids[int(x)], float(score), w, q, a, w >= overlap and q >= part and a >= part))
-                    if out:
-                        c = list(zip(*out))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0])), pa.array(c[1], kind), *(pa.array(x) for x in c[2:])], ["doc_id", "item_id", "score", "item_overlap", "question_overlap", "answer_overlap", "contaminated"])
+                out = list(verified(batch.column(1), index, dense, threshold, overlap, part, k))
+                if out:
+                    c = list(zip(*out))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0])), pa.array(c[1], kind), *(pa.array(x) for x in c[2:])], ["doc_id", "item_id", "score", "item_overlap", "question_overlap", "answer_overlap", "contaminated"])
 
         return run
 

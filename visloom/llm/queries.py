@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visloom.llm import chat, decontaminate, exact_dedup, language_id, mixing, quality, token_counts, warc
+from visloom.llm import chat, decontaminate, exact_dedup, language_id, mixing, near_dup, quality, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest_columns(warc.resolve_revisits(warc.records_from_pages(_table(spark, sf_dir, "pages"))))
 
@@ -28,6 +33,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), near_dup.Rule(k=4, num=85, den=100))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), quality.held_out("doc_id", 3, 1)
     langs, table = language_id.fit(docs.where(~held))
@@ -58,9 +67,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_warc_revisits": op2_warc_revisits,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_mixing": op4_mixing,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_language_id": op6_language_id,
         "op7_token_counts": op7_token_counts,
         "op8_decontamination": op8_decontamination,
