@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from visloom.llm.textbytes import Rolling, mix, slices, utf8
 from visloom.storage import written
 
-GRAM, CELL, SEGMENT = 32, 8, 2_000_000
+GRAM, CELL, SEGMENT = 32, 16, 2_000_000
 _POSITION = 22
 _RUN = "rk long, p long, n int, x int, g long, e long"
 
@@ -88,34 +88,39 @@ def _runs_of(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, _RUN)
 
 
+def _cut(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell number) of every cell of runs that start x before their anchor.
+
+    A start's distance from the anchor is x - (start - first start); cells are multiples of CELL in that distance.
+    """
+    hi, lo = x // CELL, (x - n + 1) // CELL
+    many = (hi - lo + 1).astype(np.int64)
+    row = np.repeat(np.arange(len(x)), many)
+    return row, hi[row] - (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
+
+
+def _salt(g: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return mix(g.view(np.uint64) + q.astype(np.int64).view(np.uint64) * np.uint64(0x9E37))
+
+
 def _cells(texts: DataFrame, length: int) -> DataFrame:
-    """Rows (rk, p, n, x, g, c, bytes) -> one row a cell: id, c, q, start, n, core and whole rank, and its bytes."""
+    """Rows (rk, p, n, x, g, c, bytes) -> one row a cell: its run, number, core and whole rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = _bytes(b.column(6))
             rk, p, n, x, g, c = (b.column(i).to_numpy() for i in range(6))
-            # a start's distance from the anchor is x - (start - p); cells are multiples of CELL in that distance
-            hi, lo = x // CELL, (x - n + 1) // CELL
-            many = hi - lo + 1
-            row = np.repeat(np.arange(len(x)), many)
-            q = hi[row] - (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
+            row, q = _cut(x, n)
             top, bottom = np.minimum(x[row], q * CELL + CELL - 1), np.maximum(x[row] - n[row] + 1, q * CELL)
-            at, size = x[row] - top, top - bottom + 1
-            roll = Rolling(data)
-            o = offsets[row]
-            begin = o + at
-            core0 = o + x[row] - q * CELL
-            core1 = o + x[row] - (q * CELL + CELL - 1) + length
-            salt = mix(g[row].view(np.uint64) + q.astype(np.int64).view(np.uint64) * np.uint64(0x9E37))
-            core = mix(roll.of(core0, core1) ^ salt)
-            whole = mix(roll.of(begin, begin + size - 1 + length) ^ mix(salt + bottom.astype(np.int64).view(np.uint64)))
+            o, roll, salt = offsets[row] + x[row], Rolling(data), _salt(g[row], q)
+            core = mix(roll.of(o - q * CELL, o - (q * CELL + CELL - 1) + length) ^ salt)
+            whole = mix(roll.of(o - top, o - bottom + length) ^ mix(salt + bottom.astype(np.int64).view(np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rk[row]), pa.array(p[row] + at), pa.array(size.astype(np.int32)), pa.array(c[row]), pa.array(bottom.astype(np.int32)), pa.array(salt.view(np.int64)), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([data[s : s + k - 1 + length].tobytes() for s, k in zip(begin, size)], pa.binary())],
-                ["rk", "p", "n", "c", "low", "salt", "core", "whole", "bytes"],
+                [pa.array(rk[row]), pa.array(p[row].astype(np.int32)), pa.array(q.astype(np.int32)), pa.array((p + x)[row].astype(np.int32) - top.astype(np.int32)), pa.array((top - bottom + 1).astype(np.int32)), pa.array(c[row] == 1), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))],
+                ["rk", "p", "q", "start", "n", "open", "core", "whole"],
             )
 
-    return texts.mapInArrow(run, "rk long, p long, n int, c long, low int, salt long, core long, whole long, bytes binary")
+    return texts.mapInArrow(run, "rk long, p int, q int, start int, n int, open boolean, core long, whole long")
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,21 +128,25 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
 
 
-def _windows(cells: DataFrame, length: int) -> DataFrame:
-    """One row a window of each cell: rk, p, c and its rank."""
+def _windows(rows: DataFrame, length: int) -> DataFrame:
+    """Rows (rk, p, n, x, g, c, bytes, cells) -> one row a window of each of these cells: rk, p, open and its rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = _bytes(b.column(6))
-            rk, p, n, c, low, salt = (b.column(i).to_numpy() for i in range(6))
-            row = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            begin = offsets[row] + k
-            x = low[row] + n[row] - 1 - k
-            h = mix(Rolling(data).of(begin, begin + length) ^ mix(salt[row].view(np.uint64) + x.astype(np.int64).view(np.uint64) * np.uint64(0x85EB)))
-            yield pa.RecordBatch.from_arrays([pa.array(rk[row]), pa.array(p[row] + k), pa.array(c[row]), pa.array(h.view(np.int64))], ["rk", "p", "c", "h"])
+            rk, p, n, x, g, c = (b.column(i).to_numpy() for i in range(6))
+            lists = b.column(7)
+            flat, many = lists.flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy())
+            run_of = np.repeat(np.arange(b.num_rows), many)
+            away = (flat[:, None] * CELL + np.arange(CELL)[None, :]).ravel()
+            row = np.repeat(run_of, CELL)
+            inside = (away <= x[row]) & (away >= x[row] - n[row] + 1)
+            row, away = row[inside], away[inside]
+            begin = offsets[row] + x[row] - away
+            h = mix(Rolling(data).of(begin, begin + length) ^ mix(_salt(g[row], away) + np.uint64(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(rk[row]), pa.array((p + x)[row] - away), pa.array(c[row] == 1), pa.array(h.view(np.int64))], ["rk", "p", "open", "h"])
 
-    return cells.select("rk", "p", "n", "c", "low", "salt", "bytes").mapInArrow(run, "rk long, p long, c long, h long")
+    return rows.select("rk", "p", "n", "x", "g", "c", "bytes", "cells").mapInArrow(run, "rk long, p long, open boolean, h long")
 
 
 def _slices_of(rows: DataFrame, length: int) -> DataFrame:
@@ -168,17 +177,20 @@ def repeated_starts(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 
     # one run stands for all of its second rank; only runs unique in it are still open
     open_runs = ranked.select("r.rk", F.struct("r.rk", "r.p", "r.n", "r.x", "g", "c").alias("run")).groupBy("rk").agg(F.collect_list("run").alias("runs"))
-    cut = _slices_of(keyed.join(open_runs, "rk").select("text", "runs"), length)
+    cut = written(_slices_of(keyed.join(open_runs, "rk").select("text", "runs"), length), "repeat-slices")
     cells = written(_cells(cut, length), "repeat-cells")
     cores = cells.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("k > 1").select("core", (F.col("lo") < F.col("hi")).alias("mixed"))
-    wholes = cells.groupBy("whole").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("whole", F.lit(True).alias("twice"))
-    judged = written(cells.join(cores, "core").join(wholes, "whole", "left"), "repeat-judged")
-    cell_hits = judged.where("twice AND c = 1").select("rk", "p", "n")
-
-    one = written(_windows(judged.where("mixed"), length), "repeat-windows")
-    twice = one.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    window_hits = one.where("c = 1").join(twice, "h").select("rk", "p", F.lit(1).alias("n"))
-    return done.unionByName(again).unionByName(cell_hits).unionByName(window_hits)
+    judged = written(cells.join(cores, "core").drop("core"), "repeat-judged")
+    cell_hits = judged.where("NOT mixed AND open").select("rk", F.col("start").cast("long").alias("p"), "n")
+    doubtful = judged.where("mixed")
+    wholes = doubtful.groupBy("whole").agg(F.count(F.lit(1)).alias("k"), F.max("open").alias("some")).where("k > 1 AND some").select("whole")
+    whole_hits = doubtful.where("open").join(wholes, "whole").select("rk", F.col("start").cast("long").alias("p"), "n")
+
+    picked = doubtful.groupBy("rk", "p").agg(F.collect_list("q").alias("cells")).withColumn("p", F.col("p").cast("long"))
+    one = written(_windows(cut.join(picked, ["rk", "p"]), length), "repeat-windows")
+    twice = one.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max("open").alias("some")).where("k > 1 AND some").select("h")
+    window_hits = one.where("open").join(twice, "h").select("rk", "p", F.lit(1).alias("n"))
+    return done.unionByName(again).unionByName(cell_hits).unionByName(whole_hits).unionByName(window_hits)
 
 
 def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
