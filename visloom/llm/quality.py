@@ -77,13 +77,19 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, n
     return positions(data, offsets, BITS, GRAMS, words=True, lower=False)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", max_rows: int = 3000) -> Model:
-    """Model from a sample of ``max_rows`` expected rows of each label."""
-    rows = labelled.where(F.col(label_col).isin(0, 1))
-    sizes = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
-    share = F.coalesce(*[F.when(F.col(label_col) == k, F.lit(min(1.0, max_rows / n))) for k, n in sizes.items()], F.lit(0.0))
+def sample(labels: DataFrame, id_col: str = "doc_id", max_rows: int = 3000) -> DataFrame:
+    """About ``max_rows`` rows of each label of (id, label), by a hash of the id; twice that in all is a hard bound a label."""
+    sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, max_rows / n))) for k, n in sizes.items()], F.lit(0.0))
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    sample = rows.where(unit < share).select(F.col(label_col).cast("int").alias("label"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    return labels.where(unit < share).limit(2 * max_rows * max(1, len(sizes)))
+
+
+def fit(docs: DataFrame, sampled: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """Model from the documents of a bounded sample (id, label), which is broadcast: documents never move."""
+    chosen = F.broadcast(sampled.withColumnRenamed(id_col, "_id"))
+    rows = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("_id"))
+    sample = rows.select(F.col("label").cast("int").alias("label"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,10 +140,10 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str
     return docs.mapInArrow(run, schema)
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, held: Column) -> DataFrame:
-    """Rows to learn from: doc_id, text, label; one row per labelled id that is not held out."""
-    lab = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    return docs.select("doc_id", "text").where(~held).join(lab, "doc_id")
+def learning_labels(labels: DataFrame, held: Column) -> DataFrame:
+    """(doc_id, label) to learn from; one row per labelled id that is not held out."""
+    ok = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
+    return ok.groupBy("doc_id").agg(F.max("quality").alias("label"))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:

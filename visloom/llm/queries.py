@@ -24,7 +24,7 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), quality.held_out()
-    model = quality.fit(quality.learning_rows(docs, _table(spark, sf_dir, "labels"), held))
+    model = quality.fit(docs, quality.sample(quality.learning_labels(_table(spark, sf_dir, "labels"), held)))
     found = quality.scored(docs.select("doc_id", "text", held.alias("held_out")), model, threshold=0.3)
     return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
 
