@@ -44,8 +44,8 @@ def domains(labels: DataFrame) -> DataFrame:
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> tuple[list[str], list[float], DataFrame]:
     """(domains, log priors, table of bucket and one log likelihood a domain).
 
-    Word counts come from about ``max_rows`` labelled documents a domain, chosen by a hash of the id; priors
-    from all labels.  The table has BUCKETS rows, whatever the corpus.
+    Word counts come from about ``max_rows`` labelled documents a domain, chosen by a hash of the id (twice that is a
+    hard bound, so the sample is broadcast and texts stay where they are); priors come from all labels.  The table has BUCKETS rows, whatever the corpus.
     """
     lab = domains(labels)
     sizes = {r["domain"]: r["count"] for r in lab.groupBy("domain").count().collect()}
@@ -53,8 +53,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) ->
     if not names:
         return ["all"], [0.0], docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0.0).alias("l0"))
     share = F.coalesce(*[F.when(F.col("domain") == k, F.lit(min(1.0, max_rows / n))) for k, n in sizes.items()])
-    lab = lab.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1_000_000)) / 1e6 < share)
-    words = docs.select("doc_id", "text").join(lab, "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("w"))
+    lab = lab.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1_000_000)) / 1e6 < share).limit(2 * max_rows * len(names))
+    words = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("w"))
     counts = words.groupBy(_bucket(F.col("w")).alias("bucket")).agg(*[F.count(F.when(F.col("domain") == k, 1)).alias(f"c{i}") for i, k in enumerate(names)])
     counts = written(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0), "mixing-counts")
     total = counts.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(names))]).head()
