@@ -6,8 +6,8 @@ later one); each line emits a marker class and a shape class (blank, question, l
 emission counts come from lines whose roles are known; smoothed log probabilities drive Viterbi decoding.
 
 Defined results: a null or empty transcript has no turns and renders as ""; a line is never lost, blank lines
-inside a turn stay; equal transcripts get equal results; an empty training table gives a uniform model in which
-markers alone decide; a very long transcript is decoded in segments of SEGMENT lines that start from the state before.
+inside a turn stay; equal transcripts get equal results; an empty training table leaves only the prior, in
+which markers alone decide; a very long transcript is decoded in segments of SEGMENT lines that start from the state before.
 """
 
 from __future__ import annotations
@@ -62,6 +62,8 @@ def model_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     """
     start, move, mark, shape = counts[:6], counts[6:42].reshape(6, 6), counts[42:66].reshape(6, 4), counts[66:].reshape(6, SHAPES)
     log = lambda x: np.log((x + 0.5) / (x + 0.5).sum(-1, keepdims=True))
+    # a few counts of what a marker means: a turn's first line bears its own, a later line none
+    mark = mark + np.array([[0, 6, 0, 0], [9, 0, 0, 0], [0, 0, 6, 0], [9, 0, 0, 0], [0, 0, 0, 6], [9, 0, 0, 0]])
     a, p = log(move), log(start)
     p[1::2] = -1e9
     for i in range(6):
