@@ -168,7 +168,8 @@ def repeated_starts(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     keyed = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
     every = written(_runs_of(keyed, length), "repeat-runs")
     shared = every.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("e").alias("lo"), F.max("e").alias("hi")).where("c > 1").select("g", (F.col("lo") < F.col("hi")).alias("mixed"))
-    some = written(every.join(shared, "g"), "repeat-shared")
+    # as a table of its own, so that both sides of the join are plain exchanges and a hot rank can be split
+    some = written(every.join(written(shared, "repeat-ranks"), "g"), "repeat-shared")
     done = some.where("NOT mixed").select("rk", "p", "n")
 
     mixed = some.where("mixed")
