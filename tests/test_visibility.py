@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from visloom.functions import columns as C
-from visloom.operators import visibility as V
-from visloom.plans import imager
-from visloom.sources import tables as T
+from visloom.operators import fourier, visibility as V, wavelets
+from visloom.plans import imager, solvers
+from visloom.sources import fits, tables as T
+from visloom.streaming.averaging import averaged_stream
 
 
 def one(spark, **cols):
@@ -66,3 +67,108 @@ def test_empty_shelf_is_an_error(spark, tmp_path):
     (tmp_path / "s.csv").write_text("")
     with pytest.raises(ValueError):
         T.shelf(spark, str(tmp_path / "s.csv"))
+
+
+def _samples(spark, count=400, seed=1):
+    rng = np.random.default_rng(seed)
+    u, v = rng.uniform(-3, 3, count), rng.uniform(-3, 3, count)
+    truth = {(0, 0): 1.0, (2, -3): 0.5}
+    y = sum(a * np.exp(-1j * (u * x + v * yy)) for (yy, x), a in truth.items())
+    schema = "u double, v double, re double, im double, weight double"
+    return spark.createDataFrame([tuple(map(float, r)) + (1.0,) for r in zip(u, v, y.real, y.imag)], schema), truth
+
+
+def test_adjoint_matches_forward(spark):
+    rows, _ = _samples(spark, 50)
+    rows = rows.union(spark.createDataFrame([(None, 1.0, 1.0, 1.0, 1.0)], rows.schema))
+    image = np.random.default_rng(3).normal(size=(6, 6))
+    kept = fourier.predicted(rows.na.drop(), image)
+    left = kept.select(F.sum(F.col("re") * F.col("re_model") + F.col("im") * F.col("im_model"))).first()[0]
+    back = {(r["y"], r["x"]): r["dirty"] for r in fourier.dirty_image(rows, 6).collect()}
+    assert left == pytest.approx(sum(back[(y - 3, x - 3)] * image[y, x] for y in range(6) for x in range(6)))
+    assert fourier.predicted(rows, image).where("u is null and re_model is null").count() == 1
+
+
+def test_fourier_sums_of_no_rows(spark):
+    rows, _ = _samples(spark, 2)
+    assert fourier.dirty_image(rows.where("false"), 4).count() == 0
+    assert fourier.predicted(rows.where("false"), np.ones((4, 4))).count() == 0
+    with pytest.raises(ValueError):
+        fourier.dirty_image(rows, fourier.MAX_SIDE + 1)
+
+
+def _close_to(image, truth):
+    best = {(r["y"], r["x"]): r["model"] for r in image.collect()}
+    assert min(best.values()) >= 0
+    assert all(best[at] == pytest.approx(v, abs=0.1) for at, v in truth.items())
+
+
+def test_reweighted_reconstruction(spark):
+    rows, truth = _samples(spark)
+    image = solvers.reweighted_sparse(rows, 8)
+    m = imager.metrics(image).head()
+    assert m["residual_norm"] < 0.1 * m["dirty_norm"]
+    _close_to(image, truth)
+
+
+def test_denoised_reconstruction_picks_from_the_shelf(spark):
+    rows, truth = _samples(spark)
+    seen = []
+
+    def denoiser(x, sigma):
+        seen.append(sigma)
+        return np.where(x > sigma, x, 0)
+
+    _close_to(solvers.denoised(rows, 8, [1e-3, 1e-2, 1e-1], denoiser), truth)
+    assert set(seen) <= {1e-3, 1e-2, 1e-1}
+    assert solvers.pick(T.SHELF, 3e-5) == (2e-5, 2e-5, 4e-5)
+    assert solvers.pick(T.SHELF, 1e-6) == (2.5e-6, 0.0, 2.5e-6)
+    assert solvers.pick(T.SHELF, 1.0) == (3.2e-4, 3.2e-4, math.inf)
+
+
+def test_constrained_reconstruction(spark):
+    rows, truth = _samples(spark, 200)
+    image = solvers.constrained(rows, 8, 0.5, lambda x: np.maximum(x, 0), steps=12)
+    m = imager.metrics(image).head()
+    assert m["residual_norm"] < 0.3 * m["dirty_norm"]
+
+
+def test_dictionary_keeps_the_norm_and_inverts():
+    words, x = solvers.Dictionary(16), np.random.default_rng(5).normal(size=(16, 16))
+    c = words.analysis(x)
+    assert np.linalg.norm(c) == pytest.approx(np.linalg.norm(x))
+    assert np.allclose(words.synthesis(c), x)
+
+
+def test_quarter_turns_and_mirrors_undo(spark):
+    rows = spark.range(8).select(F.col("id").alias("vec_id"), (F.col("id") % 4).cast("int").alias("turns"), (F.col("id") >= 4).alias("flip"))
+    image = rows.crossJoin(spark.range(16).select((F.col("id") / 4).cast("int").alias("y"), (F.col("id") % 4).cast("int").alias("x"), F.col("id").cast("double").alias("v")))
+    turned = wavelets.oriented(image, 4)
+    grid = np.arange(16.0).reshape(4, 4)
+    for r in turned.collect():
+        want = np.rot90(grid[:, ::-1] if r["flip"] else grid, r["turns"])
+        assert want[r["y"], r["x"]] == r["v"]
+    assert wavelets.oriented(turned, 4, back=True).exceptAll(image.select(*turned.columns)).count() == 0
+
+
+def test_fits_round_trip(spark, tmp_path):
+    image = np.random.default_rng(2).normal(size=(3, 5))
+    (tmp_path / "a.fits").write_bytes(fits.encode(image))
+    (tmp_path / "b.fits").write_bytes(fits.encode(image * 2))
+    rows = fits.read_images(spark, str(tmp_path / "*.fits"))
+    assert rows.count() == 30
+    back = {r["path"]: fits.decode(bytes(r["content"])) for r in fits.files_of(rows).collect()}
+    assert sorted(np.round(b / image, 9).max() for b in back.values()) == [1, 2]
+    with pytest.raises(ValueError):
+        fits.decode(b" " * 2880)
+
+
+def test_stream_averages_by_window(spark, tmp_path):
+    schema = "ts timestamp, ant1 int, ant2 int, ch int, re double, im double, nw double, flagged boolean"
+    rows = [("2024-01-01 00:00:01", 1.0, 1.0, False), ("2024-01-01 00:00:09", 4.0, 2.0, False), ("2024-01-01 00:00:12", 7.0, 1.0, False), ("2024-01-01 00:00:13", 99.0, 1.0, True)]
+    df = spark.createDataFrame([(t, 0, 1, 0, re, 0.0, nw, f) for t, re, nw, f in rows], schema.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(str(tmp_path / "in"))
+    out = averaged_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    q = out.writeStream.outputMode("complete").format("memory").queryName("averages").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r["n"], r["re"]) for r in spark.table("averages").orderBy("start").collect()] == [(2, pytest.approx(3.4)), (1, 7.0)]

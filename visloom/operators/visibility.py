@@ -110,17 +110,6 @@ def choose_denoiser(ratios: DataFrame, shelf: DataFrame) -> DataFrame:
     return ratios.join(F.broadcast(spans), (F.col("ratio") >= F.col("lo")) & (F.col("ratio") < F.col("hi"))).drop("lo", "hi", "rank")
 
 
-def dirty_image(vis: DataFrame, n: int) -> DataFrame:
-    """Exact adjoint Fourier sum of weighted rows (u, v in [-pi, pi], re, im, weight) on n x n pixels, and the PSF.
-
-    Each task sums over the fixed pixel grid; only the pixel sums are shuffled.
-    """
-    axis = F.sequence(F.lit(-(n // 2)), F.lit(n - n // 2 - 1))
-    rows = vis.select("u", "v", "re", "im", "weight", F.explode(axis).alias("y")).select("*", F.explode(axis).alias("x"))
-    phase = F.col("u") * F.col("x") + F.col("v") * F.col("y")
-    return rows.groupBy("y", "x").agg(F.sum(F.col("weight") * (F.col("re") * F.cos(phase) - F.col("im") * F.sin(phase))).alias("dirty"), F.sum(F.col("weight") * F.cos(phase)).alias("psf"))
-
-
 def rank_one_projections(vis: DataFrame, count: int, seed: int = 1) -> DataFrame:
     """Per snapshot and projection: sum of conj(a[ant1]) y a[ant2] with unit-modulus antenna phases from a portable hash."""
     angle = lambda a: (((F.col(a) * 7919 + F.col("k") * 104729 + seed * 31) % 1009) / 1009.0) * (2 * math.pi)
@@ -150,3 +139,30 @@ def periodic_filter(signals: DataFrame, taps: list[float], size: int) -> DataFra
     rows = signals.select("vec_id", "i", "v", F.posexplode(tap).alias("j", "tap"))
     at = F.pmod(F.col("i") - F.col("j"), F.lit(size))
     return rows.where(at % 2 == 0).groupBy("vec_id", (at / 2).cast("int").alias("k")).agg(F.sum(F.col("v") * F.col("tap")).alias("v"))
+
+
+def stacks_needed(vis: DataFrame, field: float) -> DataFrame:
+    """Per channel the w stacks that a field of view (radians) asks for: ch, stacks, far (largest |w|, wavelengths)."""
+    far = F.max(F.abs("w"))
+    bend = 1 - math.sqrt(1 - 2 * math.sin(field / 2) ** 2)
+    return vis.groupBy("ch").agg(F.ceil(far * 2 * math.pi * bend).cast("int").alias("stacks"), far.alias("far"))
+
+
+def projected_on_ball(vis: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """re, im moved onto the l2 ball around (re0, im0) of each group; radius scale * sqrt(m + 2 sqrt(m)).  Adds shrink.
+
+    Groups are reduced to one row each before they meet the rows again, so a hot group costs a partial sum a task.
+    """
+    m = F.count(F.lit(1))
+    gap = F.sqrt(F.sum(F.col("nw") ** 2 * ((F.col("re") - F.col("re0")) ** 2 + (F.col("im") - F.col("im0")) ** 2)))
+    radius = scale * F.sqrt(m + 2 * F.sqrt(m))
+    norms = vis.groupBy(*keys).agg(F.when(gap > 0, F.least(F.lit(1.0), radius / gap)).otherwise(1.0).alias("shrink"))
+    moved = {a: F.col(f"{a}0") + (F.col(a) - F.col(f"{a}0")) * F.col("shrink") for a in ("re", "im")}
+    return vis.join(norms, keys).withColumns(moved)
+
+
+def sampled(vis: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """Rows whose key hash falls under the fraction: the same rows on every engine and partitioning, without a sort."""
+    ring = 1000003
+    key = F.col("ant1").cast("long") * 7919 + F.col("ant2").cast("long") * 104729 + F.col("t").cast("long") * 1299709 + F.col("ch").cast("long") * 15485863 + F.round("w_m").cast("long") * 32452843 + seed
+    return vis.where(F.pmod(key, F.lit(ring)) < fraction * ring)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from visloom.operators.visibility import dirty_image
+from visloom.operators.fourier import dirty_image
 
 MAX_SIDE = 512
 

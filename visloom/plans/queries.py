@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from visloom.functions import columns as C
-from visloom.operators import visibility as V
-from visloom.plans import imager
+from visloom.operators import fourier, visibility as V, wavelets
+from visloom.plans import imager, solvers
 from visloom.sources import tables as T
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,7 +133,7 @@ def denoiser_choice(spark, d):
 
 @_query(f"{PRE}, {NORM}, a AS (SELECT unnest(range(-4, 4)) AS i) SELECT CAST(y.i AS INT) AS y, CAST(x.i AS INT) AS x, sum(nw*nw*(re*cos(u*x.i+v*y.i) - im*sin(u*x.i+v*y.i))) AS dirty, sum(nw*nw*cos(u*x.i+v*y.i)) AS psf FROM nrm, a y, a x GROUP BY 1, 2", "dirty psf", "y x")
 def dirty_and_psf(spark, d):
-    return V.dirty_image(_weighted(spark, d), 8)
+    return fourier.dirty_image(_weighted(spark, d), 8)
 
 
 _ANG = "(((%s*7919 + k*104729 + 31) % 1009)/1009.0)*2*" + PI
@@ -235,6 +237,122 @@ def reconstruction(spark, d):
     return imager.reconstruct(_weighted(spark, d), imager.Settings(side=16))
 
 
+_IN = "axis AS (SELECT unnest(range(-4, 4)) AS i)"
+MODEL = [[((3 * y + 5 * x) % 7) / 7 for x in range(8)] for y in range(8)]
+_MODEL = ", ".join(f"({y - 4}, {x - 4}, {v!r}::double)" for y, row in enumerate(MODEL) for x, v in enumerate(row))
+
+
+@_query(f"{PRE}, {NORM}, pix(y, x, a) AS (VALUES {_MODEL}), m AS (SELECT u, v, any_value(0) AS z, sum(a*cos(u*x+v*y)) AS re, -sum(a*sin(u*x+v*y)) AS im FROM (SELECT DISTINCT u, v FROM nrm) AS k, pix GROUP BY u, v) SELECT n.t, n.ch, sum(m.re) AS re_model, sum(m.im) AS im_model, sum((n.re-m.re)*(n.re-m.re) + (n.im-m.im)*(n.im-m.im)) AS misfit FROM nrm n JOIN m ON n.u = m.u AND n.v = m.v GROUP BY 1, 2", "re_model im_model misfit", "t ch")
+def forward_model(spark, d):
+    rows = fourier.predicted(_weighted(spark, d).select("t", "ch", "u", "v", "re", "im"), np.array(MODEL))
+    gap = (F.col("re") - F.col("re_model")) ** 2 + (F.col("im") - F.col("im_model")) ** 2
+    return rows.groupBy("t", "ch").agg(F.sum("re_model").alias("re_model"), F.sum("im_model").alias("im_model"), F.sum(gap).alias("misfit"))
+
+
+PIXEL = 0.02
+_STACKED = f"s AS (SELECT min(w_m) AS lo, (max(w_m)-min(w_m))/8 AS st FROM vis WHERE NOT flagged), z AS (SELECT u, v, re, im, nw*nw AS weight, lo + (greatest(0, least(7, floor((w_m-lo)/st)))+0.5)*st AS w0 FROM nrm CROSS JOIN s)"
+
+
+@_query(f"{PRE}, {NORM}, {_STACKED}, {_IN} SELECT CAST(y.i AS INT) AS y, CAST(x.i AS INT) AS x, sum(weight*(re*cos(u*x.i+v*y.i + 2*{PI}*w0*(sqrt(1-({PIXEL}*x.i)*({PIXEL}*x.i)-({PIXEL}*y.i)*({PIXEL}*y.i))-1)) - im*sin(u*x.i+v*y.i + 2*{PI}*w0*(sqrt(1-({PIXEL}*x.i)*({PIXEL}*x.i)-({PIXEL}*y.i)*({PIXEL}*y.i))-1)))/sqrt(1-({PIXEL}*x.i)*({PIXEL}*x.i)-({PIXEL}*y.i)*({PIXEL}*y.i))) AS dirty FROM z, axis y, axis x GROUP BY 1, 2", "dirty", "y x")
+def dirty_w_stacked(spark, d):
+    return fourier.stacked_image(V.nearest_stack(_weighted(spark, d), 8), 8, PIXEL)
+
+
+@_query(f"{PRE}, {WL} SELECT ch, CAST(ceil(max(abs(w))*2*{PI}*(1-sqrt(1-2*sin(0.25)*sin(0.25)))) AS INT) AS stacks, max(abs(w)) AS far FROM lam WHERE NOT flagged GROUP BY ch", "far", "ch stacks")
+def w_stack_count(spark, d):
+    return V.stacks_needed(V.in_wavelengths(V.unflagged(T.visibilities(spark, d)), T.channels(spark)), 0.5)
+
+
+@_query(f"{PRE}, c AS (SELECT ch, freq_hz, count(*) AS n FROM vis JOIN channels USING (ch) WHERE NOT flagged GROUP BY 1, 2) SELECT ch, n, freq_hz/1e6 - lag(freq_hz/1e6) OVER (ORDER BY ch) AS step_mhz, CASE WHEN count(*) OVER () > 1 THEN (max(freq_hz) OVER () - min(freq_hz) OVER ())/(count(*) OVER () - 1)/1e6 ELSE freq_hz/1e6 END AS mean_mhz FROM c", "step_mhz mean_mhz", "ch n")
+def channel_spacing(spark, d):
+    used = V.unflagged(T.visibilities(spark, d)).groupBy("ch").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(T.channels(spark)), "ch")
+    w, every = W.orderBy("ch"), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one row a channel
+    mhz = F.col("freq_hz") / 1e6
+    count = F.count(F.lit(1)).over(every)
+    mean = F.when(count > 1, (F.max(mhz).over(every) - F.min(mhz).over(every)) / (count - 1)).otherwise(mhz)
+    return used.select("ch", "n", (mhz - F.lag(mhz).over(w)).alias("step_mhz"), mean.alias("mean_mhz"))
+
+
+@_query(f"{PRE}, {NORM}, n AS (SELECT ch, sqrt(sum(nw*nw*((re-3)*(re-3)+(im-0)*(im-0)))) AS far, 0.5*sqrt(count(*) + 2*sqrt(count(*))) AS radius FROM nrm GROUP BY ch) SELECT ch, t, sum(3 + (re-3)*least(1, radius/far)) AS re, sum(im*least(1, radius/far)) AS im, max(least(1, radius/far)) AS shrink FROM nrm JOIN n USING (ch) GROUP BY 1, 2", "re im shrink", "ch t")
+def ball_projection(spark, d):
+    rows = V.normalised(V.unflagged(T.visibilities(spark, d)), HALF).withColumns({"re0": F.lit(3.0), "im0": F.lit(0.0)})
+    return V.projected_on_ball(rows, ["ch"], 0.5).groupBy("ch", "t").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.max("shrink").alias("shrink"))
+
+
+_MIX = "((ant1*{a} + ant2*{b} + t*7919 + ch*31 + 104729) % 10007 + 0.5e0)/10007e0"
+_NOISE = f"noise AS (SELECT u, v, nw, sqrt(-2*ln({_MIX.format(a=613, b=1297)}))*cos(2*{PI}*{_MIX.format(a=3571, b=8191)}) AS re, sqrt(-2*ln({_MIX.format(a=613, b=1297)}))*sin(2*{PI}*{_MIX.format(a=3571, b=8191)}) AS im FROM nrm)"
+
+
+@_query(f"{PRE}, {NORM}, {_NOISE}, {_IN}, img AS (SELECT y.i, x.i, sum(nw*(re*cos(u*x.i+v*y.i) - im*sin(u*x.i+v*y.i))) AS d, sum(nw*nw*cos(u*x.i+v*y.i)) AS psf FROM noise, axis y, axis x GROUP BY 1, 2) SELECT stddev_samp(d) AS spread, max(psf) AS peak, stddev_samp(d)/max(psf) AS level FROM img", "spread peak level")
+def noise_heuristic(spark, d):
+    return fourier.noise_level(V.normalised(V.unflagged(T.visibilities(spark, d)), HALF), 8)
+
+
+@_query(f"{PRE} SELECT ch, t, ant1, ant2, w_m, count(*) AS n FROM vis WHERE ((ant1*7919 + ant2*104729 + t*1299709 + ch*15485863 + CAST(round(w_m) AS BIGINT)*32452843 + 42) % 1000003 + 1000003) % 1000003 < 10000.03 GROUP BY 1,2,3,4,5", "w_m", "ch t ant1 ant2 n")
+def sampled_rows(spark, d):
+    return V.sampled(T.visibilities(spark, d), 0.01, 42).groupBy("ch", "t", "ant1", "ant2", "w_m").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LO, _HI = wavelets.daubechies(2), wavelets.high_pass(wavelets.daubechies(2))
+_PAIRS = ", ".join(f"({j}, {a!r}::double, {b!r}::double)" for j, (a, b) in enumerate(zip(_LO, _HI)))
+
+
+@_query(f"WITH {_IMG}, taps(j, lo, hi) AS (VALUES {_PAIRS}), xs AS (SELECT vec_id, y, CAST((x-j+8) % 8 // 2 AS INT) AS x, sum(v*lo) AS l, sum(v*hi) AS h FROM img, taps WHERE (x-j+8) % 2 = 0 GROUP BY 1,2,3), ys AS (SELECT vec_id, x, CAST((y-j+8) % 8 // 2 AS INT) AS y, sum(l*lo) AS ll, sum(h*lo) AS lh, sum(l*hi) AS hl, sum(h*hi) AS hh FROM xs, taps WHERE (y-j+8) % 2 = 0 GROUP BY 1,2,3) SELECT vec_id, CAST(2 AS INT) AS basis, CAST(1 AS INT) AS level, b.band, y, x, CASE b.band WHEN 'll' THEN ll WHEN 'lh' THEN lh WHEN 'hl' THEN hl ELSE hh END AS v FROM ys, (SELECT unnest(['ll','lh','hl','hh']) AS band) b", "v", "vec_id basis level band y x")
+def db2_image_analysis(spark, d):
+    return wavelets.analysis(T.images(spark, d), [2], 8, 1)
+
+
+@_query(f"WITH {_IMG} SELECT vec_id, CAST(o AS INT) AS basis, sum(v*v)/9 AS energy FROM img, (SELECT unnest(range(0, 9)) AS o) GROUP BY 1, 2", "energy", "vec_id basis")
+def dictionary_energy(spark, d):
+    """Each basis is orthonormal, so its coefficients hold a ninth of the image's energy."""
+    words = wavelets.dictionary(T.images(spark, d), 8, 3, list(range(1, 9)))
+    return words.groupBy("vec_id", "basis").agg(F.sum(F.col("v") ** 2).alias("energy"))
+
+
+@_query(f"WITH {_IMG} SELECT vec_id, CAST(o AS INT) AS basis, y, x, v FROM img, (SELECT unnest([2, 5]) AS o)", "v", "vec_id basis y x")
+def wavelet_round_trip(spark, d):
+    return wavelets.synthesis(wavelets.analysis(T.images(spark, d), [2, 5], 8, 1), [2, 5], 8)
+
+
+_PAD = "img AS (SELECT vec_id, i, CAST(embedding[i+1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS i)), places AS (SELECT unnest(range(-3, 68)) AS a), src AS (SELECT a, 'zero' AS mode, a AS s FROM places UNION ALL SELECT a, 'constant', greatest(0, least(63, a)) FROM places UNION ALL SELECT a, 'periodic', (a+64) % 64 FROM places UNION ALL SELECT a, 'symmetric', CASE WHEN a < 0 THEN -1-a WHEN a > 63 THEN 127-a ELSE a END FROM places UNION ALL SELECT a, 'reflect', CASE WHEN a < 0 THEN -a WHEN a > 63 THEN 126-a ELSE a END FROM places)"
+
+
+@_query(f"WITH {_PAD} SELECT vec_id, mode, count(*) AS n, sum(v*(a+4)) AS moment FROM (SELECT vec_id, mode, a, coalesce(v, 0) AS v FROM (SELECT DISTINCT vec_id FROM img) k CROSS JOIN src LEFT JOIN img USING (vec_id) WHERE img.i = src.s UNION ALL SELECT vec_id, 'zero', a, 0 FROM (SELECT DISTINCT vec_id FROM img), places WHERE a < 0 OR a > 63) GROUP BY 1, 2", "moment", "vec_id mode n")
+def padding_modes(spark, d):
+    signal = T.images(spark, d).select("vec_id", (F.col("y") * 8 + F.col("x")).alias("i"), "v")
+    parts = [wavelets.padded(signal, 64, 3, 4, m).withColumn("mode", F.lit(m)) for m in ("zero", "constant", "periodic", "symmetric", "reflect")]
+    return reduce(DataFrame.unionByName, parts).groupBy("vec_id", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") * (F.col("i") + 4)).alias("moment"))
+
+
+@_query(f"WITH {_IMG}, f AS (SELECT vec_id, vec_id % 4 AS t, y, CASE WHEN vec_id // 4 % 2 = 1 THEN 7-x ELSE x END AS x, v FROM img) SELECT vec_id, CAST(CASE t WHEN 0 THEN y WHEN 1 THEN 7-x WHEN 2 THEN 7-y ELSE x END AS INT) AS y, CAST(CASE t WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 7-x ELSE 7-y END AS INT) AS x, v FROM f", "v", "vec_id y x")
+def image_orientation(spark, d):
+    rows = T.images(spark, d).withColumns({"turns": F.col("vec_id") % 4, "flip": F.floor(F.col("vec_id") / 4) % 2 == 1})
+    return wavelets.oriented(rows, 8).select("vec_id", "y", "x", "v")
+
+
+@_query(f"WITH shelf(sigma) AS (VALUES {_SH}), r AS (SELECT DISTINCT l_partkey % 500 AS k, (l_partkey % 500 + 1)*1e-6 AS ratio FROM lineitem), c AS (SELECT k, (SELECT max(sigma) FROM shelf WHERE sigma <= ratio) AS lo, (SELECT min(sigma) FROM shelf WHERE sigma > ratio) AS hi FROM r) SELECT k, coalesce(3e-5/hi, 0) AS peak_min, 3e-5/lo AS peak_max FROM c", "peak_min peak_max", "k")
+def denoiser_peak_range(spark, d):
+    """Peaks for which a choice of denoiser stands; a null peak_max has no upper bound."""
+    k = F.col("l_partkey") % 500
+    ratios = spark.read.parquet(f"{d}/lineitem.parquet").select(k.alias("k"), ((k + 1) * 1e-6).alias("ratio")).distinct()
+    under = F.col("ratio") < F.col("sigma")  # below the whole shelf
+    low = F.when(under, 3e-5 / F.col("sigma")).otherwise(F.coalesce(3e-5 / F.col("next_sigma"), F.lit(0.0)))
+    return V.choose_denoiser(ratios, T.shelf(spark)).select("k", low.alias("peak_min"), F.when(~under, 3e-5 / F.col("sigma")).alias("peak_max"))
+
+
+@_query()
+def reconstruction_reweighted(spark, d):
+    """Reweighted sparse loop; held to its residual in tests."""
+    return solvers.reweighted_sparse(_weighted(spark, d), 16, solvers.Rounds(inner=100, outer=4))
+
+
+@_query()
+def reconstruction_constrained(spark, d):
+    """Primal-dual loop with a dual value per visibility; held to its residual in tests."""
+    rows = _weighted(spark, d)
+    return solvers.constrained(rows, 8, math.sqrt(rows.count()), lambda x: np.maximum(x, 0), steps=6)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
