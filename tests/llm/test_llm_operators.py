@@ -218,6 +218,18 @@ def test_op8_finds_planted_items_and_edges(spark, nothing):
     assert decontaminate.matches(nothing, bench).count() == 0 and decontaminate.matches(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_op8_shards_give_the_same_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(i, say(15) + ". " + say(12) + ".") for i in range(24)]
+    rows = frame(spark, [(i, say(80) + " " + items[i][1] + " " + say(80)) for i in range(24)] + [(50, say(200))])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 8)
+    got = decontaminate.matches(rows, bench).where("contaminated")
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(i, i) for i in range(24)]
+    assert [r["doc_id"] for r in decontaminate.clean(rows, bench).collect()] == [50]
+
+
 def test_op8_wand_loses_nothing(spark):
     """Pruned retrieval against scores of every passage and item."""
     rng = random.Random(8)

@@ -209,6 +209,6 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap:
 
     found = None
     for group in shards(items, item_id, item_text):
-        part = rows.mapInArrow(search(build_index(group, k)), schema)
-        found = part if found is None else found.unionByName(part)
+        hits = rows.mapInArrow(search(build_index(group, k)), schema)
+        found = hits if found is None else found.unionByName(hits)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
