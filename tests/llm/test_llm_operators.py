@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visloom.llm import chat, decontaminate, exact_dedup, language_id, mixing, near_dup, quality, queries, suffix_dedup, token_counts, warc
+from visloom.llm import chat, components, decontaminate, exact_dedup, language_id, mixing, near_dup, quality, queries, suffix_dedup, token_counts, warc
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, keys string, rate double"
@@ -170,6 +170,29 @@ def test_op5_equals_brute_force(spark, docs, nothing, rule):
     assert near_dup.near_duplicates(nothing, rule).count() == 0
 
 
+def test_components_of_long_chains(spark, monkeypatch):
+    """Chains far longer than any fixed number of rounds, with vertices in random order, and a star."""
+    monkeypatch.setattr(components, "written", _counted := _Counted(components.written))
+    rng = random.Random(2)
+    names = rng.sample(range(10_000), 1500)
+    chains = [names[:1000], names[1000:1300]]
+    star = names[1300:]
+    links = [p for c in chains for p in zip(c, c[1:])] + [(star[0], x) for x in star[1:]] + [(star[3], star[3])]
+    got = {r["v"]: r["root"] for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {v: min(c) for c in [*chains, star] for v in c}
+    assert _counted.rounds < 3 * 20
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+class _Counted:
+    def __init__(self, f):
+        self.f, self.rounds = f, 0
+
+    def __call__(self, *a):
+        self.rounds += 1
+        return self.f(*a)
+
+
 def test_op6_held_out_accuracy_and_edges(spark, docs, nothing):
     d = "/root/testdata/sf0.01"
     got = queries.op6_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")

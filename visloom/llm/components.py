@@ -7,21 +7,24 @@ from pyspark.sql import DataFrame, functions as F
 from visloom.storage import written
 
 
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """(v, root) for every vertex of links (a, b); root is the smallest vertex of its component.
 
-    Each round takes the smallest root among the neighbours and then the root's root, so the number of rounds grows as the
-    logarithm of the longest path; each round is a table in the shared folder.
+    Each round hooks every root to the smallest root that any neighbour of its members has, lets each vertex take the
+    smallest root next to it, and then takes the root's root; whole trees move at once, so long chains need few rounds.
+    Roots only fall, so rounds end when none moves, without a cap; each round is a table in the shared folder.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     edges = written(both, "edges")
     roots = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")), "roots")
-    for _ in range(rounds):
+    while True:
         near = edges.join(roots, edges["b"] == roots["v"]).groupBy("a").agg(F.min("root").alias("m"))
-        better = roots.join(near, roots["v"] == near["a"]).select("v", F.col("root").alias("old"), F.least("root", "m").alias("r1"))
-        up = roots.select(F.col("v").alias("u"), F.col("root").alias("r2"))
-        roots = written(better.join(up, better["r1"] == up["u"]).select("v", F.least("r1", "r2").alias("root"), (F.least("r1", "r2") != F.col("old")).alias("moved")), "roots")
-        if roots.where("moved").isEmpty():
-            break
-        roots = roots.drop("moved")
-    return roots.select("v", "root")
+        seen = written(roots.join(near, roots["v"] == near["a"]).select("v", "root", F.least("root", "m").alias("m")), "roots-near")
+        hooks = seen.where("m < root").groupBy(F.col("root").alias("u")).agg(F.min("m").alias("h"))
+        hooked = written(seen.join(hooks, seen["v"] == hooks["u"], "left").select("v", F.col("root").alias("old"), F.least("m", "h").alias("r1")), "roots-hooked")
+        up = hooked.select(F.col("v").alias("u"), F.col("r1").alias("r2"))
+        best = F.least("r1", "r2")
+        moved = written(hooked.join(up, hooked["r1"] == up["u"]).select("v", best.alias("root"), (best != F.col("old")).alias("moved")), "roots")
+        roots = moved.select("v", "root")
+        if moved.where("moved").isEmpty():
+            return roots
