@@ -170,6 +170,53 @@ def test_op5_equals_brute_force(spark, docs, nothing, rule):
     assert near_dup.near_duplicates(nothing, rule).count() == 0
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_op5_texts_of_one_template_are_not_paired_with_each_other(spark, monkeypatch, last):
+    """Many texts that share most of their words link only where they should, and few pairs are tested."""
+    rng, tested, whole = random.Random(4), [], near_dup.linked
+
+    def counted(pairs, *a):
+        tested.append(pairs.count())
+        return whole(pairs, *a)
+
+    monkeypatch.setattr(near_dup, "linked", counted)
+    if last:  # straight to the last step
+        monkeypatch.setattr(near_dup, "SALTS", 0)
+    rule, rows = near_dup.Rule(4, 85, 100), []
+    for g in range(120):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(30)]
+        words = own[:15] + [f"t{i}" for i in range(70)] + own[15:]
+        rows.append((g, " ".join(words)))
+        if g % 3 == 0:
+            rows.append((1000 + g, " ".join([f"x{g}", *words[1:]])))
+    got = near_dup.near_duplicates(frame(spark, rows), rule)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(brute_components(rows, rule))
+    if not last:
+        assert sum(tested) < 160 * 25
+
+
+def test_op5_rarest_finer_blocks_lose_no_link(spark):
+    rng, rule = random.Random(6), near_dup.Rule(3, 4, 5)
+    base = [f"w{i}" for i in range(60)]
+    texts = {0: " ".join(base)}
+    for i in range(1, 80):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(60)] = f"v{rng.randrange(40)}"
+        texts[i] = " ".join(w)
+    data = spark.createDataFrame(list(texts.items()), "sid long, text string")
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(58)} for i, t in texts.items()}
+    for salt in (1, 2):
+        found = near_dup.rarest_blocks(data, data.selectExpr("sid", "sid as root"), rule, salt).collect()
+        held = collections.defaultdict(set)
+        for r in found:
+            held[r["sid"]].add(r["key"])
+        for a in texts:
+            for b in range(a):
+                if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4 and sets[a] != sets[b]:
+                    assert held[a] & held[b]
+
+
 def test_components_of_long_chains(spark, monkeypatch):
     """Chains far longer than any fixed number of rounds, with vertices in random order, and a star."""
     monkeypatch.setattr(components, "written", _counted := _Counted(components.written))

@@ -10,9 +10,11 @@ shingle are not emitted.  A document joins in its own band, and in the next one
 
 Documents with equal sets are one class from the start, so copies are never paired.  Candidate pairs:
 all pairs of block groups of up to SMALL classes; in larger groups, rounds of pairs with one pivot, each after the
-components so far, so that a large group of near copies costs a few pairs a member; last, the pairs of large groups whose members
-are still in different components, if a 512-bit parity sketch of one bit a shingle lets them through.
-Every candidate is verified on whole texts with exact set sizes; no candidate is dropped unless both ends are already
+components so far, so that a large group of near copies costs a few pairs a member.  Members of a large group that are still in
+different components then meet again in finer blocks under another hash, where each set emits the D + 1 blocks that fewest
+of them share: texts that have a template in common but differ elsewhere have enough blocks of their own to meet nobody.  What is
+left after SALTS such rounds are pairs just short of the threshold in large groups; they are tested if a
+512-bit parity sketch of one bit a shingle lets them through.  Every candidate is verified on whole texts with exact set sizes; no candidate is dropped unless both ends are already
 in one component, so the components are those of all links.
 
 Defined results: a null, empty or white-space text has 0 shingles and is alone in its component; a text with fewer words
@@ -34,6 +36,7 @@ from visloom.llm.textbytes import mix, shingle_hashes, slices, utf8, word_hashes
 from visloom.storage import written
 
 SMALL, PIVOT_ROUNDS, LEAST_BAND = 16, 3, 8
+SALTS, FINER = 2, 4  # rounds in finer blocks, and how many of them take the place of one block
 
 
 @dataclass(frozen=True)
@@ -65,26 +68,39 @@ class Rule:
             band += 1
 
 
+def _blocks(h: np.ndarray, band: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and member counts of the blocks that a set fills, and keys of the empty ones."""
+    at = (h % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    count = np.bincount(at, minlength=blocks)
+    first = np.cumsum(count) - count
+    full, empty = np.flatnonzero(count), np.flatnonzero(count == 0)
+    x = np.bitwise_xor.reduceat(h[order], first[full])
+    key = mix(mix(x) + full.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(band) * np.uint64(0x51ED27) + (count[full].astype(np.uint64) << np.uint64(40)))
+    return key, count[full], mix(mix(empty.astype(np.uint64) + np.uint64(77)) + np.uint64(band))
+
+
 def block_keys(h: np.ndarray, rule: Rule) -> np.ndarray:
     """Keys of the blocks that a set emits; h holds its distinct shingle hashes."""
     out = []
     for band, blocks, emit in rule.bands(len(h)):
-        at = (h % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        count = np.bincount(at, minlength=blocks)
-        first = np.cumsum(count) - count
-        full = np.flatnonzero(count)
-        x = np.bitwise_xor.reduceat(h[order], first[full])
-        key = mix(mix(x) + full.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(band) * np.uint64(0x51ED27) + (count[full].astype(np.uint64) << np.uint64(40)))
-        if len(full) > emit:
-            key = key[np.lexsort((key, -count[full]))[:emit]]
-        if len(full) < emit:  # so few members that empty blocks may be all that two sets share
-            empty = np.flatnonzero(count == 0)
-            key = np.concatenate([key, mix(mix(empty.astype(np.uint64) + np.uint64(77)) + np.uint64(band))[: emit - len(full)]])
+        key, count, empty = _blocks(h, band, blocks)
+        if len(key) > emit:
+            key = key[np.lexsort((key, -count))[:emit]]
+        if len(key) < emit:  # so few members that empty blocks may be all that two sets share
+            key = np.concatenate([key, empty[: emit - len(key)]])
         out.append(key)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def finer_keys(h: np.ndarray, rule: Rule, salt: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(band, blocks to emit, keys of all blocks) in finer blocks under another hash."""
+    h = mix(h + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
+    for band, blocks, emit in rule.bands(len(h)):
+        key, _, empty = _blocks(h, band, FINER * blocks)
+        yield band, emit, np.concatenate([key, empty])
+
+
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes, offsets) of consecutive parts of a text column."""
     data, offsets = utf8(column)
@@ -152,6 +168,40 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def rarest_blocks(texts: DataFrame, who: DataFrame, rule: Rule, salt: int) -> DataFrame:
+    """(key, sid, root) of the classes ``who`` (sid, root): of each one's finer blocks the D + 1 that fewest of them share.
+
+    The order by (count, key) is one order for all, so linked classes agree on one of these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [c.to_numpy() for c in batch.columns[:2]]
+            for i, flat, off in sets_of(batch.column(2), rule.k):
+                for d in range(len(off) - 1):
+                    for band, emit, keys in finer_keys(flat[off[d] : off[d + 1]], rule, salt):
+                        yield pa.RecordBatch.from_pydict({"sid": ids[0][[i + d]], "root": ids[1][[i + d]], "band": pa.array([band], pa.int32()), "emit": pa.array([emit], pa.int32()), "keys": pa.array([keys.view(np.int64)], pa.list_(pa.int64()))})
+
+    rows = texts.join(who, "sid").select("sid", "root", "text").mapInArrow(run, "sid long, root long, band int, emit int, keys array<long>")
+    flat = written(rows, "near-finer").select("sid", "root", "band", "emit", F.explode("keys").alias("key"))
+    counted = flat.join(flat.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
+    own = counted.groupBy("sid", "root", "band").agg(F.max("emit").alias("emit"), F.sort_array(F.collect_set(F.struct("c", "key"))).alias("g"))
+    first = own.select("sid", "root", F.explode(F.slice("g", F.lit(1), F.col("emit"))).alias("p"))
+    return first.where("p.c > 1").select("p.key", "sid", "root").distinct()
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows (key, sid, root) of keys that hold more than one component, with the key's row count c."""
+    size = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
+    return rows.join(size.select("key", "c"), "key")
+
+
+def _pivoted(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each row (key, sid, root) with one row of its key, where their components differ."""
+    pick = rows.groupBy("key").agg(F.max_by(F.struct("sid", "root"), F.xxhash64("sid", F.lit(turn))).alias("p"))
+    return rows.join(pick, "key").where("root <> p.root").select(*_ordered(F.col("sid"), F.col("p.sid")))
+
+
 def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(features without keys, roots (v, root) of the classes that have links)."""
     feats = written(features(docs, rule, id_col, text_col), "near-features")
@@ -172,35 +222,45 @@ def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     links = written(linked(tested, texts, rule), "near-links")
     roots = connected(links)
 
-    def open_groups() -> DataFrame:
-        """Rows of large groups that hold more than one component."""
-        at = large.join(roots, large["sid"] == roots["v"], "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
-        mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        return written(at.join(mixed, "key"), "near-open")
-
-    for turn in range(PIVOT_ROUNDS + 1):
-        rows = open_groups()
-        if rows.isEmpty():
-            break
-        if turn < PIVOT_ROUNDS:
-            pick = rows.groupBy("key").agg(F.max_by(F.struct("sid", "root"), F.xxhash64("sid", F.lit(turn))).alias("p"))
-            more = rows.join(pick, "key").where("root <> p.root").select(*_ordered(F.col("sid"), F.col("p.sid")))
-        else:
-            shape = feats.where("sketch IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
-            full = rows.join(shape, "sid")
-            x, y = full.alias("x"), full.alias("y")
-            apart = sum((F.bit_count(F.col("x.s")[i].bitwiseXOR(F.col("y.s")[i])) for i in range(8)), F.lit(0))
-            total = F.col("x.n") + F.col("y.n")
-            near = (apart * (rule.den + rule.num) <= total * (rule.den - rule.num)) & (F.abs(F.col("x.n") - F.col("y.n")) * (rule.den + rule.num) <= total * (rule.den - rule.num))
-            more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+    def test(more: DataFrame) -> None:
+        """Verifies pairs that were not tested before, and brings the components up to date."""
+        nonlocal tested, links, roots
         more = written(more.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         if more.isEmpty():
-            continue
-        fresh = written(linked(more, texts, rule), "near-links")
+            return
         tested = tested.unionByName(more)
+        fresh = written(linked(more, texts, rule), "near-links")
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             roots = connected(links)
+
+    def open_groups(large: DataFrame) -> DataFrame:
+        """Rows (key, sid, root, c) of large groups that hold more than one component."""
+        at = large.join(roots, large["sid"] == roots["v"], "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
+        return written(_several(at), "near-open")
+
+    rows = open_groups(large.select("key", "sid"))
+    for salt in range(SALTS + 1):
+        if salt:
+            members = written(_several(rarest_blocks(texts, rows.select("sid", "root").distinct(), rule, salt)), "near-members")
+            small = members.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("sid", "root"))).alias("g"))
+            pairs = small.select("g", F.posexplode("g").alias("i", "x")).select("x", F.explode(F.slice("g", F.col("i") + 2, F.lit(SMALL))).alias("y"))
+            test(pairs.where("x.root <> y.root").select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
+            rows = open_groups(members.where(F.col("c") > SMALL).select("key", "sid"))
+        for turn in range(PIVOT_ROUNDS):
+            if rows.isEmpty():
+                break
+            test(_pivoted(rows, turn))
+            rows = open_groups(rows.select("key", "sid"))
+        if rows.isEmpty():
+            return feats.select("doc_id", "rk", "n", "sid"), roots
+    shape = feats.where("sketch IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
+    full = rows.join(shape, "sid")
+    x, y = full.alias("x"), full.alias("y")
+    apart = sum((F.bit_count(F.col("x.s")[i].bitwiseXOR(F.col("y.s")[i])) for i in range(8)), F.lit(0))
+    total = F.col("x.n") + F.col("y.n")
+    near = (apart * (rule.den + rule.num) <= total * (rule.den - rule.num)) & (F.abs(F.col("x.n") - F.col("y.n")) * (rule.den + rule.num) <= total * (rule.den - rule.num))
+    test(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
     return feats.select("doc_id", "rk", "n", "sid"), roots
 
 
