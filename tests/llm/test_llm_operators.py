@@ -182,6 +182,8 @@ def test_op5_texts_of_one_template_are_not_paired_with_each_other(spark, monkeyp
     monkeypatch.setattr(near_dup, "linked", counted)
     if last:  # straight to the last step
         monkeypatch.setattr(near_dup, "SALTS", 0)
+    else:
+        monkeypatch.setattr(near_dup, "MIDDLE", 20)
     rule, rows = near_dup.Rule(4, 85, 100), []
     for g in range(120):
         own = [f"o{rng.randrange(10**6)}" for _ in range(30)]

@@ -10,11 +10,10 @@ shingle are not emitted.  A document joins in its own band, and in the next one
 
 Documents with equal sets are one class from the start, so copies are never paired.  Candidate pairs:
 all pairs of block groups of up to SMALL classes; in larger groups, rounds of pairs with one pivot, each after the
-components so far, so that a large group of near copies costs a few pairs a member.  Members of a large group that are still in
-different components then meet again in finer blocks under another hash, where each set emits the D + 1 blocks that fewest
+components so far, so that a large group of near copies costs a few pairs a member.  Large groups of up to MIDDLE classes that still hold
+different components are then paired if a 512-bit parity sketch of one bit a shingle lets the pair through; members of larger ones meet again in finer blocks under another hash, where each set emits the D + 1 blocks that fewest
 of them share: texts that have a template in common but differ elsewhere have enough blocks of their own to meet nobody.  What is
-left after SALTS such rounds are pairs just short of the threshold in large groups; they are tested if a
-512-bit parity sketch of one bit a shingle lets them through.  Every candidate is verified on whole texts with exact set sizes; no candidate is dropped unless both ends are already
+left after SALTS such rounds are pairs just short of the threshold in groups above MIDDLE; they too pass the sketch before a test.  Every candidate is verified on whole texts with exact set sizes; no candidate is dropped unless both ends are already
 in one component, so the components are those of all links.
 
 Defined results: a null, empty or white-space text has 0 shingles and is alone in its component; a text with fewer words
@@ -36,6 +35,7 @@ from visloom.llm.textbytes import mix, shingle_hashes, slices, utf8, word_hashes
 from visloom.storage import written
 
 SMALL, PIVOT_ROUNDS, LEAST_BAND = 16, 3, 8
+MIDDLE = 512  # classes of a large group that are paired under the sketch
 SALTS, FINER = 2, 4  # rounds in finer blocks, and how many of them take the place of one block
 
 
@@ -202,6 +202,17 @@ def _pivoted(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(pick, "key").where("root <> p.root").select(*_ordered(F.col("sid"), F.col("p.sid")))
 
 
+def _sketched(rows: DataFrame, feats: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of one key and different components that their sizes and sketches do not rule out."""
+    shape = feats.where("sketch IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
+    full = rows.join(shape, "sid")
+    x, y = full.alias("x"), full.alias("y")
+    apart = sum((F.bit_count(F.col("x.s")[i].bitwiseXOR(F.col("y.s")[i])) for i in range(8)), F.lit(0))
+    total = F.col("x.n") + F.col("y.n")
+    near = (apart * (rule.den + rule.num) <= total * (rule.den - rule.num)) & (F.abs(F.col("x.n") - F.col("y.n")) * (rule.den + rule.num) <= total * (rule.den - rule.num))
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+
+
 def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(features without keys, roots (v, root) of the classes that have links)."""
     feats = written(features(docs, rule, id_col, text_col), "near-features")
@@ -253,14 +264,12 @@ def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
             test(_pivoted(rows, turn))
             rows = open_groups(rows.select("key", "sid"))
         if rows.isEmpty():
-            return feats.select("doc_id", "rk", "n", "sid"), roots
-    shape = feats.where("sketch IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
-    full = rows.join(shape, "sid")
-    x, y = full.alias("x"), full.alias("y")
-    apart = sum((F.bit_count(F.col("x.s")[i].bitwiseXOR(F.col("y.s")[i])) for i in range(8)), F.lit(0))
-    total = F.col("x.n") + F.col("y.n")
-    near = (apart * (rule.den + rule.num) <= total * (rule.den - rule.num)) & (F.abs(F.col("x.n") - F.col("y.n")) * (rule.den + rule.num) <= total * (rule.den - rule.num))
-    test(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
+            break
+        last = salt == SALTS
+        test(_sketched(rows if last else rows.where(F.col("c") <= MIDDLE), feats, rule))
+        rows = rows.where(F.col("c") > MIDDLE)
+        if last or rows.isEmpty():
+            break
     return feats.select("doc_id", "rk", "n", "sid"), roots
 
 
