@@ -129,6 +129,65 @@ def test_op4_edges(spark, docs, nothing):
     assert mixing.mixed(nothing, some).count() == 0
 
 
+def soft_rows(spark, mean, sharp, seed=3, size=4000):
+    """Token counts and four-domain posteriors of about these mean shares."""
+    rng = np.random.default_rng(seed)
+    home = rng.choice(4, size, p=mean)
+    z = np.log(mean) + sharp * np.eye(4)[home] + rng.normal(0, 1, (size, 4))
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    n = rng.integers(1, 400, size)
+    return spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n_tokens long, p0 double, p1 double, p2 double, p3 double"), n, p
+
+
+@pytest.mark.parametrize("sharp", [1.5, 3.0])
+def test_op4_meets_skewed_targets_with_rates_at_zero(spark, sharp):
+    rows, n, p = soft_rows(spark, [0.02, 0.13, 0.75, 0.1], sharp)
+    targets = [0.4, 0.3, 0.2, 0.1]
+    steps, goal, reached = mixing.fit_rates(rows, 4, targets)
+    r = np.ones(len(n))
+    for s in steps:
+        r = np.maximum(0, r - p @ np.array(s))
+    assert goal == targets and (r == 0).any() and np.allclose(n * r @ p / n.sum(), reached)
+    assert np.all(np.abs(np.array(reached) - targets) <= 1e-3 * np.array(targets))
+
+
+def least_distance(a, b):
+    """Norm of a x - b at the nonnegative x of least squares, by active sets."""
+    x, on = np.zeros(a.shape[1]), []
+    while True:
+        slope = a.T @ (b - a @ x)
+        slope[on] = -1
+        if slope.max() < 1e-10:
+            return np.linalg.norm(a @ x - b)
+        on.append(int(slope.argmax()))
+        while True:
+            z = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+            if (z > 0).all():
+                break
+            k = min((i for i in range(len(on)) if z[i] <= 0), key=lambda i: x[on[i]] / (x[on[i]] - z[i]))
+            x[on] += x[on[k]] / (x[on[k]] - z[k]) * (z - x[on])
+            x[on.pop(k)] = 0
+        x[:] = 0
+        x[on] = z
+
+
+def test_op4_targets_out_of_reach_get_the_least_distance(spark):
+    rows, n, p = soft_rows(spark, [0.02, 0.13, 0.75, 0.1], 0.5, size=300)
+    _, goal, reached = mixing.fit_rates(rows, 4, [0.97, 0.01, 0.01, 0.01])
+    root = np.linalg.cholesky(np.linalg.inv((p * n[:, None]).T @ p / n.sum()))
+    best = least_distance(root.T @ p.T, root.T @ np.array(goal))
+    assert 0.01 < best <= np.linalg.norm(root.T @ (np.array(goal) - reached)) <= 1.001 * best
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(rows, 4, [0.97, 0.01, 0.01, 0.01], limit=3)
+
+
+def test_op4_rows_carry_target_and_reached(spark, docs):
+    some = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    got = mixing.mixed(docs, some).toPandas()
+    shares = sum(np.array(p) * e for p, e in zip(got.posterior, got.expected_tokens)) / got.n_tokens.sum()
+    assert np.allclose(got.reached[0], shares) and np.allclose(sum(got.target[0]), 1)
+
+
 def brute_components(rows, rule):
     words = re.compile(rb"[^\x20\x09-\x0D]+")
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))

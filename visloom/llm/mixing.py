@@ -2,10 +2,10 @@
 
 A multinomial naive Bayes classifier over hashed words learns the label classes (quality and toxicity of the
 label table) and gives every document a posterior over these domains.  Nonnegative document rates r then minimise
-the squared distance between the expected domain token totals, sum(r * tokens * posterior), and the targets, by projected gradient.
+the squared distance between the expected domain token totals, sum(r * tokens * posterior), and the targets, by proximal Newton steps.
 DataFrame functions only; the fit is distributed: each step is one aggregation over (tokens, posterior) rows.
 
-Rates are not stored between steps.  In the metric scaled by a document's tokens, the gradient of a rate depends on the
+Rates are not stored between steps.  In the metric scaled by a document's tokens, the change of a rate in a step depends on the
 document only through its posterior, so a rate is the fold of "subtract, then cut at zero" over the step vectors so far, one
 small vector a step; each aggregation recomputes it inside the scan.
 
@@ -17,13 +17,15 @@ repeated rows count each; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from visloom.storage import written
 
 BUCKETS, SPACES = 4096, r"[ \t-\r]+"
+NEAR = 1e-4  # weight of a step's change of rates against the squared distance
 
 
 def _words(text: Column) -> Column:
@@ -90,40 +92,105 @@ def rate_after(steps: list[list[float]], n: int) -> Column:
     return F.aggregate(flat, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col(f"p{i}") * s[i] for i in range(n)), F.lit(0.0))))
 
 
-def fit_rates(rows: DataFrame, n: int, targets: list[float] | None = None, steps: int = 16, tolerance: float = 1e-3) -> tuple[list[list[float]], list[float], list[float]]:
+def _newton(measured: Callable, first: tuple, goal: np.ndarray, ridge: np.ndarray, near: Callable) -> tuple[np.ndarray, tuple]:
+    """One proximal step: (its vector, what ``measured`` says after it); ``first`` is what it says before.
+
+    The step minimises the squared distance to ``goal`` plus NEAR times the token-weighted squared change of rates.  Its dual is
+    a convex function of one small vector, whose second derivative is the second moment of the rows with a positive rate.
+    """
+    at, (half, reached, active) = np.zeros(len(goal)), first
+    value, weigh = half, np.linalg.inv(ridge)
+    while not near(reached):
+        slope, gap = reached - goal + NEAR * ridge @ at, reached - goal
+        if slope @ weigh @ slope <= 1e-8 * (gap @ weigh @ gap):
+            break
+        move = -np.linalg.solve(active + NEAR * ridge, slope)
+        down, length = float(slope @ move), 1.0
+        while True:  # back off while the dual rises
+            trial = at + length * move
+            found = measured(trial)
+            new = found[0] - float(goal @ trial) + 0.5 * NEAR * float(trial @ ridge @ trial)
+            if new <= value + 1e-4 * length * down + 1e-12 * (1 + abs(value)):
+                break
+            length /= 2
+        at, value, (half, reached, active) = trial, new, found
+    return at, (half, reached, active)
+
+
+def fit_rates(rows: DataFrame, n: int, targets: list[float] | None = None, tolerance: float = 1e-3, limit: int = 500) -> tuple[list[list[float]], list[float], list[float]]:
     """(step vectors, target shares, reached shares) for rows with n_tokens and p0..pn-1.
 
     Targets are shares of the present token total; by default each domain's present share to the power 0.5,
-    rescaled to sum to 1.  Residuals are weighed by the inverse second moment of the posteriors (one small
-    matrix), under which a full step is the largest that is sure to descend.
+    rescaled to sum to 1.  Distances are weighed by the inverse second moment of the posteriors (one small matrix).
+    The fit ends when every share is within ``tolerance`` of its target, relative to it (absolute tolerance**2 below a share
+    of ``tolerance``), or when the squared distance is proven to be within ``tolerance`` of the least that any rates have, relative to it:
+    then no rates meet the targets.  Neither after ``limit`` aggregations is an error.
     """
     tokens = F.sum("n_tokens")
-    pair = [(i, j) for i in range(n) for j in range(n)]
-    base = rows.agg(tokens.alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p{i}")).alias(f"u{i}") for i in range(n)], *[F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i, j in pair]).head()
+    pair = [(i, j) for i in range(n) for j in range(i, n)]
+    moment = lambda w: [F.sum(w * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i, j in pair]
+    base = rows.agg(tokens.alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p{i}")).alias(f"u{i}") for i in range(n)], *moment(F.col("n_tokens"))).head()
     total = float(base["n"] or 0)
     if not total:
         return [], [0.0] * n, [0.0] * n
     share = [max(base[f"u{i}"] / total, 1e-9) for i in range(n)]
     root = [math.sqrt(x) for x in share]
-    goal = targets or [x / sum(root) for x in root]
+    goal = np.array(targets or [x / sum(root) for x in root])
     history: list[list[float]] = []
-    weigh = np.linalg.pinv(np.array([base[f"m{i}_{j}"] / total for i, j in pair]).reshape(n, n), rcond=1e-6)
-    reached = share
-    for _ in range(steps):
-        if max(abs(a - b) for a, b in zip(reached, goal)) < tolerance:
+    reached, used = np.array(share), 1
+
+    def square(got: Row) -> np.ndarray:
+        m = np.zeros((n, n))
+        for i, j in pair:
+            m[i, j] = m[j, i] = (got[f"m{i}_{j}"] or 0.0) / total
+        return m
+
+    def near(x: np.ndarray) -> bool:
+        return bool(np.all(np.abs(x - goal) <= tolerance * np.maximum(goal, tolerance)))
+
+    def count() -> None:
+        nonlocal used
+        if used >= limit:
+            raise RuntimeError(f"rates are not fitted after {used} aggregations: targets {goal.tolist()}, reached {reached.tolist()}")
+        used += 1
+
+    def measured(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half the mean squared rate, the shares, and the second moments of rows with a positive rate after one more step."""
+        count()
+        part = rows.select("n_tokens", *[f"p{i}" for i in range(n)], rate_after([*history, (-step).tolist()], n).alias("r"))
+        r, t = F.col("r"), F.col("n_tokens")
+        got = part.agg((F.sum(r * r * t) / 2).alias("half"), *[F.sum(r * t * F.col(f"p{i}")).alias(f"u{i}") for i in range(n)], *moment(F.when(r > 0, t))).head()
+        return got["half"] / total, np.array([got[f"u{i}"] / total for i in range(n)]), square(got)
+
+    def least(ridge: np.ndarray) -> float:
+        """A lower bound on half the squared distance: posteriors sum to 1, so one number makes any slope a feasible dual."""
+        count()
+        slope = np.linalg.solve(ridge, goal - reached)
+        top = rows.where("n_tokens > 0").agg(F.max(sum((F.col(f"p{i}") * float(slope[i]) for i in range(n)), F.lit(0.0)))).head()[0]
+        bound = slope - top
+        return float(goal @ bound - 0.5 * bound @ ridge @ bound)
+
+    now = (0.5, reached, square(base))
+    ridge = now[2] + 1e-9 * np.trace(now[2]) * np.eye(n)
+    while not near(reached):
+        step, now = _newton(measured, now, goal, ridge, near)
+        history.append((-step).tolist())
+        reached = now[1]
+        gap = 0.5 * float((goal - reached) @ np.linalg.solve(ridge, goal - reached))
+        if not near(reached) and gap - least(ridge) <= tolerance * gap:
             break
-        history.append([float(x) for x in weigh @ (np.array(reached) - goal)])
-        rate = rate_after(history, n)
-        got = rows.select("n_tokens", *[f"p{i}" for i in range(n)], rate.alias("r")).agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col(f"p{i}")).alias(f"u{i}") for i in range(n)]).head()
-        reached = [got[f"u{i}"] / total for i in range(n)]
-    return history, goal, reached
+    return history, goal.tolist(), reached.tolist()
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, posterior (array, domains in name order), rate (nonnegative), expected_tokens."""
+    """doc_id, n_tokens, posterior (array, domains in name order), rate (nonnegative), expected_tokens, target, reached.
+
+    ``target`` and ``reached`` are the shares of ``fit_rates``, the same in each row, so that a gap which no rates close is seen.
+    """
     names, priors, table = fit_classifier(docs, labels)
     rows = written(posteriors(docs, names, priors, table), "mixing-posteriors")
     n = len(names)
-    history, _, _ = fit_rates(rows, n, [targets.get(k, 0.0) for k in names] if targets else None)
+    history, goal, reached = fit_rates(rows, n, [targets.get(k, 0.0) for k in names] if targets else None)
     out = rows.withColumn("rate", rate_after(history, n))
-    return out.select("doc_id", "n_tokens", F.array(*[f"p{i}" for i in range(n)]).alias("posterior"), "rate", (F.col("rate") * F.col("n_tokens")).alias("expected_tokens"))
+    shares = [F.array(*[F.lit(float(x)) for x in v]).alias(k) for k, v in (("target", goal), ("reached", reached))]
+    return out.select("doc_id", "n_tokens", F.array(*[f"p{i}" for i in range(n)]).alias("posterior"), "rate", (F.col("rate") * F.col("n_tokens")).alias("expected_tokens"), *shares)
