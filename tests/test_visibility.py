@@ -133,6 +133,39 @@ def test_constrained_reconstruction(spark):
     assert m["residual_norm"] < 0.3 * m["dirty_norm"]
 
 
+def test_constrained_equals_a_dual_value_per_visibility(spark):
+    rows, _ = _samples(spark, 60)
+    table = rows.withColumn("weight", F.lit(1.0) + F.abs("u")).toPandas()
+    at = [(y, x) for y in range(-3, 3) for x in range(-3, 3)]
+    root = np.sqrt(table.weight.to_numpy())
+    phi = root[:, None] * np.exp(-1j * (np.outer(table.u, [x for _, x in at]) + np.outer(table.v, [y for y, _ in at])))
+    y = root * (table.re.to_numpy() + 1j * table.im.to_numpy())
+    vis = spark.createDataFrame(table)
+    gamma, x, dual = 0.5 / solvers.reduced(vis, 6).norm, np.zeros(36), np.zeros(60, complex)
+    for _ in range(25):
+        before, x = x, np.maximum(x - gamma * (phi.conj().T @ dual).real, 0)
+        q = dual + phi @ (2 * x - before) - y
+        dual = q * (1 - min(1, 2.0 / np.linalg.norm(q)))
+    image = solvers.constrained(vis, 6, 2.0, lambda v: np.maximum(v, 0), steps=25)
+    got = {(r["y"], r["x"]): r for r in image.collect()}
+    assert np.allclose([got[k]["model"] for k in at], x) and {(r["rounds"], r["settled"]) for r in got.values()} == {(25, False)}
+
+
+def test_constrained_meets_its_radius(spark):
+    rows, _ = _samples(spark, 200)
+    image = solvers.constrained(rows, 8, 0.5, lambda x: np.maximum(x, 0))
+    model = imager.as_array(image, "model", 8)
+    ahead = fourier.predicted(rows, model)
+    gap = ahead.agg(F.sum((F.col("re") - F.col("re_model")) ** 2 + (F.col("im") - F.col("im_model")) ** 2)).first()[0]
+    assert math.sqrt(gap) <= 0.5 * (1 + 1e-5) and image.where("settled AND rounds >= 200").count() == 64
+
+
+def test_reweighted_says_when_its_limit_came_first(spark):
+    rows, _ = _samples(spark)
+    assert solvers.reweighted_sparse(rows, 8).where("settled").count() == 64
+    assert solvers.reweighted_sparse(rows, 8, solvers.Rounds(inner=3, outer=1)).where("settled OR rounds <> 1").count() == 0
+
+
 def test_dictionary_keeps_the_norm_and_inverts():
     words, x = solvers.Dictionary(16), np.random.default_rng(5).normal(size=(16, 16))
     c = words.analysis(x)

@@ -343,14 +343,14 @@ def denoiser_peak_range(spark, d):
 @_query()
 def reconstruction_reweighted(spark, d):
     """Reweighted sparse loop; held to its residual in tests."""
-    return solvers.reweighted_sparse(_weighted(spark, d), 16, solvers.Rounds(inner=100, outer=4))
+    return solvers.reweighted_sparse(_weighted(spark, d), 16)
 
 
 @_query()
 def reconstruction_constrained(spark, d):
-    """Primal-dual loop with a dual value per visibility; held to its residual in tests."""
+    """Primal-dual loop held to a residual radius; compared with a dual value per visibility in tests."""
     rows = _weighted(spark, d)
-    return solvers.constrained(rows, 8, math.sqrt(rows.count()), lambda x: np.maximum(x, 0), steps=6)
+    return solvers.constrained(rows, 8, math.sqrt(rows.count()), lambda x: np.maximum(x, 0))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

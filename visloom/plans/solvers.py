@@ -1,8 +1,8 @@
 """Reconstruction loops.  Spark reduces or holds the visibilities; images of a fixed pixel count stay with the loop.
 
-``reweighted_sparse`` and ``denoised`` run on the dirty image and Gram kernel of one pass over the rows.  ``constrained`` keeps a
-dual value per visibility: each round is one forward map and one adjoint sum over a table in the shared folder,
-and only a norm and an image come back.
+All loops run on the dirty image and Gram kernel of one pass over the rows; ``constrained`` also needs the norm of the data, as its
+dual value per visibility is always the forward map of an image less a multiple of the data.  Each result says in its columns
+``rounds`` and ``settled`` how many rounds were run and whether the stopping rule was met before the limit.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, functions as F
 from visloom.operators import fourier
 from visloom.operators.wavelets import daubechies, high_pass
 from visloom.plans import imager
-from visloom.storage import written
 
 Prox = Callable[[np.ndarray], np.ndarray]
 
@@ -26,10 +25,10 @@ Prox = Callable[[np.ndarray], np.ndarray]
 class Rounds:
     """Stopping rules: inner steps, outer rounds, and the relative variation that ends each."""
 
-    inner: int = 300
-    least: int = 10
+    inner: int = 2000
+    least: int = 200
     inner_tolerance: float = 1e-5
-    outer: int = 10
+    outer: int = 20
     outer_tolerance: float = 1e-3
     noise_scale: float = 1.0
 
@@ -122,21 +121,22 @@ def reduced(vis: DataFrame, side: int) -> Reduced:
     return Reduced(dirty, apply, imager.norm_of(apply, side) or 1.0, float(kernel[side, side]) or 1.0)
 
 
-def _forward_backward(data: Reduced, model: np.ndarray, prox: Prox, rounds: Rounds) -> np.ndarray:
+def _forward_backward(data: Reduced, model: np.ndarray, prox: Prox, rounds: Rounds) -> tuple[np.ndarray, bool]:
+    """The model, and whether it stopped varying before the limit."""
     gamma = 1.98 / data.norm
     for i in range(rounds.inner):
         before, model = model, prox(model - gamma * (data.apply(model) - data.dirty))
         if i + 1 >= rounds.least and variation(model, before) < rounds.inner_tolerance:
-            break
-    return model
+            return model, True
+    return model, False
 
 
-def _table(vis: DataFrame, data: Reduced, model: np.ndarray) -> DataFrame:
+def _table(vis: DataFrame, data: Reduced, model: np.ndarray, rounds: int, settled: bool) -> DataFrame:
     side = len(model)
     residual = data.dirty - data.apply(model)
     half = side // 2
-    rows = [(y - half, x - half, float(data.dirty[y, x] / data.peak), float(model[y, x]), float(residual[y, x] / data.peak)) for y in range(side) for x in range(side)]
-    return vis.sparkSession.createDataFrame(rows, "y int, x int, dirty double, model double, residual double")
+    rows = [(y - half, x - half, float(data.dirty[y, x] / data.peak), float(model[y, x]), float(residual[y, x] / data.peak), rounds, settled) for y in range(side) for x in range(side)]
+    return vis.sparkSession.createDataFrame(rows, "y int, x int, dirty double, model double, residual double, rounds int, settled boolean")
 
 
 def reweighted_sparse(vis: DataFrame, side: int, rounds: Rounds = Rounds()) -> DataFrame:
@@ -144,14 +144,13 @@ def reweighted_sparse(vis: DataFrame, side: int, rounds: Rounds = Rounds()) -> D
     data = reduced(vis, side)
     words = Dictionary(side)
     floor = rounds.noise_scale / math.sqrt(2 * data.norm) / math.sqrt(len(words.bases))
-    model, weights = np.zeros((side, side)), None
-    for _ in range(rounds.outer):
+    model, weights, done, settled = np.zeros((side, side)), None, 0, False
+    while done < rounds.outer and not settled:
         before = model
-        model = _forward_backward(data, model, sparse_positive(words, floor, weights), rounds)
+        model, still = _forward_backward(data, model, sparse_positive(words, floor, weights), rounds)
         weights = floor / (floor + np.abs(words.analysis(model)))
-        if variation(model, before) < rounds.outer_tolerance:
-            break
-    return _table(vis, data, model)
+        done, settled = done + 1, still and variation(model, before) < rounds.outer_tolerance
+    return _table(vis, data, model, done, settled)
 
 
 def pick(shelf: list[float], ratio: float) -> tuple[float, float, float]:
@@ -169,8 +168,8 @@ def denoised(vis: DataFrame, side: int, shelf: list[float], denoiser: Callable[[
     heuristic = rounds.noise_scale / math.sqrt(2 * data.norm)
     peak = max(float(data.dirty.max()) / data.peak, 1e-10)
     sigma, low, high = pick(shelf, heuristic / peak)
-    model, gamma = np.zeros((side, side)), 1.98 / data.norm
-    for i in range(rounds.inner):
+    model, gamma, done, steady = np.zeros((side, side)), 1.98 / data.norm, 0, False
+    while done < rounds.inner and not steady:
         before = model
         scale = heuristic / sigma
         model = np.maximum(denoiser((model - gamma * (data.apply(model) - data.dirty)) / scale, sigma) * scale, 0)
@@ -178,33 +177,35 @@ def denoised(vis: DataFrame, side: int, shelf: list[float], denoiser: Callable[[
         settled, peak = abs(top - peak) < peak_tolerance * peak, top
         if settled and not low <= heuristic / peak < high:
             sigma, low, high = pick(shelf, heuristic / peak)
-        if i + 1 >= rounds.least and variation(model, before) < rounds.inner_tolerance:
-            break
-    return _table(vis, data, model)
+        done += 1
+        steady = done >= rounds.least and variation(model, before) < rounds.inner_tolerance
+    return _table(vis, data, model, done, steady)
 
 
-def constrained(vis: DataFrame, side: int, radius: float, prox: Prox, steps: int = 20, tolerance: float = 1e-3) -> DataFrame:
-    """Primal-dual reconstruction whose weighted residual norm is held to ``radius``; the dual is a Spark table.
+def constrained(vis: DataFrame, side: int, radius: float, prox: Prox, steps: int = 2000, tolerance: float = 1e-5, least: int = 200) -> DataFrame:
+    """Primal-dual reconstruction whose weighted residual norm is held to ``radius``.
 
-    With q the trial dual less the data, projection on the ball leaves the dual (1 - s) q with s = min(1, radius / |q|), so
-    a round needs the norm of q and its adjoint image and nothing else from the rows.
+    The trial dual is q = dual + forward(2 x - x') - data, and projection on the ball leaves the dual (1 - s) q with
+    s = min(1, radius / |q|).  From a dual of 0, q is forward(a) - b data for an image a and a number b in every round, so its
+    norm and its adjoint image follow from the Gram operator, the dirty image and the norm of the data: no round reads the rows.
+    It ends when the model has settled and its residual is within the radius.
     """
     data = reduced(vis, side)
+    power = F.sum(F.col("weight") * (F.col("re") ** 2 + F.col("im") ** 2))
+    energy = vis.select("u", "v", "re", "im", "weight").na.drop().agg(power).first()[0] or 0.0
     gamma = 0.5 / data.norm
-    root = F.sqrt("weight")
-    state = vis.select("u", "v", (F.col("re") * root).alias("re"), (F.col("im") * root).alias("im"), "weight", F.lit(0.0).alias("q_re"), F.lit(0.0).alias("q_im")).na.drop()
-    model, back, keep = np.zeros((side, side)), np.zeros((side, side)), 0.0
-    for _ in range(steps):
-        before, model = model, prox(model - gamma * back)
-        ahead = fourier.predicted(state, 2 * model - before)
-        trial = [(F.col(f"q_{a}") * keep + F.col(f"{a}_model") * root - F.col(a)).alias(f"q_{a}") for a in ("re", "im")]
-        state = written(ahead.select("u", "v", "re", "im", "weight", *trial), "dual")
-        length = math.sqrt(state.agg(F.sum(F.col("q_re") ** 2 + F.col("q_im") ** 2)).first()[0] or 0.0)
+
+    def norm(image: np.ndarray, times: float) -> float:
+        """Of forward(image) - times * data."""
+        return math.sqrt(max(0.0, float(np.sum(image * data.apply(image)) - 2 * times * np.sum(image * data.dirty)) + times * times * energy))
+
+    model, a, b = np.zeros((side, side)), np.zeros((side, side)), 0.0
+    done, settled = 0, False
+    while done < steps and not settled:
+        before, model = model, prox(model - gamma * (data.apply(a) - b * data.dirty))
+        a, b = a + 2 * model - before, b + 1
+        length = norm(a, b)
         keep = 1 - min(1.0, radius / length) if length else 0.0
-        rows = state.select("u", "v", F.col("q_re").alias("re"), F.col("q_im").alias("im"), root.alias("weight"))
-        back = np.zeros((side, side))
-        for r in fourier.dirty_image(rows, side).collect():  # side^2 rows, a fixed bound
-            back[r["y"] + side // 2, r["x"] + side // 2] = keep * r["dirty"]
-        if variation(model, before) < tolerance and length <= radius * (1 + tolerance):
-            break
-    return _table(vis, data, model)
+        a, b, done = keep * a, keep * b, done + 1
+        settled = done >= least and variation(model, before) < tolerance and norm(model, 1.0) <= radius * (1 + tolerance)
+    return _table(vis, data, model, done, settled)
