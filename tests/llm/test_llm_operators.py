@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visloom.llm import chat, components, decontaminate, exact_dedup, language_id, mixing, near_dup, quality, queries, suffix_dedup, token_counts, warc
+from visloom.llm import chat, components, decontaminate, exact_dedup, hashed_ngrams, language_id, mixing, near_dup, quality, queries, suffix_dedup, token_counts, warc
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, keys string, rate double"
@@ -96,6 +96,31 @@ def test_op3_learns_held_out_labels(spark):
     assert (held.predicted == held.quality).mean() > 0.95 and held.score.between(0, 1).all()
 
 
+@pytest.mark.parametrize("grams, words, lower", [((3, 4), True, False), ((2, 3), False, True)])
+def test_a_text_has_the_features_of_its_own_bytes_in_any_batch(grams, words, lower):
+    rng = random.Random(8)
+    texts = ["", "a", "ab ab", "", "same same word", "word again", "x " * 12, " ", "é", "last", "", ""]
+    texts += [" ".join(rng.choice(["one", "two", "three", ""]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    table = np.random.default_rng(2).normal(size=(1 << 12, 3))
+
+    def features(batch):
+        data = [t.encode() for t in batch]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
+        return hashed_ngrams.positions(np.frombuffer(b"".join(data), np.uint8), offsets, 12, grams, words, lower)
+
+    alone = [hashed_ngrams.means(features([t]), table, 1)[0] for t in texts]
+    for k in range(10):
+        order = rng.sample(range(len(texts)), len(texts) - k)
+        streams = features([texts[i] for i in order])
+        assert np.allclose(hashed_ngrams.means(streams, table, len(order)), [alone[i] for i in order], atol=1e-12)
+        by_text = [w @ table[b] for b, w in hashed_ngrams.sparse(streams, len(order))]
+        assert np.allclose(by_text, [alone[i] for i in order], atol=1e-5)
+    padded = [len(f" {t} ".encode()) for t in texts]
+    for k, (bucket, first) in zip(grams, features(texts)):
+        assert np.diff([*first, len(bucket)]).tolist() == [max(0, n - k + 1) for n in padded]
+    assert np.array_equal(alone[0] != 0, np.full(3, 2 in grams))
+
+
 def test_op3_edges(spark, docs, nothing):
     none = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, quality.sample(quality.learning_labels(none, quality.held_out())))

@@ -12,33 +12,37 @@ WORD_SEED, AGAIN_SEED = np.uint64(0xA5A5A5A5), np.uint64(0x5A5A5A5A5A5A)
 def positions(data: np.ndarray, offsets: np.ndarray, bits: int, grams: tuple[int, ...], words: bool, lower: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Feature streams of a batch: (bucket of each occurrence, first occurrence of each text), texts in order.
 
-    ``grams`` are byte n-gram sizes; each text is padded with a space at both ends of the stream.
+    ``grams`` are byte n-gram sizes, 2 at least; each text is padded with a space at both ends and has only the grams within these.
     With ``words``, a stream of whole words follows, and one of recurring words: a word is fed to it
-    under the distance (1, 2 or 4 words, at most 8) at which the same word stood before.
+    under the distance (1 to 8 words) at which the same word stood before in the same text.
     """
     flat, starts = spaced(data, offsets)
     if lower:
         flat = LOWER[flat]
     flat = np.concatenate([[np.uint8(32)], flat])  # the space before the first text
     roll, shift, out = Rolling(flat), np.uint64(64 - bits), []
-    ends = np.concatenate([starts[1:], [len(flat) - 1]])
+    ends = np.concatenate([starts[1:], [len(flat) - 1]])  # the space after each text
     for k in grams:
         h = roll.grams(k)
-        h = np.concatenate([h, np.repeat(h[-1:] if len(h) else np.zeros(1, np.uint64), len(flat) - len(h))])
-        out.append(((h >> shift).astype(np.int64), starts))
+        own = np.ones(len(h), bool)
+        for d in range(1, k - 1):  # a gram from here passes the space after its text
+            at = (ends - d)[ends - d >= starts]
+            own[at[at < len(h)]] = False
+        kept = np.maximum(ends - starts + 2 - k, 0)
+        out.append(((h[own] >> shift).astype(np.int64), np.cumsum(kept) - kept))
     if words:
         begin, end = word_bounds(flat)
         h = roll.of(begin, end) + WORD_SEED
         first = np.searchsorted(begin, starts + 1)
         out.append(((h * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64), first))
         gap = np.zeros(len(h), np.uint64)
+        within = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
         for d in (8, 7, 6, 5, 4, 3, 2, 1):
             same = np.zeros(len(h), bool)
-            same[d:] = h[d:] == h[:-d]
+            same[d:] = (h[d:] == h[:-d]) & (within[d:] >= d)
             gap[same] = d
         code = (gap + np.uint64(1)) * AGAIN_SEED * np.uint64(0x9E3779B97F4A7C15)
         out.append(((code >> shift).astype(np.int64), first))
-    del ends
     return out
 
 
@@ -50,8 +54,8 @@ def means(streams: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, n: in
         if not len(bucket):
             continue
         rows = table[bucket]
-        sums = np.add.reduceat(rows, np.minimum(first, len(bucket) - 1), axis=0)
-        sums[size == 0] = 0
+        sums = np.zeros((n, table.shape[1]), rows.dtype)
+        sums[size > 0] = np.add.reduceat(rows, first[size > 0], axis=0)
         total += sums / np.maximum(size, 1)[:, None]
     return total
 
