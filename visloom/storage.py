@@ -1,8 +1,8 @@
 """Where intermediate tables live.
 
 Executors and driver share only the folder named by ``spark.checkpoint.dir``.  Long jobs cut their
-lineage by writing a table there; a machine-local folder is used only when the setting is absent
-(plain local mode, as in tests).
+lineage by writing a table there; a machine-local folder is used only in local mode (as in tests)
+where the setting is absent.  On a cluster without the setting, writing is an error.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this cluster; sets one only where none is set."""
+    """The shared folder of this cluster; sets one only in local mode where none is set."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="visloom-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -42,4 +44,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing will read again."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
