@@ -254,20 +254,22 @@ def test_op5_equals_brute_force(spark, docs, nothing, rule):
     assert near_dup.near_duplicates(nothing, rule).count() == 0
 
 
-@pytest.mark.parametrize("last", [False, True])
-def test_op5_texts_of_one_template_are_not_paired_with_each_other(spark, monkeypatch, last):
+def test_op5_texts_of_one_template_are_not_paired_with_each_other(spark, monkeypatch):
     """Many texts that share most of their words link only where they should, and few pairs are tested."""
-    rng, tested, whole = random.Random(4), [], near_dup.linked
+    rng, tested, met = random.Random(4), [], []
+    whole, meet = near_dup.linked, near_dup._meeting
 
     def counted(pairs, *a):
         tested.append(pairs.count())
         return whole(pairs, *a)
 
+    def seen(*a):
+        met.append(meet(*a))
+        return met[-1]
+
     monkeypatch.setattr(near_dup, "linked", counted)
-    if last:  # straight to the last step
-        monkeypatch.setattr(near_dup, "SALTS", 0)
-    else:
-        monkeypatch.setattr(near_dup, "MIDDLE", 20)
+    monkeypatch.setattr(near_dup, "_meeting", seen)
+    monkeypatch.setattr(near_dup, "discard", lambda *a: None)
     rule, rows = near_dup.Rule(4, 85, 100), []
     for g in range(120):
         own = [f"o{rng.randrange(10**6)}" for _ in range(30)]
@@ -277,11 +279,26 @@ def test_op5_texts_of_one_template_are_not_paired_with_each_other(spark, monkeyp
             rows.append((1000 + g, " ".join([f"x{g}", *words[1:]])))
     got = near_dup.near_duplicates(frame(spark, rows), rule)
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(brute_components(rows, rule))
-    if not last:
-        assert sum(tested) < 160 * 25
+    assert sum(tested) < 160 * 2 and sum(m.count() for m in met) < 160 * 2
+
+
+@pytest.mark.parametrize("changes", [9, 3])
+def test_op5_large_group_of_near_copies(spark, monkeypatch, changes):
+    """Copies of one text with up to ``changes`` words changed, on both sides of the threshold."""
+    rng, rule = random.Random(changes), near_dup.Rule(4, 85, 100)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(changes + 1)):
+            w[rng.randrange(150)] = f"v{rng.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    got = near_dup.near_duplicates(frame(spark, rows), rule)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(brute_components(rows, rule))
 
 
-def test_op5_rarest_finer_blocks_lose_no_link(spark):
+def test_op5_shifted_sets_lose_no_link(spark):
+    """Whatever the pivot, linked sets meet among their first elements unless both link with the pivot."""
     rng, rule = random.Random(6), near_dup.Rule(3, 4, 5)
     base = [f"w{i}" for i in range(60)]
     texts = {0: " ".join(base)}
@@ -290,17 +307,25 @@ def test_op5_rarest_finer_blocks_lose_no_link(spark):
         for _ in range(rng.randrange(9)):
             w[rng.randrange(60)] = f"v{rng.randrange(40)}"
         texts[i] = " ".join(w)
-    data = spark.createDataFrame(list(texts.items()), "sid long, text string")
+    data = spark.createDataFrame(list(texts.items()), "sid long, text string").cache()
     sets = {i: {tuple(t.split()[j : j + 3]) for j in range(58)} for i, t in texts.items()}
-    for salt in (1, 2):
-        found = near_dup.rarest_blocks(data, data.selectExpr("sid", "sid as root"), rule, salt).collect()
-        held = collections.defaultdict(set)
-        for r in found:
-            held[r["sid"]].add(r["key"])
-        for a in texts:
-            for b in range(a):
-                if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4 and sets[a] != sets[b]:
-                    assert held[a] & held[b]
+    link = lambda a, b: len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4
+    for p in (0, 7, 41):
+        moved = near_dup.shifted(data.selectExpr(f"{p}L as p", "sid", "sid as root"), data, rule)
+        assert {r["sid"]: r["s"] for r in moved.collect()} == {i: len(sets[i] ^ sets[p]) for i in texts}
+        met = {(r["a"], r["b"]) for r in near_dup._meeting(near_dup.first_elements(moved, rule), rule).collect()}
+        missed = [(a, b) for b in texts for a in range(b) if sets[a] != sets[b] and link(a, b) and (a, b) not in met]
+        assert all(link(a, p) and link(b, p) for a, b in missed)
+
+
+def test_op5_keeps_one_row_of_each_component(spark):
+    say = lambda *w: " ".join(w)
+    base = [f"w{i}" for i in range(80)]
+    near, other = say("x", *base[1:]), say(*[f"o{i}" for i in range(30)])
+    rows = [(1, say(*base)), (1, say(*base)), (2, near), (5, near), (5, other), (None, other + " z"), (3, other + " z"), (7, ""), (None, "tiny"), (None, "tiny")]
+    kept = near_dup.keep_first(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", say(*base)), ("3", other + " z"), ("7", ""), ("None", "tiny")])
 
 
 def test_components_of_long_chains(spark, monkeypatch):

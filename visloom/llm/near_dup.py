@@ -1,24 +1,37 @@
 """N-gram Jaccard join by parity sketches.
 
-Each document's set of word shingles is hashed into blocks; a block's sketch is the XOR of the 64-bit hashes of
-its members, so a shingle that only one of two documents has changes exactly one block, and the number of differing
-blocks bounds the symmetric difference from below.  A link needs a symmetric difference of at most
-D = (1 - t) / (1 + t) * (size + size).  Inside a size band all documents use the same number of blocks, k > D, so linked
-documents agree on at least k - D blocks (the pigeonhole), and under one common order of blocks they agree on
-one of the first D + 1.  The order puts blocks with many members first: empty blocks and blocks of one common
-shingle are not emitted.  A document joins in its own band, and in the next one where a partner may lie there.
-
-Documents with equal sets are one class from the start, so copies are never paired.  Candidate pairs:
-all pairs of block groups of up to SMALL classes; in larger groups, rounds of pairs with one pivot, each after the
-components so far, so that a large group of near copies costs a few pairs a member.  Large groups of up to MIDDLE classes that still hold
-different components are then paired if a 512-bit parity sketch of one bit a shingle lets the pair through; members of larger ones meet again in finer blocks under another hash, where each set emits the D + 1 blocks that fewest
-of them share: texts that have a template in common but differ elsewhere have enough blocks of their own to meet nobody.  What is
-left after SALTS such rounds are pairs just short of the threshold in groups above MIDDLE; they too pass the sketch before a test.  Every candidate is verified on whole texts with exact set sizes; no candidate is dropped unless both ends are already
-in one component, so the components are those of all links.
-
-Defined results: a null, empty or white-space text has 0 shingles and is alone in its component; a text with fewer words
-than a shingle is its whole sequence; repeated rows are one class; a null id is ignored in a component's
-smallest id (null where all are null); an empty table gives an empty result.  Shingles and set classes are told apart by 64-bit hashes.
+Each document's set of word shingles is hashed into blocks; a block's sketch is the XOR of the
+64-bit hashes of its members, so a shingle that only one of two documents has changes exactly one
+block, and the number of differing blocks bounds the symmetric difference from below.  A link needs
+a symmetric difference of at most D = (1 - t) / (1 + t) * (size + size).  Inside a size band all
+documents use the same number of blocks, k > D, so linked documents agree on at least k - D blocks
+(the pigeonhole), and under one common order of blocks they agree on one of the first D + 1.  The
+order puts blocks with many members first: empty blocks and blocks of one common shingle are not
+emitted.  A document joins in its own band, and in the next one where a partner may lie there.
+
+Documents with equal sets are one class from the start, so copies are never paired.  Candidates:
+
+1. Blocks of up to SMALL classes: all their pairs.
+2. Larger blocks: each class with the block's pivot, the class that shares most blocks with others.
+3. What these leave in different components is compared relative to its pivot p.  Symmetric
+   differences do not change when both sets are XORed with a third, so x and y link only if the
+   small sets x ^ p and y ^ p differ in at most D elements.  If these have no element in common, a
+   link of x and y implies links of both with p, which step 2 has found.  Else their first common
+   element, in an order that puts the rarest first, has at most D elements before it in both sets
+   together.  So each set emits its first D + 1 elements with their places, and two sets meet where
+   places add up to at most D: of two that meet, one has at most D / 2 before it, and those that
+   have more never look at each other.  Texts of one template that differ in words of their own
+   have these first, and meet nobody.
+
+Pairs whose sizes or 512-bit parity sketches (one bit a shingle) rule a link out go no further; all
+others are verified on whole texts with exact set sizes.  No candidate is dropped otherwise, so the
+components are those of all links.
+
+Defined results: a null, empty or white-space text has 0 shingles and is alone in its component; a
+text with fewer words than a shingle is its whole sequence; repeated rows are one class; a null id
+is ignored in a component's smallest id (null where all are null); an empty table gives an empty
+result; other columns are ignored, whatever their names.  Shingles and set classes are told apart
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,12 +44,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visloom.llm.components import connected
+from visloom.llm.rows import kept_rows
 from visloom.llm.textbytes import mix, shingle_hashes, slices, utf8, word_hashes
-from visloom.storage import written
+from visloom.storage import discard, written
 
-SMALL, PIVOT_ROUNDS, LEAST_BAND = 16, 3, 8
-MIDDLE = 512  # classes of a large group that are paired under the sketch
-SALTS, FINER = 2, 4  # rounds in finer blocks, and how many of them take the place of one block
+SMALL, LEAST_BAND = 16, 8
+SKETCH = 512
 
 
 @dataclass(frozen=True)
@@ -93,14 +106,6 @@ def block_keys(h: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def finer_keys(h: np.ndarray, rule: Rule, salt: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(band, blocks to emit, keys of all blocks) in finer blocks under another hash."""
-    h = mix(h + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
-    for band, blocks, emit in rule.bands(len(h)):
-        key, _, empty = _blocks(h, band, FINER * blocks)
-        yield band, emit, np.concatenate([key, empty])
-
-
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes, offsets) of consecutive parts of a text column."""
     data, offsets = utf8(column)
@@ -131,7 +136,7 @@ def features(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
                     if s not in seen:
                         seen.add(s)
                         keys[i + d] = block_keys(h, rule).view(np.int64)
-                        odd = (np.bincount((h >> np.uint64(20)).astype(np.int64) & 511, minlength=512) & 1).astype(np.uint8)
+                        odd = (np.bincount((h >> np.uint64(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)
                         sketch[i + d] = np.packbits(odd).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n), pa.array(sid, mask=n == 0), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
@@ -168,115 +173,132 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def rarest_blocks(texts: DataFrame, who: DataFrame, rule: Rule, salt: int) -> DataFrame:
-    """(key, sid, root) of the classes ``who`` (sid, root): of each one's finer blocks the D + 1 that fewest of them share.
-
-    The order by (count, key) is one order for all, so linked classes agree on one of these.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [c.to_numpy() for c in batch.columns[:2]]
-            for i, flat, off in sets_of(batch.column(2), rule.k):
-                for d in range(len(off) - 1):
-                    for band, emit, keys in finer_keys(flat[off[d] : off[d + 1]], rule, salt):
-                        yield pa.RecordBatch.from_pydict({"sid": ids[0][[i + d]], "root": ids[1][[i + d]], "band": pa.array([band], pa.int32()), "emit": pa.array([emit], pa.int32()), "keys": pa.array([keys.view(np.int64)], pa.list_(pa.int64()))})
-
-    rows = texts.join(who, "sid").select("sid", "root", "text").mapInArrow(run, "sid long, root long, band int, emit int, keys array<long>")
-    flat = written(rows, "near-finer").select("sid", "root", "band", "emit", F.explode("keys").alias("key"))
-    counted = flat.join(flat.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
-    own = counted.groupBy("sid", "root", "band").agg(F.max("emit").alias("emit"), F.sort_array(F.collect_set(F.struct("c", "key"))).alias("g"))
-    first = own.select("sid", "root", F.explode(F.slice("g", F.lit(1), F.col("emit"))).alias("p"))
-    return first.where("p.c > 1").select("p.key", "sid", "root").distinct()
+def _most(sizes: Column, rule: Rule) -> Column:
+    return F.floor(sizes * (rule.den - rule.num) / (rule.den + rule.num))
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Rows (key, sid, root) of keys that hold more than one component, with the key's row count c."""
-    size = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
-    return rows.join(size.select("key", "c"), "key")
+def _possible(pairs: DataFrame, shapes: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that sizes and parity sketches do not rule out."""
+    a, b = (shapes.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    most = _most(F.col("na") + F.col("nb"), rule)
+    return pairs.join(a, "a").join(b, "b").where((F.abs(F.col("na") - F.col("nb")) <= most) & (apart <= most)).select("a", "b")
 
 
-def _pivoted(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each row (key, sid, root) with one row of its key, where their components differ."""
-    pick = rows.groupBy("key").agg(F.max_by(F.struct("sid", "root"), F.xxhash64("sid", F.lit(turn))).alias("p"))
-    return rows.join(pick, "key").where("root <> p.root").select(*_ordered(F.col("sid"), F.col("p.sid")))
+def shifted(groups: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (p, sid, root) -> p, sid, root, n, s, elements: the set of sid XORed with that of p, and its size s.
 
+    An element is the shingle's hash mixed with p, so that equal elements are in one group.
+    """
+    own, base = texts.select("sid", F.col("text").alias("tx")), texts.select(F.col("sid").alias("p"), F.col("text").alias("tp"))
+    rows = groups.join(own, "sid").join(base, "p").select("p", "sid", "root", "tx", "tp")
 
-def _sketched(rows: DataFrame, feats: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of one key and different components that their sizes and sketches do not rule out."""
-    shape = feats.where("sketch IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
-    full = rows.join(shape, "sid")
-    x, y = full.alias("x"), full.alias("y")
-    apart = sum((F.bit_count(F.col("x.s")[i].bitwiseXOR(F.col("y.s")[i])) for i in range(8)), F.lit(0))
-    total = F.col("x.n") + F.col("y.n")
-    near = (apart * (rule.den + rule.num) <= total * (rule.den - rule.num)) & (F.abs(F.col("x.n") - F.col("y.n")) * (rule.den + rule.num) <= total * (rule.den - rule.num))
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & near).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, sid, root = (c.to_numpy() for c in batch.columns[:3])
+            every, first, back = np.unique(p, return_index=True, return_inverse=True)
+            pivots: list[np.ndarray] = []
+            for _, flat, off in sets_of(batch.column(4).take(pa.array(first)), rule.k):
+                pivots += [flat[off[i] : off[i + 1]] for i in range(len(off) - 1)]
+            for i, flat, off in sets_of(batch.column(3), rule.k):
+                n, rows = np.diff(off), range(i, i + len(off) - 1)
+                parts = [np.setxor1d(flat[off[r - i] : off[r - i + 1]], pivots[back[r]], assume_unique=True) for r in rows]
+                parts = [mix(z ^ mix(every[back[r] : back[r] + 1].view(np.uint64))) for z, r in zip(parts, rows)]
+                s = np.array([len(z) for z in parts], np.int64)
+                at = pa.array(np.concatenate([[0], np.cumsum(s)]).astype(np.int32))
+                flat_z = pa.array(np.concatenate(parts).view(np.int64))
+                here = slice(i, i + len(n))
+                columns = [p[here], sid[here], root[here], n.astype(np.int64), s]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(at, flat_z)], ["p", "sid", "root", "n", "s", "elements"])
+
+    return rows.mapInArrow(run, "p long, sid long, root long, n long, s long, elements array<long>")
+
+
+def first_elements(moved: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (h, place, sid, root, n, s): the elements that others share among the first D + 1, rarest first."""
+    flat = moved.select("p", "sid", F.explode("elements").alias("h"))
+    shared = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-shared")
+    held = flat.join(shared, "h").groupBy("p", "sid").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("g"))
+    rows = moved.select("p", "sid", "root", "n", "s").join(held, ["p", "sid"])
+    alone = F.col("s") - F.size("g")  # elements of this set only come before all others
+    most = _most(F.col("n") + F.floor(F.col("n") * rule.den / rule.num), rule)
+    rows = rows.withColumn("alone", alone).withColumn("first", F.slice("g", F.lit(1), F.greatest(most + 1 - alone, F.lit(0)).cast("int")))
+    out = rows.select("sid", "root", "n", "s", "alone", F.posexplode("first").alias("i", "e"))
+    return out.select(F.col("e.h").alias("h"), (F.col("alone") + F.col("i")).alias("place"), "sid", "root", "n", "s")
+
+
+def _meeting(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of different components that meet at an element early enough in both sets."""
+    most = _most(F.col("n") + F.floor(F.col("n") * rule.den / rule.num), rule)
+    rows = rows.withColumn("early", 2 * F.col("place") <= most)
+    x, y = rows.where("early").alias("x"), rows.alias("y")
+    d = _most(F.col("x.n") + F.col("y.n"), rule)
+    rest = F.least(F.col("x.s") - F.col("x.place"), F.col("y.s") - F.col("y.place"))  # this element and what may follow
+    ok = (
+        (F.col("x.h") == F.col("y.h"))
+        & (F.col("x.root") != F.col("y.root"))
+        & (F.col("x.place") + F.col("y.place") <= d)
+        & (F.abs(F.col("x.n") - F.col("y.n")) <= d)
+        & (F.col("x.s") + F.col("y.s") - d <= 2 * rest)
+        & (~F.col("y.early") | (F.col("x.sid") < F.col("y.sid")))
+    )
+    return x.join(y, ok).select(*_ordered(F.col("x.sid"), F.col("y.sid"))).distinct()
 
 
 def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(features without keys, roots (v, root) of the classes that have links)."""
+    """(doc_id, rk, n, sid of each row; roots (v, root) of the classes that have links)."""
     feats = written(features(docs, rule, id_col, text_col), "near-features")
+    # one row a class: any document with this set stands for it
+    shapes = written(feats.where("sketch IS NOT NULL").select("sid", "n", "rk", "sketch").dropDuplicates(["sid"]), "near-shapes")
     emitted = feats.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "sid")
-    multi = emitted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("key", "c")
+    multi = written(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-keys")
     members = written(emitted.join(multi, "key"), "near-members")
-    one = feats.where("sid IS NOT NULL").groupBy("sid").agg(F.min("rk").alias("rk"))
-    wanted = one.join(members.select("sid").distinct(), "sid")
-    texts = written(docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text")).join(wanted, "rk").select("sid", "text"), "near-texts")
 
-    small = members.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("sid")).alias("g")).select("g").distinct()
+    small = members.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("sid")).alias("g")).where("size(g) > 1").select("g").distinct()
     first = small.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-    large = written(members.where(F.col("c") > SMALL).select("key", "sid", "c").distinct(), "near-large")
-    weight = large.groupBy("sid").agg(F.sum("c").alias("w"))
+    large = written(members.where(F.col("c") > SMALL).select("key", "sid").distinct(), "near-large")
+    weight = large.groupBy("sid").agg(F.count(F.lit(1)).alias("w"))
     pivots = large.join(weight, "sid").groupBy("key").agg(F.max_by("sid", F.struct("w", "sid")).alias("p"))
-    star = large.join(pivots, "key").where("sid <> p").select(*_ordered(F.col("sid"), F.col("p")))
-    tested = written(first.unionByName(star).distinct(), "near-pairs")
-    links = written(linked(tested, texts, rule), "near-links")
-    roots = connected(links)
-
-    def test(more: DataFrame) -> None:
-        """Verifies pairs that were not tested before, and brings the components up to date."""
-        nonlocal tested, links, roots
-        more = written(more.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if more.isEmpty():
-            return
-        tested = tested.unionByName(more)
-        fresh = written(linked(more, texts, rule), "near-links")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = connected(links)
-
-    def open_groups(large: DataFrame) -> DataFrame:
-        """Rows (key, sid, root, c) of large groups that hold more than one component."""
-        at = large.join(roots, large["sid"] == roots["v"], "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
-        return written(_several(at), "near-open")
-
-    rows = open_groups(large.select("key", "sid"))
-    for salt in range(SALTS + 1):
-        if salt:
-            members = written(_several(rarest_blocks(texts, rows.select("sid", "root").distinct(), rule, salt)), "near-members")
-            small = members.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("sid", "root"))).alias("g"))
-            pairs = small.select("g", F.posexplode("g").alias("i", "x")).select("x", F.explode(F.slice("g", F.col("i") + 2, F.lit(SMALL))).alias("y"))
-            test(pairs.where("x.root <> y.root").select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
-            rows = open_groups(members.where(F.col("c") > SMALL).select("key", "sid"))
-        for turn in range(PIVOT_ROUNDS):
-            if rows.isEmpty():
-                break
-            test(_pivoted(rows, turn))
-            rows = open_groups(rows.select("key", "sid"))
-        if rows.isEmpty():
-            break
-        last = salt == SALTS
-        test(_sketched(rows if last else rows.where(F.col("c") <= MIDDLE), feats, rule))
-        rows = rows.where(F.col("c") > MIDDLE)
-        if last or rows.isEmpty():
-            break
+    groups = written(large.join(pivots, "key").select("p", "sid").distinct(), "near-groups")
+    star = groups.where("sid <> p").select(*_ordered(F.col("sid"), F.col("p")))
+    pairs = written(_possible(first.unionByName(star).distinct(), shapes, rule), "near-pairs")
+
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(groups.select("sid")).distinct()
+    wanted = written(shapes.select("sid", "rk").join(ends, "sid"), "near-wanted")
+    named = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
+    texts = written(named.join(wanted, "rk").select("sid", "text"), "near-texts")
+    roots = connected(written(linked(pairs, texts, rule), "near-links"))
+
+    at = groups.join(roots, groups["sid"] == roots["v"], "left").select("p", "sid", F.coalesce("root", "sid").alias("root"))
+    several = at.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("p")
+    moved = written(shifted(at.join(several, "p"), texts, rule), "near-shifted")
+    early = written(first_elements(moved, rule), "near-first")
+    more = written(linked(_possible(_meeting(early, rule), shapes, rule), texts, rule), "near-links")
+    discard(multi, members, large, groups, pairs, wanted, texts, moved, early, shapes)
+    if not more.isEmpty():
+        roots = _joined(roots, more)
     return feats.select("doc_id", "rk", "n", "sid"), roots
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: the old ones are the vertices."""
+    to = {k: roots.select(F.col("v").alias(k), F.col("root").alias(f"r{k}")) for k in "ab"}
+    named = links.join(to["a"], "a", "left").join(to["b"], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    over = connected(named)
+    new = over.select("v", F.col("root").alias("top"))
+    ends = over.select("v", F.col("v").alias("root")).join(roots, "v", "left_anti")  # classes that had no link before
+    return written(roots.unionByName(ends).join(new.withColumnRenamed("v", "root"), "root", "left").select("v", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, rk, n and root (null without shingles) of each row."""
+    feats, roots = classes(docs, rule, id_col, text_col)
+    return feats.join(roots, feats["sid"] == roots["v"], "left").select("doc_id", "rk", "n", F.coalesce("root", "sid").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), one row per input row."""
-    feats, roots = classes(docs, rule, id_col, text_col)
-    at = feats.join(roots, feats["sid"] == roots["v"], "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
+    at = _components(docs, rule, id_col, text_col)
     alone = at.where("root IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     inside = at.where("root IS NOT NULL")
     least = inside.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -284,7 +306,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
 
 
 def keep_first(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; rows without an id stay."""
-    found = near_duplicates(docs, rule, id_col, text_col)
-    gone = found.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` with one row of each component: the smallest id stays, a null id only where all are null.
+
+    Rows are told apart by id and text, so an id that is also on another text decides nothing; of rows
+    that repeat both, one stays.  Texts without words all stay.
+    """
+    inside = written(_components(docs, rule, id_col, text_col).where("root IS NOT NULL"), "near-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "rk")
+    best = inside.groupBy("root").agg(F.min_by("rk", order).alias("stays"))
+    gone = inside.join(best, "root").where("rk <> stays").select(F.col("rk").alias("_row")).distinct()
+    return kept_rows(docs, F.xxhash64(id_col, text_col), gone, inside.groupBy(F.col("rk").alias("_row")).count().where("count > 1"))
