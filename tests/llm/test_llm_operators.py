@@ -469,3 +469,11 @@ def test_op10_hash_collisions_are_split(spark, docs, monkeypatch):
     got = exact_dedup.exact_groups(docs).groupBy("text_sha256").count().collect()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     assert len(got) == len({(t or "").translate(low) for _, t in edge_rows()})
+
+
+def test_op10_keeps_one_row_of_each_text(spark):
+    rows = [(1, "aa"), (1, "aa"), (2, "bb"), (5, "cc"), (7, "CC"), (5, "dd"), (None, "ee"), (3, "ee"), (None, None), (None, ""), (4, "AA"), (4, "aA")]
+    kept = exact_dedup.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    got = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in kept.collect())
+    assert got == sorted([("4", "aa"), ("2", "bb"), ("7", "cc"), ("5", "dd"), ("3", "ee"), ("None", "")])
