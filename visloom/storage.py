@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,23 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", batch: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The result has no lineage behind it, so a lost executor costs a re-read and not a re-run, and
-    the shuffle files of the job that wrote it are dropped when that job ends.
+    the shuffle files of the job that wrote it are dropped when that job ends.  ``batch`` bounds the
+    rows of an Arrow batch in this job, for rows that carry long values.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    during = {_CLEANUP: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in during}
     try:
+        for k, v in during.items():
+            spark.conf.set(k, v)
         df.write.option("compression", codec).parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
