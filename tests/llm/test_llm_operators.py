@@ -69,6 +69,17 @@ def test_op1_cuts_long_documents_into_segments(spark, monkeypatch):
     assert whole == [(1, 800 + 250), (2, 800), (3, 250)]
 
 
+@pytest.mark.parametrize("unit", ["a", "ab", "abcdefg hij"])
+def test_op1_periodic_texts(spark, unit):
+    """A long text of one short unit is few rows, and repeats only itself."""
+    text = (unit * 1_000_000)[:1_000_000]
+    rows = [(1, text), (2, unit * (230 // len(unit))), (3, "x" * 199), (4, "y" * 200), (5, "z" * 201)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert got == {1: 1_000_000, 2: len(rows[1][1]), 3: 0, 4: 0, 5: 201}
+    found = suffix_dedup._runs_of(spark.createDataFrame([(1, text)], "rk long, text string"), 200)
+    assert found.count() < 2_000 and found.groupBy().agg(F.sum(F.col("n") * F.col("k"))).head()[0] == 1_000_000 - 199
+
+
 def test_op2_as_of_join(spark):
     rows = [
         (1, "http://Ex.com/a/", 10, "response", {"etag": "x", "content-length": "5", "date": "1"}, "d1"),

@@ -23,16 +23,15 @@ _powers: dict[str, np.ndarray] = {}
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is empty."""
-    if pa.types.is_large_string(column.type) or column.null_count or column.offset:
-        column = pa.array(column.to_pylist(), pa.string()).fill_null("") if column.null_count else column.cast(pa.string())
-        column = pa.concat_arrays([column, pa.array([], pa.string())]) if column.offset else column
-    if column.offset:
-        column = pa.array(column.to_pylist(), pa.string())
+    if pa.types.is_large_string(column.type):
+        column = column.cast(pa.string())
+    if column.null_count:
+        column = column.fill_null("")
     n = len(column)
-    _, off, data = column.buffers()
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(off, np.int32, n + 1).astype(np.int64)
+    _, off, data = column.buffers()
+    offsets = np.frombuffer(off, np.int32, n + 1 + column.offset)[column.offset :].astype(np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
