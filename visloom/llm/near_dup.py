@@ -149,7 +149,7 @@ def features(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
 def linked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) of classes whose sets link, judged on their texts."""
     a, b = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
+    rows = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +182,7 @@ def _possible(pairs: DataFrame, shapes: DataFrame, rule: Rule) -> DataFrame:
     a, b = (shapes.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
     apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH // 64)), F.lit(0))
     most = _most(F.col("na") + F.col("nb"), rule)
-    return pairs.join(a, "a").join(b, "b").where((F.abs(F.col("na") - F.col("nb")) <= most) & (apart <= most)).select("a", "b")
+    return pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").where((F.abs(F.col("na") - F.col("nb")) <= most) & (apart <= most)).select("a", "b")
 
 
 def shifted(groups: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -191,7 +191,7 @@ def shifted(groups: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     An element is the shingle's hash mixed with p, so that equal elements are in one group.
     """
     own, base = texts.select("sid", F.col("text").alias("tx")), texts.select(F.col("sid").alias("p"), F.col("text").alias("tp"))
-    rows = groups.join(own, "sid").join(base, "p").select("p", "sid", "root", "tx", "tp")
+    rows = groups.hint("merge").join(own, "sid").hint("merge").join(base, "p").select("p", "sid", "root", "tx", "tp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +252,8 @@ def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     shapes = written(feats.where("sketch IS NOT NULL").select("sid", "n", "rk", "sketch").dropDuplicates(["sid"]), "near-shapes")
     emitted = feats.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "sid")
     multi = written(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-keys")
-    members = written(emitted.join(multi, "key"), "near-members")
+    # here and below: where both sides grow with the corpus, a join is never a broadcast
+    members = written(emitted.hint("merge").join(multi, "key"), "near-members")
 
     small = members.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("sid")).alias("g")).where("size(g) > 1").select("g").distinct()
     first = small.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", F.col("i") + 2, F.lit(SMALL))).alias("b"))
