@@ -397,6 +397,35 @@ def test_op7_equals_the_library(spark, docs, nothing):
     assert token_counts.token_counts(nothing, path).count() == 0
 
 
+def test_op7_every_code_point():
+    """A short text for every code point, the character in three places, against the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, counter = Tokenizer.from_file(path), token_counts.Counter(path, token_counts.class_tables(path))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 0x40000 <= c < 0xDF000]
+    for i in range(0, len(points), 20_000):
+        texts = [f"ab{chr(c)}cd {chr(c)}9 !{chr(c)}" for c in points[i : i + 20_000]]
+        want = [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert counter.count(texts).tolist() == want
+
+
+def test_op7_merges_of_long_pieces():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, merges, rng = Tokenizer.from_file(path), token_counts.Merges(path), random.Random(3)
+    pieces = ["".join(rng.choice("aeiorstnlé") for _ in range(n)) for n in [*range(1, 40), 5000, 60_000]] + ["a" * 9999, "!" * 777, "日本" * 50]
+    pieces += ["".join(rng.choice("aeiorstnlé") for _ in range(rng.randint(1, 30))) for _ in range(3000)] + ["aaaaaaa", "é"]
+    want = [len(tok.encode(x, add_special_tokens=False).ids) for x in pieces]
+    data = [x.encode() for x in pieces]
+    assert [merges.count(x) for x in data] == want
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    assert merges.counts(np.frombuffer(b"".join(data), np.uint8), offsets).tolist() == want
+
+
 def test_op8_finds_planted_items_and_edges(spark, nothing):
     rng = random.Random(4)
     say = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))

@@ -55,7 +55,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse."""
     if len(_powers.get("p", ())) < n:
         m = max(n, 1 << 18)
         for name, base in (("p", _P), ("i", _PI)):
@@ -69,7 +70,7 @@ class Rolling:
     """Hash of any byte range of one array in O(1) each, from a prefix sum of weighted byte values."""
 
     def __init__(self, data: np.ndarray):
-        p, self.inv = _power(len(data) + 1)
+        p, self.inv = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * p[:-1], out=self.sums[1:])
 
