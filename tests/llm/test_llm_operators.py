@@ -442,32 +442,44 @@ def test_op8_finds_planted_items_and_edges(spark, nothing):
 def test_op8_shards_give_the_same_rows(spark, monkeypatch):
     rng = random.Random(6)
     say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
-    items = [(i, say(15) + ". " + say(12) + ".") for i in range(24)]
-    rows = frame(spark, [(i, say(80) + " " + items[i][1] + " " + say(80)) for i in range(24)] + [(50, say(200))])
+    items = [(i, say(15) + ". " + say(12) + ".") for i in range(24)] + [(24, say(900)), (3, "same " + say(9)), (3, "same " + say(9))]
+    rows = frame(spark, [(i, say(80) + " " + items[i][1] + " " + say(80)) for i in range(25)] + [(50, say(200)), (51, items[24][1][:3000])])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 8)
-    got = decontaminate.matches(rows, bench).where("contaminated")
-    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(i, i) for i in range(24)]
-    assert [r["doc_id"] for r in decontaminate.clean(rows, bench).collect()] == [50]
+    want = sorted(map(tuple, decontaminate.matches(rows, bench).collect()))
+    assert sorted(r[:2] for r in want if r[-1]) == [(i, i) for i in range(25)]
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 900)
+    assert sorted(map(tuple, decontaminate.matches(rows, bench).collect())) == want
+    assert sorted(r["doc_id"] for r in decontaminate.clean(rows, bench).collect()) == [50, 51]
 
 
-def test_op8_wand_loses_nothing(spark):
-    """Pruned retrieval against scores of every passage and item."""
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.6])
+def test_op8_wand_loses_nothing(spark, threshold):
+    """Cursors against the scores of every passage and part."""
     rng = random.Random(8)
     say = lambda n: " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(n))
-    index = decontaminate.build_index([(i, say(25)) for i in range(40)], 5)
-    full, by_block, largest = index.dense()
-    words, doc = decontaminate._hash([say(400) for _ in range(6)])
-    got = {(int(a), int(b)) for a, b, _ in decontaminate.candidates(words, doc, index, (full, by_block, largest), 0.3)}
-    want = set()
-    step = max(32, index.longest)
-    for d in range(6):
+    items = [(i, say(rng.choice([3, 25, 100]))) for i in range(120)]
+    seen = decontaminate.statistics(spark.createDataFrame(items, "item_id long, text string"), "text")
+    index = decontaminate.build_index(items, 5, seen)
+    sizes = [-(-len(t.split()) // decontaminate.PART) for _, t in items]
+    assert seen.parts == sum(sizes) == len(index.item) and np.isclose(seen.mean, sum(len(t.split()) for _, t in items) / seen.parts)
+    full = np.zeros((len(index.terms), len(index.item)))
+    for t in range(len(index.terms)):
+        here = slice(index.first[t], index.first[t + 1])
+        full[t, index.part[here]] = index.impact[here]
+    assert np.allclose(full.sum(0), 1)
+    texts = [say(400) for _ in range(6)] + [items[k][1] for k in range(9)]
+    words, doc = decontaminate._hash(texts)
+    got = {(int(a), int(b)): c for a, b, c in decontaminate.candidates(words, doc, index, threshold)}
+    want = collections.defaultdict(float)
+    for d in range(len(texts)):
         own = words[doc == d]
-        for s in range(0, len(own), step):
-            t = np.searchsorted(index.terms, own[s : s + 2 * step])
-            t = np.unique([x for x, w in zip(t, own[s : s + 2 * step]) if x < len(index.terms) and index.terms[x] == w]).astype(int)
-            want |= {(d, int(i)) for i in np.flatnonzero(full[t].sum(0) >= 0.3)}
-    assert want and got == want
+        for s in range(0, len(own), decontaminate.PART):
+            t = np.searchsorted(index.terms, own[s : s + 2 * decontaminate.PART])
+            t = np.unique([x for x, w in zip(t, own[s : s + 2 * decontaminate.PART]) if x < len(index.terms) and index.terms[x] == w]).astype(int)
+            for x in np.flatnonzero(full[t].sum(0) >= threshold):
+                at = (d, int(index.item[x]))
+                want[at] = max(want[at], full[t].sum(0)[x])
+    assert want and got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in got)
 
 
 def test_op9_recovers_roles(spark):

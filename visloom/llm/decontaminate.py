@@ -1,24 +1,30 @@
 """Benchmark decontamination: BM25 retrieval of test items by every training passage, then verification.
 
-The test items form an inverted index with BM25 impacts, in blocks of items with the largest impact of
-each term per block.  Every document is cut into overlapping passages (each at least twice as long as the longest item, so
-that a whole copy of any item lies inside one passage).  A passage's score for an item is divided by the item's
-own score, so a full copy scores 1.  Retrieval is block-max WAND in whole-batch form: a passage is
-skipped where the sum of its terms' largest impacts stays below the threshold, then a block where the block's
-sums do, and the rest are scored exactly; nothing above the threshold is lost.  Each candidate is verified: the share
-of the item's shingles (five words), of its question's and of its answer's that the document holds.
-
-The index is cut into shards of bounded item count and bytes, each a separate pass with its own small index in the
-tasks, so a large benchmark needs more passes and never a larger broadcast.
-
-Defined results: null and empty texts match nothing; items without words are not searched for; an item of fewer than
-five words is one shingle, its whole word sequence, and matches only a document of just these words; repeated items and rows each give their rows; an empty
-table on either side gives an empty result.
+The test items, cut into parts of at most PART words, form an inverted index: for each term its parts
+in order, with BM25 impacts, cut into blocks of BLOCK postings with the largest impact of each.  Every
+document is cut into passages of 2 * PART words that begin every PART words, so a whole copy of any part
+lies inside one passage.  A passage's score for a part is divided by the part's own score, so a full
+copy scores 1.  Retrieval is block-max WAND at a fixed threshold: a passage whose terms' largest impacts
+do not add up to the threshold has no pivot and is skipped, and so is one whose terms' maxima add up to
+the threshold in no range of RANGE parts (both for many passages at once); for the others cursors move
+from pivot to pivot, past blocks whose maxima stay below the threshold.  Nothing above the threshold is
+lost.  Each item of a retrieved part is verified: the share of the item's shingles (five words), of its question's
+and of its answer's that the document holds.
+
+Document frequencies, the number of parts and their mean length are those of the whole benchmark.  The
+index in the tasks holds up to SHARD_BYTES of benchmark text; a larger benchmark takes one more scan for
+each further SHARD_BYTES, with the same rows as result.
+
+Defined results: null and empty texts match nothing; items without words are not searched for; an item
+of fewer than five words is one shingle, its whole word sequence, and matches only a document of just
+these words; repeated items and rows each give their rows; other columns are ignored, whatever their
+names; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,31 +34,42 @@ from pyspark.sql import DataFrame, functions as F
 
 from visloom.llm.textbytes import shingle_hashes, slices, utf8, word_hashes
 
-K1, B, BLOCK, SHARD_ITEMS, SHARD_BYTES = 1.2, 0.75, 8, 512, 16_000_000
+K1, B, BLOCK, RANGE, PART, SHARD_BYTES = 1.2, 0.75, 8, 2, 40, 64_000_000
+RANGES = 1_000_000  # sums in one step of a task
+SLACK = 1e-9  # of sums of impacts in another order
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 @dataclass(frozen=True)
-class Index:
-    """One shard: sorted term hashes, postings with impacts relative to each item's own score, and shingles."""
+class Statistics:
+    """Sorted term hashes of the whole benchmark with the number of parts that hold each, parts, and their mean words."""
 
     terms: np.ndarray
-    post_term: np.ndarray
-    post_item: np.ndarray
+    df: np.ndarray
+    parts: int
+    mean: float
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings of one shard by term, with impacts relative to each part's own score, and its items' shingles."""
+
+    terms: np.ndarray  # sorted hashes
+    first: np.ndarray  # first posting of each term
+    part: np.ndarray  # by posting, ascending within a term
     impact: np.ndarray
+    block: np.ndarray  # first block of each term
+    block_most: np.ndarray  # largest impact and last part by block
+    block_last: np.ndarray
+    most: np.ndarray  # largest impact by term
+    range_first: np.ndarray  # first entry of each term among its ranges of RANGE parts
+    range_of: np.ndarray  # by entry: the range, and the term's largest impact in it
+    range_most: np.ndarray
+    item: np.ndarray  # by part
     ids: list
     question: list[np.ndarray]
     answer: list[np.ndarray]
     whole: list[np.ndarray]
-    longest: int
-
-    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Impacts (terms x items), largest by block (terms x blocks), largest of all (terms)."""
-        blocks = -(-len(self.ids) // BLOCK)
-        full = np.zeros((len(self.terms), blocks * BLOCK), np.float32)
-        full[self.post_term, self.post_item] = self.impact
-        by_block = full.reshape(len(self.terms), blocks, BLOCK).max(2)
-        return full, by_block, by_block.max(1)
 
 
 def _hash(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,63 +90,156 @@ def split_item(text: str, least: int = 9) -> tuple[str, str]:
     return text, text
 
 
-def build_index(items: list[tuple[object, str]], k: int) -> Index:
-    """Index of one shard; items are (id, text)."""
+def _parts(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part of each word, item of each part): every item is cut into equal parts of at most PART words."""
+    size = np.bincount(owner, minlength=n)
+    many = -(-size // PART)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    return (np.cumsum(many) - many)[owner] + at * many[owner] // size[owner], np.repeat(np.arange(n), many)
+
+
+def statistics(items: DataFrame, text_col: str) -> Statistics:
+    """Counts over the whole benchmark; the driver gets one number for each distinct word of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, owner = _hash(batch.column(0).to_pylist())
+            part, item = _parts(owner, batch.num_rows)
+            size = np.bincount(part, minlength=len(item))
+            for i in range(0, len(item), 1000):
+                here = (part >= i) & (part < i + 1000)
+                pairs = np.unique(np.stack([part[here].astype(np.uint64), words[here]], 1), axis=0)
+                term, df = np.unique(pairs[:, 1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(df)], ["term", "df"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([int(size.sum()) << 32 | len(item)])], ["term", "df"])
+
+    counts = items.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    term, df = counts.column("term").combine_chunks(), counts.column("df").to_numpy()
+    none = term.is_null().to_numpy(zero_copy_only=False)
+    sums = int(df[none].sum()) if none.any() else 0
+    term, df = term.filter(pa.array(~none)).to_numpy().view(np.uint64), df[~none]
+    order = np.argsort(term)
+    return Statistics(term[order], df[order], sums & 0xFFFFFFFF, (sums >> 32) / max(sums & 0xFFFFFFFF, 1))
+
+
+def build_index(items: list[tuple[object, str]], k: int, seen: Statistics) -> Index:
+    """Index of one shard; items are (id, text) with at least one word each."""
     words, owner = _hash([t for _, t in items])
+    part, item = _parts(owner, len(items))
     terms, at = np.unique(words, return_inverse=True)
-    n, size = len(items), np.bincount(owner, minlength=len(items))
-    pair, tf = np.unique(at.astype(np.int64) * n + owner, return_counts=True)
-    term, item = pair // n, pair % n
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(size.mean(), 1)))
-    own = np.bincount(item, impact, n)
-    parts = [split_item(t) for _, t in items]
+    n, size = len(item), np.bincount(part, minlength=len(item))
+    pair, tf = np.unique(at.astype(np.int64) * n + part, return_counts=True)
+    term, part = pair // n, pair % n
+    df = seen.df[np.searchsorted(seen.terms, terms)][term]
+    idf = np.log1p((seen.parts - df + 0.5) / (df + 0.5))
+    impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[part] / max(seen.mean, 1)))
+    impact = impact / np.bincount(part, impact, n)[part]
+    many = np.bincount(term, minlength=len(terms))
+    first = np.concatenate([[0], np.cumsum(many)])
+    blocks = -(-many // BLOCK)
+    block = np.concatenate([[0], np.cumsum(blocks)])
+    begin = np.repeat(first[:-1] - block[:-1] * BLOCK, blocks) + np.arange(block[-1]) * BLOCK
+    last = np.minimum(begin + BLOCK, np.repeat(first[1:], blocks)) - 1
+    new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (part[1:] // RANGE != part[:-1] // RANGE)]))
+    ranges = np.concatenate([np.searchsorted(term[new], np.arange(len(terms))), [len(new)]])
+    pieces = [split_item(t) for _, t in items]
 
     def shingles(texts: list[str]) -> list[np.ndarray]:
         h, d = _hash(texts)
         flat, off = shingle_hashes(h, d, len(texts), k)
         return [flat[off[i] : off[i + 1]] for i in range(len(texts))]
 
-    return Index(terms, term, item, (impact / own[item]).astype(np.float32), [i for i, _ in items], shingles([q for q, _ in parts]), shingles([a for _, a in parts]), shingles([t for _, t in items]), int(size.max(initial=1)))
-
-
-def candidates(words: np.ndarray, doc: np.ndarray, index: Index, dense: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    """Distinct (document, item, score) rows of passages that reach the threshold."""
-    full, by_block, largest = dense
+    return Index(
+        terms, first, part, impact, block, np.maximum.reduceat(impact, begin), part[last], np.maximum.reduceat(impact, first[:-1]), ranges, part[new] // RANGE, np.maximum.reduceat(impact, new), item,
+        [i for i, _ in items], shingles([q for q, _ in pieces]), shingles([a for _, a in pieces]), shingles([t for _, t in items]),
+    )
+
+
+def block_max_wand(terms: np.ndarray, index: Index, threshold: float) -> Iterator[tuple[int, float]]:
+    """(part, score) of every part that these distinct terms score ``threshold`` or more, in order."""
+    part, impact, most, last = (memoryview(x) for x in (index.part, index.impact, index.block_most, index.block_last))
+    # a cursor: its part, posting, end of postings, largest impact, and what turns a posting into its block
+    cursors = [[part[a], a, b, m, a, k] for a, b, m, k in zip(*(x.tolist() for x in (index.first[terms], index.first[terms + 1], index.most[terms], index.block[terms])))]
+    while True:
+        cursors.sort()
+        total, pivot = 0.0, -1
+        for i, c in enumerate(cursors):
+            total += c[3]
+            if total >= threshold - SLACK:
+                pivot = i
+                break
+        if pivot < 0:
+            return
+        at = cursors[pivot][0]
+        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
+            pivot += 1
+        bound, past = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 62
+        for c in cursors[: pivot + 1]:
+            if c[0] < at:
+                c[1] = bisect_left(part, at, c[1], c[2])
+                c[0] = part[c[1]] if c[1] < c[2] else -1
+            if c[1] < c[2]:
+                k = c[5] + (c[1] - c[4]) // BLOCK
+                bound += most[k]
+                past = min(past, last[k] + 1)
+        if bound < threshold - SLACK:  # no part before the end of these blocks, or before the next cursor, can do
+            for c in cursors[: pivot + 1]:
+                if c[1] < c[2]:
+                    c[1] = bisect_left(part, past, c[1], c[2])
+        else:
+            held = [c for c in cursors[: pivot + 1] if c[0] == at]
+            score = sum(impact[c[1]] for c in held)
+            if score >= threshold:
+                yield at, score
+            for c in held:
+                c[1] += 1
+        cursors = [c for c in cursors if c[1] < c[2]]
+        for c in cursors:
+            c[0] = part[c[1]]
+
+
+def _open_passages(start: np.ndarray, stop: np.ndarray, term: np.ndarray, index: Index, threshold: float) -> Iterator[int]:
+    """The passages (terms start to stop) for which some range of parts has maxima that reach the threshold."""
+    ranges = int(index.range_of.max()) + 1
+    step = max(1, RANGES // ranges)
+    for lo in range(0, len(start), step):
+        s, t = start[lo : lo + step], term[start[lo] : stop[min(lo + step, len(start)) - 1]]
+        many = index.range_first[t + 1] - index.range_first[t]
+        entry = np.repeat(index.range_first[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        own = np.repeat(np.arange(len(s)), np.diff(np.concatenate([s - s[0], [len(t)]])))
+        sums = np.bincount(np.repeat(own, many) * ranges + index.range_of[entry], index.range_most[entry], len(s) * ranges)
+        yield from lo + np.flatnonzero(sums.reshape(len(s), ranges).max(1) >= threshold - SLACK)
+
+
+def candidates(words: np.ndarray, doc: np.ndarray, index: Index, threshold: float) -> np.ndarray:
+    """Distinct (document, item, largest score) rows of the parts that a passage scores ``threshold`` or more."""
     none = np.zeros((0, 3))
     at = np.searchsorted(index.terms, words)
     at[at == len(index.terms)] = 0
     known = np.flatnonzero(index.terms[at] == words)
     if not len(known):
         return none
-    step = max(32, index.longest)
     first = np.searchsorted(doc, np.arange(doc[-1] + 2))  # word position at which each document begins
     local = known - first[doc[known]]
-    grid = np.concatenate([[0], np.cumsum(np.diff(first) // step + 1)])  # passages are numbered through all documents
-    here = grid[doc[known]] + local // step
+    grid = np.concatenate([[0], np.cumsum(np.diff(first) // PART + 1)])  # passages are numbered through all documents
+    here = grid[doc[known]] + local // PART
     # a word is in the passage that begins at its step and in the one that began a step before
-    pairs = np.concatenate([here, (here - 1)[local >= step]])
-    term = np.concatenate([at[known], at[known][local >= step]]).astype(np.int64)
+    pairs = np.concatenate([here, (here - 1)[local >= PART]])
+    term = np.concatenate([at[known], at[known][local >= PART]]).astype(np.int64)
     key = np.unique(pairs.astype(np.int64) * len(index.terms) + term)
     passage, term = key // len(index.terms), key % len(index.terms)
-    bound = np.bincount(passage, largest[term])
-    keep = bound[passage] >= threshold
+    bound = np.bincount(passage, index.most[term])
+    keep = bound[passage] >= threshold - SLACK
     passage, term = passage[keep], term[keep]
     if not len(passage):
         return none
     start = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
     stop = np.concatenate([start[1:], [len(passage)]])
-    hits = []
-    for lo in range(0, len(start), 2048):  # bounds the work arrays
-        s, e = start[lo : lo + 2048], stop[min(lo + 2048, len(start)) - 1]
-        t = term[s[0] : e]
-        blocks = np.add.reduceat(by_block[t], s - s[0], axis=0)
-        for w, b in zip(*np.nonzero(blocks >= threshold)):
-            rows = term[s[w] : stop[lo + w]]
-            score = full[rows, b * BLOCK : (b + 1) * BLOCK].sum(0)
-            for x in np.flatnonzero(score >= threshold):
-                hits.append((passage[s[w]], b * BLOCK + x, score[x]))
+    hits = [
+        (passage[start[w]], index.item[x], score)
+        for w in _open_passages(start, stop, term, index, threshold)
+        for x, score in block_max_wand(term[start[w] : stop[w]], index, threshold)
+    ]
     if not hits:
         return none
     found = np.array(hits)
@@ -139,26 +249,26 @@ def candidates(words: np.ndarray, doc: np.ndarray, index: Index, dense: tuple[np
     return found[new]
 
 
-def shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """The items in groups of bounded count and bytes."""
+def indexes(items: DataFrame, id_col: str, text_col: str, k: int) -> Iterator[Index]:
+    """Indexes of the items, each of bounded bytes."""
     rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).head()
-    parts = max(1, -(-size["n"] // (SHARD_ITEMS * 3 // 4)), -(-size["b"] // SHARD_BYTES)) if size["n"] > SHARD_ITEMS or size["b"] > SHARD_BYTES else 1
-    for k in range(parts):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).orderBy("i", "t")
-        found = [(r["i"], r["t"]) for r in part.toLocalIterator() if r["t"].split()]
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).head()["b"]
+    seen, shards = statistics(rows, "t"), max(1, -(-size // SHARD_BYTES))
+    for shard in range(shards):
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == shard).orderBy("i", "t")
+        found = [(r["i"], r["t"]) for r in part.toLocalIterator() if len(_hash([r["t"]])[0])]
         if found:
-            yield found
+            yield build_index(found, k, seen)
 
 
-def verified(column: pa.Array, index: Index, dense: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float, overlap: float, part: float, k: int) -> Iterator[tuple]:
+def verified(column: pa.Array, index: Index, threshold: float, overlap: float, part: float, k: int) -> Iterator[tuple]:
     """(row, item id, score, item, question and answer overlap, contaminated) of each retrieved pair of a text column."""
     data, offsets = utf8(column)
     for i, j in slices(offsets):
         words, doc = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         if not len(words):
             continue
-        found = candidates(words, doc, index, dense, threshold)
+        found = candidates(words, doc, index, threshold)
         for d in np.unique(found[:, 0]).astype(int):
             own = words[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
             held, _ = shingle_hashes(own, np.zeros(len(own), np.int64), 1, k)
@@ -173,16 +283,15 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: fl
 
     def keep(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dense = index.dense()
             for batch in batches:
                 ok = np.ones(batch.num_rows, bool)
-                ok[[r[0] for r in verified(batch.column(place), index, dense, threshold, overlap, part, k) if r[-1]]] = False
+                ok[[r[0] for r in verified(batch.column(place), index, threshold, overlap, part, k) if r[-1]]] = False
                 yield batch.filter(pa.array(ok))
 
         return run
 
-    for group in shards(items, item_id, item_text):
-        docs = docs.mapInArrow(keep(build_index(group, k)), docs.schema)
+    for index in indexes(items, item_id, item_text, k):
+        docs = docs.mapInArrow(keep(index), docs.schema)
     return docs
 
 
@@ -198,9 +307,8 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap:
 
     def search(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dense = index.dense()
             for batch in batches:
-                out = list(verified(batch.column(1), index, dense, threshold, overlap, part, k))
+                out = list(verified(batch.column(1), index, threshold, overlap, part, k))
                 if out:
                     c = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c[0])), pa.array(c[1], kind), *(pa.array(x) for x in c[2:])], ["doc_id", "item_id", "score", "item_overlap", "question_overlap", "answer_overlap", "contaminated"])
@@ -208,7 +316,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap:
         return run
 
     found = None
-    for group in shards(items, item_id, item_text):
-        hits = rows.mapInArrow(search(build_index(group, k)), schema)
+    for index in indexes(items, item_id, item_text, k):
+        hits = rows.mapInArrow(search(index), schema)
         found = hits if found is None else found.unionByName(hits)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
