@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -482,26 +484,68 @@ def test_op8_wand_loses_nothing(spark, threshold):
     assert want and got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in got)
 
 
-def test_op9_recovers_roles(spark):
-    got = queries.op9_chat_format(spark, "/root/testdata/sf0.01").collect()
-    a, b = [r["roles"].split(",") for r in got], [r["true_roles"].split(",") for r in got]
-    exact = sum(x == y for x, y in zip(a, b)) / len(got)
-    assert exact > 0.6
+def test_op9_recovers_roles_of_conversations_it_has_not_learned_from(spark):
+    d = "/root/testdata/sf0.1"
+    got = queries.op9_chat_format(spark, d).collect()
+    assert len(got) == spark.read.parquet(f"{d}/conversations.parquet").select("conv_id").distinct().count()
+    held = [r for r in got if r["held_out"]]
+    exact = sum(r["roles"] == r["true_roles"] for r in held) / len(held)
+    assert len(held) > 100 and exact > 0.9
+
+
+def chat_model(rng, names=("user", "bot")):
+    return chat.smoothed(list(names), *(rng.integers(0, 9, n) * 1.0 for n in (9, (9, 9), (9, len(names) + 2), (9, chat.SHAPES))))
+
+
+def test_op9_viterbi_equals_the_best_of_all_paths():
+    rng = np.random.default_rng(5)
+    many = np.array([3, 0, 4, 1, 4, 3, 2])
+    for _ in range(6):
+        model = chat_model(rng)
+        marks, shapes = rng.integers(0, 4, many.sum()), rng.integers(0, chat.SHAPES, many.sum())
+        state = chat.viterbi(model, marks, shapes, many)
+        at = 0
+        for n in many:
+            m, s, path = marks[at : at + n], shapes[at : at + n], state[at : at + n]
+            at += n
+
+            def score(p):
+                return model.start[p[0]] + sum(model.move[i, j] for i, j in zip(p, p[1:])) + sum(model.mark[x, y] + model.shape[x, z] for x, y, z in zip(p, m, s))
+
+            if n:
+                assert np.isclose(score(path), max(score(p) for p in itertools.product(range(9), repeat=int(n))))
 
 
 def test_op9_edges(spark):
-    model = chat.model_of(np.zeros(66 + 6 * chat.SHAPES))
-    assert chat.parse(model, None) == [] and chat.parse(model, "") == [] and chat.render([]) == ""
-    turns = chat.parse(model, "User: hi\nthere\n\nAssistant: yes\n### System\nstop")
-    assert [r for r, _ in turns] == ["user", "assistant", "system"] and turns[0][1] == "hi\nthere"
-    long = "\n".join(["User: a", "b"] * 15_000)
-    assert sum(t.count("\n") + 1 for _, t in chat.parse(model, long)) == 30_000
-    rows = spark.createDataFrame([(1, None, None, None), (1, 0, "user", "x"), (1, 0, "user", "x"), (None, 0, "assistant", "")], "conv_id long, turn long, role string, text string")
+    rng, texts = np.random.default_rng(7), pa.array([None, "", "User: hi\nthere\n\nBot: yes\n### Bot\nNote: stop", "x", "\n\n", "User: hi\nthere\n\nBot: yes\n### Bot\nNote: stop"])
+    turns, role, said = chat.parse(chat_model(rng), texts)
+    assert turns[:2].tolist() == [0, 0] and (turns[2:] > 0).all() and turns[2] == turns[5]
+    said = said.to_pylist()
+    assert said[: turns[2]] == said[-turns[5] :]
+    assert chat.render(turns, pa.array(chat.ROLES).take(pa.array(role)), pa.array(said))[0].as_py() == ""
+    long = pa.array(["\n".join(["User: a", "b"] * 15_000)])
+    assert sum(t.count("\n") + 1 for t in chat.parse(chat_model(rng), long)[2].to_pylist()) == 30_000
+    kind = "conv_id long, turn long, role string, text string, key int, lines string, page int"
+    rows = spark.createDataFrame([(1, None, None, None), (1, 0, "user", "x"), (1, 0, "user", "x"), (None, 0, "assistant", ""), *[(2, i, ["user", "assistant"][i % 2], f"t{i}") for i in range(600)]], kind.split(", key")[0])
+    rows = rows.selectExpr("*", "1 as key", "'' as lines", "2 as page")
     raw = chat.transcripts_of(rows)
-    assert chat.formatted(raw.withColumn("key", F.col("conv_id")), chat.fit(raw)).count() == 2
+    model = chat.fit(raw)
+    got = {r["key"]: r for r in chat.formatted(raw.withColumn("key", F.col("conv_id")), model).collect()}
+    assert len(got) == 3 and got[2]["rendered"].count("<|end|>") == got[2]["n_turns"] > 400
     assert chat.formatted(raw.limit(0).withColumn("key", F.col("conv_id")), chat.fit(raw.limit(0))).count() == 0
 
 
+def test_op9_learns_what_markers_mean(spark):
+    """Words that no list knows become markers."""
+    talk = [(c, t, ["user", "assistant"][t % 2], ["zork: where is it?", "blip: it is over there\nand further on"][t % 2]) for c in range(30) for t in range(4)]
+    raw = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    lines = raw.groupBy("conv_id").agg(F.expr("flatten(transform(sort_array(collect_list(struct(turn, role, text))), x -> transform(split(x.text, '\n'), (y, i) -> struct(x.role as role, i = 0 as first, y as line))))").alias("lines"))
+    model = chat.fit(lines)
+    assert model.names == ["blip", "zork"]
+    turns, role, said = chat.parse(model, pa.array(["blip: yes\nNote: no\nzork: well?"]))
+    assert role.tolist() == [2, 1] and said.to_pylist() == ["yes\nNote: no", "well?"]
+
+
 def test_op10_equals_brute_force(spark, docs, nothing):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     groups = collections.defaultdict(list)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visloom.llm import chat, decontaminate, exact_dedup, language_id, mixing, near_dup, quality, suffix_dedup, token_counts, warc
+from visloom.storage import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +56,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = transcripts = chat.transcripts_of(_table(spark, sf_dir, "conversations"))
-    counts = chat.fit(raw)
-    found = chat.formatted(transcripts.withColumn("key", F.struct("conv_id", "page", "true_roles")), counts)
-    return found.select("key.conv_id", "key.page", "n_turns", F.array_join("roles", ",").alias("roles"), F.array_join("key.true_roles", ",").alias("true_roles"), "rendered")
+    raw = written(chat.transcripts_of(_table(spark, sf_dir, "conversations")), "chat-transcripts")
+    held = F.pmod(F.xxhash64("conv_id"), F.lit(5)) == 0  # another hash than the one that deals out marker styles
+    model = chat.fit(raw.where(~held))
+    found = chat.formatted(raw.withColumn("key", F.struct("conv_id", held.alias("held_out"), "true_roles")), model)
+    return found.select("key.conv_id", "key.held_out", "n_turns", F.array_join("roles", ",").alias("roles"), F.array_join("key.true_roles", ",").alias("true_roles"), "rendered")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
