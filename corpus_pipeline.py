@@ -1,8 +1,8 @@
 """Corpus preparation in five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared folder and read again as the
-next stage's input.  All but the last return the columns of ``documents``.  Rows with a null id are kept by every
-filter that decides by id; null texts score like empty ones.
+next stage's input.  All but the last return the columns of ``documents``.  Filters decide by row, so neither null nor
+repeated ids matter to them; null texts score like empty ones.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier scores at 0.3 or more."""
     held = quality.held_out()
     model = quality.fit(docs, quality.sample(quality.learning_labels(_table(spark, sf_dir, "labels"), held)))
-    return quality.scored(docs, model, threshold=0.3).where("quality_pred = 1").select(*docs.columns)
+    return quality.good(docs, model, threshold=0.3)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,25 @@ def test_op2_as_of_join(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_op2_header_names_hot_urls_and_repeated_records(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(2 * i, "http://hot.org/x", 1000 + i // 3, "response", {"ETag": f"v{i}", "Content-Length": str(i), "etag": "no"}, f"d{i}") for i in range(400)]
+    rows += [(2 * i + 1, "hot.org/x", rng.randrange(990, 1200), "revisit", {"eTAG": f"v{rng.randrange(400)}"}, None) for i in range(400)]
+    rows += rows[-3:]
+    monkeypatch.setattr(warc, "SLICES", 16)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "rec_id long, url string, ts long, kind string, headers map<string,string>, digest string, _slice int, outcome string")
+    full = [r for r in rows if r[3] == "response"]
+    want = []
+    for r in rows:
+        if r[3] == "revisit":
+            last = max((f for f in full if f[2] < r[2]), key=lambda f: (f[2], f[0]), default=None)
+            tag = r[4]["eTAG"]
+            want.append((r[0], "no_response" if last is None else "resolved" if last[4]["ETag"] == tag else "mismatch", last and last[0]))
+    got = warc.resolve_revisits(df)
+    assert sorted((r["rec_id"], r["outcome"], r["refers_to"]) for r in got.collect()) == sorted(want)
+    assert got.where("outcome = 'resolved' AND headers['content-length'] IS NULL").count() == 0
+
+
 def test_op3_learns_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = queries.op3_quality_classifier(spark, "/root/testdata/sf0.01")
@@ -109,6 +128,17 @@ def test_op3_learns_held_out_labels(spark):
     assert (held.predicted == held.quality).mean() > 0.95 and held.score.between(0, 1).all()
 
 
+def test_op3_equals_the_average_of_vectors(spark, docs):
+    """Scores against the definition: softmax of the mean vector of words and character n-grams, one text at a time."""
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(size=(1 << quality.BITS, 3)).astype(np.float32), rng.normal(size=(3, 2)), np.array([0.1, -0.2]))
+    for text, got in docs.select("text").join(quality.scored(docs.select("text"), model).dropDuplicates(), "text").select("text", "quality_score").collect():
+        data = text.encode()
+        at, _ = hashed_ngrams.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]), quality.BITS, quality.GRAMS, True, False)
+        z = model.table[at].mean(0) @ model.layer + model.bias if len(at) else model.bias
+        assert np.isclose(got, np.exp(z[1]) / np.exp(z).sum(), atol=1e-4)
+
+
 @pytest.mark.parametrize("grams, words, lower", [((3, 4), True, False), ((2, 3), False, True)])
 def test_a_text_has_the_features_of_its_own_bytes_in_any_batch(grams, words, lower):
     rng = random.Random(8)
@@ -119,7 +149,7 @@ def test_a_text_has_the_features_of_its_own_bytes_in_any_batch(grams, words, low
     def features(batch):
         data = [t.encode() for t in batch]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in data])]).astype(np.int64)
-        return hashed_ngrams.positions(np.frombuffer(b"".join(data), np.uint8), offsets, 12, grams, words, lower)
+        return hashed_ngrams.features(np.frombuffer(b"".join(data), np.uint8), offsets, 12, grams, words, lower)
 
     alone = [hashed_ngrams.means(features([t]), table, 1)[0] for t in texts]
     for k in range(10):
@@ -128,9 +158,9 @@ def test_a_text_has_the_features_of_its_own_bytes_in_any_batch(grams, words, low
         assert np.allclose(hashed_ngrams.means(streams, table, len(order)), [alone[i] for i in order], atol=1e-12)
         by_text = [w @ table[b] for b, w in hashed_ngrams.sparse(streams, len(order))]
         assert np.allclose(by_text, [alone[i] for i in order], atol=1e-5)
-    padded = [len(f" {t} ".encode()) for t in texts]
-    for k, (bucket, first) in zip(grams, features(texts)):
-        assert np.diff([*first, len(bucket)]).tolist() == [max(0, n - k + 1) for n in padded]
+    bucket, first = features(texts)
+    want = [sum(max(0, len(t) + 3 - k) for k in grams) + (2 * len(re.findall(r"[^ ]+", t)) if words else 0) for t in texts]
+    assert np.diff([*first, len(bucket)]).tolist() == want
     assert np.array_equal(alone[0] != 0, np.full(3, 2 in grams))
 
 

@@ -4,76 +4,76 @@ from __future__ import annotations
 
 import numpy as np
 
-from visloom.llm.textbytes import LOWER, Rolling, spaced, word_bounds
+from visloom.llm.textbytes import LOWER, Rolling, mix, spaced, word_bounds
 
-WORD_SEED, AGAIN_SEED = np.uint64(0xA5A5A5A5), np.uint64(0x5A5A5A5A5A5A)
+WORD_SEED, AGAIN_SEED, SPREAD = np.uint64(0xA5A5A5A5), np.uint64(0x5A5A5A5A5A5A), np.uint64(0x9E3779B97F4A7C15)
+FAR = 8
 
 
-def positions(data: np.ndarray, offsets: np.ndarray, bits: int, grams: tuple[int, ...], words: bool, lower: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Feature streams of a batch: (bucket of each occurrence, first occurrence of each text), texts in order.
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, and the offsets of the texts among them."""
+    begins = (data & 0xC0) != 0x80
+    at = np.concatenate([[0], np.cumsum(begins)])
+    if at[-1] == len(data):
+        return data.astype(np.uint32), offsets
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), at[offsets]
 
-    ``grams`` are byte n-gram sizes, 2 at least; each text is padded with a space at both ends and has only the grams within these.
-    With ``words``, a stream of whole words follows, and one of recurring words: a word is fed to it
-    under the distance (1 to 8 words) at which the same word stood before in the same text.
+
+def features(data: np.ndarray, offsets: np.ndarray, bits: int, grams: tuple[int, ...], words: bool, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each feature, first feature of each text) of a batch, texts in order.
+
+    A text's features are its character n-grams of the sizes ``grams``, 2 at least, of the text with a space
+    at both ends, and with ``words`` its words and, for each word, the distance (1 to FAR words, or none) at
+    which the same word stands before it: what words a text repeats differs, that it repeats does not.
     """
-    flat, starts = spaced(data, offsets)
+    n = len(offsets) - 1
+    points, at = characters(data, offsets)
+    flat, starts = spaced(points, at)
     if lower:
-        flat = LOWER[flat]
-    flat = np.concatenate([[np.uint8(32)], flat])  # the space before the first text
-    roll, shift, out = Rolling(flat), np.uint64(64 - bits), []
+        flat = np.where(flat < 128, LOWER[flat & 127], flat)
+    flat = np.concatenate([np.array([32], flat.dtype), flat])  # the space before the first text
+    roll, shift, found = Rolling(flat, mix(flat.astype(np.uint64) + np.uint64(7))), np.uint64(64 - bits), []
     ends = np.concatenate([starts[1:], [len(flat) - 1]])  # the space after each text
     for k in grams:
         h = roll.grams(k)
         own = np.ones(len(h), bool)
         for d in range(1, k - 1):  # a gram from here passes the space after its text
-            at = (ends - d)[ends - d >= starts]
-            own[at[at < len(h)]] = False
-        kept = np.maximum(ends - starts + 2 - k, 0)
-        out.append(((h[own] >> shift).astype(np.int64), np.cumsum(kept) - kept))
+            edge = (ends - d)[ends - d >= starts]
+            own[edge[edge < len(h)]] = False
+        found.append(((h[own] >> shift).astype(np.int64), np.maximum(ends - starts + 2 - k, 0)))
     if words:
         begin, end = word_bounds(flat)
-        h = roll.of(begin, end) + WORD_SEED
-        first = np.searchsorted(begin, starts + 1)
-        out.append(((h * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64), first))
-        gap = np.zeros(len(h), np.uint64)
-        within = np.arange(len(h)) - np.repeat(first, np.diff(np.concatenate([first, [len(h)]])))
-        for d in (8, 7, 6, 5, 4, 3, 2, 1):
-            same = np.zeros(len(h), bool)
-            same[d:] = (h[d:] == h[:-d]) & (within[d:] >= d)
-            gap[same] = d
-        code = (gap + np.uint64(1)) * AGAIN_SEED * np.uint64(0x9E3779B97F4A7C15)
-        out.append(((code >> shift).astype(np.int64), first))
-    return out
+        h, first = roll.of(begin, end) + WORD_SEED, np.searchsorted(begin, starts + 1)
+        many = np.diff(np.append(first, len(begin)))
+        found.append(((h * SPREAD >> shift).astype(np.int64), many))
+        gap, within = np.zeros(len(h), np.uint64), np.arange(len(h)) - np.repeat(first, many)
+        for d in range(FAR, 0, -1):
+            gap[d:][(h[d:] == h[:-d]) & (within[d:] >= d)] = d
+        found.append((((gap + np.uint64(1)) * AGAIN_SEED * SPREAD >> shift).astype(np.int64), many))
+    total = np.sum([many for _, many in found], axis=0)
+    first = np.cumsum(total) - total
+    out, filled = np.zeros(int(total.sum()), np.int64), np.zeros(n, np.int64)
+    for bucket, many in found:
+        out[np.repeat(first + filled - np.cumsum(many) + many, many) + np.arange(len(bucket))] = bucket
+        filled += many
+    return out, first
 
 
-def means(streams: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, n: int) -> np.ndarray:
-    """Sum over the streams of each text's mean row of ``table``; a stream without entries adds nothing."""
-    total = np.zeros((n, table.shape[1]))
-    for bucket, first in streams:
-        size = np.diff(np.concatenate([first, [len(bucket)]]))
-        if not len(bucket):
-            continue
-        rows = table[bucket]
-        sums = np.zeros((n, table.shape[1]), rows.dtype)
-        sums[size > 0] = np.add.reduceat(rows, first[size > 0], axis=0)
-        total += sums / np.maximum(size, 1)[:, None]
-    return total
+def means(found: tuple[np.ndarray, np.ndarray], table: np.ndarray, n: int) -> np.ndarray:
+    """Mean row of ``table`` over each text's features; zeros for a text without any."""
+    bucket, first = found
+    size = np.diff(np.concatenate([first, [len(bucket)]]))
+    sums = np.zeros((n, table.shape[1]))
+    if len(bucket):
+        sums[size > 0] = np.add.reduceat(table[bucket], first[size > 0], axis=0)
+    return sums / np.maximum(size, 1)[:, None]
 
 
-def sparse(streams: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def sparse(found: tuple[np.ndarray, np.ndarray], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, weights) of each text such that weights @ table[buckets] is its row of means()."""
-    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
-    for bucket, first in streams:
-        last = np.concatenate([first[1:], [len(bucket)]])
-        for i in range(n):
-            if last[i] > first[i]:
-                b, c = np.unique(bucket[first[i] : last[i]], return_counts=True)
-                found[i].append((b, c / (last[i] - first[i])))
+    bucket, first = found
     out = []
-    for parts in found:
-        if not parts:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
-            continue
-        b, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-        out.append((b, np.bincount(back, np.concatenate([w for _, w in parts])).astype(np.float32)))
+    for s, e in zip(first, [*first[1:], len(bucket)]):
+        b, c = np.unique(bucket[s:e], return_counts=True)
+        out.append((b, (c / max(e - s, 1)).astype(np.float32)))
     return out

@@ -3,7 +3,7 @@
 Each language has a codeword; one linear classifier over hashed character n-grams predicts each bit;
 decoding picks the codeword with the smallest loss-weighted distance (logistic loss of the signed
 margins) and flags a text as ambiguous where the runner-up is close.  Learning is numpy SGD in one
-task over a bounded sample (``max_rows`` expected rows per language).  Up to seven languages get the
+task over a bounded sample (``max_rows`` expected rows per language, chosen by a hash of id and text; twice that a language in all is a hard bound).  Up to seven languages get the
 exhaustive code (all distinct splits), more get seeded random codewords, of which the set with the
 largest least distance among some draws is taken.
 
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from visloom.llm.hashed_ngrams import means, positions, sparse
+from visloom.llm.hashed_ngrams import features, means, sparse
 from visloom.llm.textbytes import slices, utf8
 
 BITS, GRAMS = 15, (2, 3)
@@ -44,8 +44,8 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     return best
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    return positions(data, offsets, BITS, GRAMS, words=False, lower=True)
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return features(data, offsets, BITS, GRAMS, words=False, lower=True)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 4, rate: float = 40.0, seed: int = 3) -> np.ndarray:
@@ -73,7 +73,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     if not langs:
         return [], np.zeros(((1 << BITS) + 1, 1), np.float32)
     pairs = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, max_rows / sizes[k]))])
-    unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) / 1e6
+    unit = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("sample")), F.lit(1_000_000)) / 1e6
     sample = known.where(unit < pairs[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         np.save(out, table)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    blob = sample.mapInArrow(extract, "lang string, k long, at binary, w binary").repartition(1).mapInArrow(learn, "model binary").head()
+    feats = sample.mapInArrow(extract, "lang string, k long, at binary, w binary").limit(2 * max_rows * len(langs))
+    blob = feats.repartition(1).mapInArrow(learn, "model binary").head()
     return langs, np.load(io.BytesIO(bytes(blob["model"])))
 
 

@@ -1,7 +1,7 @@
 """Quality classifier by supervised subword embeddings.
 
-Hashed words, recurring words and character n-grams each have a learned vector; a document is the
-average of its vectors; a softmax layer gives the two labels.  Training is numpy stochastic gradient
+Hashed words and character n-grams, and the distances at which words recur, each have a learned vector; a
+document is the average of its vectors; a softmax layer gives the two labels.  Training is numpy stochastic gradient
 descent in one task over a bounded sample of labelled rows (``max_rows`` expected rows per label,
 chosen by a hash of the id, so it is the same at any partitioning).  A fitted model is two arrays of fixed size, so it
 travels with the tasks that score; scoring folds the output layer into the table, which is the same sum.
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from visloom.llm.hashed_ngrams import means, positions, sparse
+from visloom.llm.hashed_ngrams import features, means, sparse
 from visloom.llm.textbytes import slices, utf8
 
 BITS, DIM, GRAMS = 16, 12, (3, 4)
@@ -69,12 +69,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
             back = layer @ p
             layer -= lr * np.outer(h, p)
             bias -= lr * p
-            table[at] = e - np.float32(lr * 4) * np.outer(w, back)
+            table[at] = e - np.float32(lr * 16) * np.outer(w, back)
     return Model(table, layer, bias)
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    return positions(data, offsets, BITS, GRAMS, words=True, lower=False)
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return features(data, offsets, BITS, GRAMS, words=True, lower=False)
 
 
 def sample(labels: DataFrame, id_col: str = "doc_id", max_rows: int = 3000) -> DataFrame:
@@ -85,8 +85,11 @@ def sample(labels: DataFrame, id_col: str = "doc_id", max_rows: int = 3000) -> D
     return labels.where(unit < share).limit(2 * max_rows * max(1, len(sizes)))
 
 
-def fit(docs: DataFrame, sampled: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Model:
-    """Model from the documents of a bounded sample (id, label), which is broadcast: documents never move."""
+def fit(docs: DataFrame, sampled: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows: int = 20_000) -> Model:
+    """Model from the documents of a bounded sample (id, label), which is broadcast: documents never move.
+
+    Where ids repeat, ``max_rows`` is a hard bound on the documents learned from.
+    """
     chosen = F.broadcast(sampled.withColumnRenamed(id_col, "_id"))
     rows = docs.select(id_col, text_col).join(chosen, F.col(id_col) == F.col("_id"))
     sample = rows.select(F.col("label").cast("int").alias("label"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
@@ -111,7 +114,7 @@ def fit(docs: DataFrame, sampled: DataFrame, text_col: str = "text", id_col: str
         np.savez(out, table=m.table, layer=m.layer, bias=m.bias)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    feats = sample.mapInArrow(extract, "label int, k long, at binary, w binary")
+    feats = sample.mapInArrow(extract, "label int, k long, at binary, w binary").limit(max_rows)
     blob = feats.repartition(1).mapInArrow(learn, "model binary").head()
     with np.load(io.BytesIO(bytes(blob["model"]))) as z:
         return Model(z["table"], z["layer"], z["bias"])
@@ -120,7 +123,7 @@ def fit(docs: DataFrame, sampled: DataFrame, text_col: str = "text", id_col: str
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` with quality_score (double) and quality_pred (int, 1 where the score reaches the threshold).
 
-    Clashing columns of the input of these two names are replaced.
+    Clashing columns of the input of these two names are replaced; ``good`` leaves them alone.
     """
     table, bias = model.folded()
     docs = docs.drop("quality_score", "quality_pred")
@@ -129,17 +132,34 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(place))
-            score = np.zeros(batch.num_rows)
-            for i, j in slices(offsets):
-                part = offsets[i : j + 1]
-                x = means(_features(data[part[0] : part[-1]], part - part[0]), table, j - i)[:, 0] + bias
-                score[i:j] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            score = _scores(batch.column(place), table, bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*names, "quality_score", "quality_pred"])
 
     return docs.mapInArrow(run, schema)
 
 
+def good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, all columns as they are."""
+    table, bias = model.folded()
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(place), table, bias) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scores(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
+    data, offsets = utf8(column)
+    score = np.zeros(len(column))
+    for i, j in slices(offsets, 500_000):
+        part = offsets[i : j + 1]
+        x = means(_features(data[part[0] : part[-1]], part - part[0]), table, j - i)[:, 0] + bias
+        score[i:j] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return score
+
+
 def learning_labels(labels: DataFrame, held: Column) -> DataFrame:
     """(doc_id, label) to learn from; one row per labelled id that is not held out."""
     ok = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)

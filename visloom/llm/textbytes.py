@@ -67,12 +67,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hash of any byte range of one array in O(1) each, from a prefix sum of weighted byte values."""
+    """Hash of any range of one array in O(1) each, from a prefix sum of weighted values (of bytes, if not given)."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray | None = None):
         p, self.inv = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * p[:-1], out=self.sums[1:])
+        np.cumsum((_BYTE[data] if values is None else values) * p[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed 64-bit hashes of data[start:end]; equal bytes, equal hash."""
@@ -89,7 +89,7 @@ def spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lens = np.diff(offsets)
     n = len(lens)
     starts = offsets[:-1] - offsets[0] + np.arange(n)
-    out = np.full(int(offsets[-1] - offsets[0]) + n, 32, np.uint8)
+    out = np.full(int(offsets[-1] - offsets[0]) + n, 32, data.dtype)
     keep = np.ones(len(out), bool)
     keep[starts + lens] = False
     out[keep] = data[offsets[0] : offsets[-1]]
@@ -108,8 +108,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
 
 
 def word_bounds(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every run of bytes that are not ASCII white space; flat ends in a space."""
-    solid = ~SPACE[flat]
+    """Start and end of every run of bytes or code points that are not ASCII white space; flat ends in a space."""
+    solid = ~SPACE[flat] if flat.dtype == np.uint8 else (flat >= 256) | ~SPACE[flat & 255]
     edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     if len(solid) and solid[0]:
         edge = np.concatenate([[0], edge])

@@ -4,12 +4,14 @@ Each revisit takes the latest earlier full response of the same canonical URL (a
 revisit's validators are compared with that response, and the headers that a 304 may update are merged.
 
 The as-of join is two window passes over narrow rows: inside (URL, time slice) first, then over each
-URL's slice summaries, of which there are at most ``SLICES`` however many records a URL has.  A hot URL is thus
-spread over its slices, and payloads never move.
+URL's slice summaries, of which there are at most ``SLICES`` however many records a URL has.  Slices hold
+about equal numbers of records, so a hot URL is spread over them even where its records come in a burst,
+and payloads never move.
 
 Defined results: a response at the same instant as the revisit is not earlier; among responses of one instant
 the larger rec_id wins; records with a null URL or null time resolve to nothing; a null header map is an
-empty one; repeated records are resolved each; an empty table gives an empty result.  ``outcome`` is
+empty one; header names are compared, and returned, in lower case, and of names that differ only in case the
+first counts; other columns are ignored, whatever their names; repeated records are resolved each; an empty table gives an empty result.  ``outcome`` is
 "resolved", "mismatch" (a validator differs), "unvalidated" (nothing to compare; not merged) or "no_response".
 An ETag, where both sides have one, decides alone (weak comparison); else Last-Modified does.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SLICES = 1024
+SLICES = 256
 # Header fields that a not-modified answer may update.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 TRACKING = r"(?i)(^|&)(utm_[a-z]*|ref|fbclid|gclid)=[^&]*"
@@ -33,18 +35,23 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path, r"/+$", ""), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
 
 
+def lower_names(headers: Column) -> Column:
+    """Header map with names in lower case; of equal names the first."""
+    pairs = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    names = F.transform(pairs, lambda e: e["key"])
+    return F.map_from_entries(F.filter(pairs, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Rows (rec_id, url, ts, kind, headers, digest) -> one row per record of kind "revisit".
 
     Columns: rec_id, url_key, ts, outcome, refers_to (rec_id of the response), digest (of the response, where resolved),
     headers (merged where resolved, else the revisit's own).
     """
-    none = F.create_map().cast("map<string,string>")
-    rows = records.select("rec_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "kind", "digest", F.coalesce("headers", none).alias("headers"))
-    span = rows.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).head()
-    t0, t1 = (span["t0"] or 0), (span["t1"] or 0)
-    width = (t1 - t0) // SLICES + 1
-    rows = rows.withColumn("_slice", F.floor((F.col("ts") - t0) / width))
+    rows = records.select("rec_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "kind", "digest", lower_names(F.col("headers")).alias("headers"))
+    found = rows.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)], 10 * SLICES).alias("q")).head()["q"]
+    edges = F.array(*[F.lit(x) for x in sorted(set(found or []))]).cast("array<bigint>")
+    rows = rows.withColumn("_slice", F.when(F.col("ts").isNotNull(), F.size(F.filter(edges, lambda x: x < F.col("ts")))))
     usable = (F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("ts").isNotNull()
     found = F.when(usable, F.struct("rec_id", "digest", "headers"))
     order = [F.col("ts"), (F.col("kind") == "response").cast("int"), F.col("rec_id")]
