@@ -98,6 +98,8 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     feats = sample.mapInArrow(extract, "lang string, k long, at binary, w binary").limit(2 * max_rows * len(langs))
     blob = feats.repartition(1).mapInArrow(learn, "model binary").head()
+    if blob is None:
+        return langs, train([], np.zeros((0, code.shape[1]), np.float32))
     return langs, np.load(io.BytesIO(bytes(blob["model"])))
 
 

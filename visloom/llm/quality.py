@@ -116,6 +116,8 @@ def fit(docs: DataFrame, sampled: DataFrame, text_col: str = "text", id_col: str
 
     feats = sample.mapInArrow(extract, "label int, k long, at binary, w binary").limit(max_rows)
     blob = feats.repartition(1).mapInArrow(learn, "model binary").head()
+    if blob is None:  # no document to learn from
+        return train([], np.zeros(0, np.int64))
     with np.load(io.BytesIO(bytes(blob["model"]))) as z:
         return Model(z["table"], z["layer"], z["bias"])
 
