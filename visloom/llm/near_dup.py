@@ -177,11 +177,15 @@ def _most(sizes: Column, rule: Rule) -> Column:
     return F.floor(sizes * (rule.den - rule.num) / (rule.den + rule.num))
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
+
+
 def _possible(pairs: DataFrame, shapes: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that sizes and parity sketches do not rule out."""
     a, b = (shapes.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    most = _most(F.col("na") + F.col("nb"), rule)
+    apart, most = _apart(F.col("sa"), F.col("sb")), _most(F.col("na") + F.col("nb"), rule)
     return pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").where((F.abs(F.col("na") - F.col("nb")) <= most) & (apart <= most)).select("a", "b")
 
 
@@ -214,8 +218,8 @@ def shifted(groups: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(run, "p long, sid long, root long, n long, s long, elements array<long>")
 
 
-def first_elements(moved: DataFrame, rule: Rule) -> DataFrame:
-    """Rows (h, place, sid, root, n, s): the elements that others share among the first D + 1, rarest first."""
+def first_elements(moved: DataFrame, shapes: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (h, place, sid, root, n, s, sketch): the elements that others share among the first D + 1, rarest first."""
     flat = moved.select("p", "sid", F.explode("elements").alias("h"))
     shared = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-shared")
     held = flat.join(shared, "h").groupBy("p", "sid").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("g"))
@@ -223,12 +227,16 @@ def first_elements(moved: DataFrame, rule: Rule) -> DataFrame:
     alone = F.col("s") - F.size("g")  # elements of this set only come before all others
     most = _most(F.col("n") + F.floor(F.col("n") * rule.den / rule.num), rule)
     rows = rows.withColumn("alone", alone).withColumn("first", F.slice("g", F.lit(1), F.greatest(most + 1 - alone, F.lit(0)).cast("int")))
-    out = rows.select("sid", "root", "n", "s", "alone", F.posexplode("first").alias("i", "e"))
-    return out.select(F.col("e.h").alias("h"), (F.col("alone") + F.col("i")).alias("place"), "sid", "root", "n", "s")
+    rows = rows.where("size(first) > 0").hint("merge").join(shapes.select("sid", "sketch"), "sid")
+    out = rows.select("sid", "root", "n", "s", "sketch", "alone", F.posexplode("first").alias("i", "e"))
+    return out.select(F.col("e.h").alias("h"), (F.col("alone") + F.col("i")).alias("place"), "sid", "root", "n", "s", "sketch")
 
 
 def _meeting(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of different components that meet at an element early enough in both sets."""
+    """Pairs (a, b) of different components that meet at an element early enough in both sets.
+
+    Sizes and sketches are part of the join's condition, so that what they rule out is never a row.
+    """
     most = _most(F.col("n") + F.floor(F.col("n") * rule.den / rule.num), rule)
     rows = rows.withColumn("early", 2 * F.col("place") <= most)
     x, y = rows.where("early").alias("x"), rows.alias("y")
@@ -241,6 +249,7 @@ def _meeting(rows: DataFrame, rule: Rule) -> DataFrame:
         & (F.abs(F.col("x.n") - F.col("y.n")) <= d)
         & (F.col("x.s") + F.col("y.s") - d <= 2 * rest)
         & (~F.col("y.early") | (F.col("x.sid") < F.col("y.sid")))
+        & (_apart(F.col("x.sketch"), F.col("y.sketch")) <= d)
     )
     return x.join(y, ok).select(*_ordered(F.col("x.sid"), F.col("y.sid"))).distinct()
 
@@ -273,8 +282,8 @@ def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     at = groups.join(roots, groups["sid"] == roots["v"], "left").select("p", "sid", F.coalesce("root", "sid").alias("root"))
     several = at.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("p")
     moved = written(shifted(at.join(several, "p"), texts, rule), "near-shifted")
-    early = written(first_elements(moved, rule), "near-first")
-    more = written(linked(_possible(_meeting(early, rule), shapes, rule), texts, rule), "near-links")
+    early = written(first_elements(moved, shapes, rule), "near-first")
+    more = written(linked(_meeting(early, rule), texts, rule), "near-links")
     discard(multi, members, large, groups, pairs, wanted, texts, moved, early, shapes)
     if not more.isEmpty():
         roots = _joined(roots, more)
