@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from visloom.llm.rows import kept_rows
+from visloom.llm.rows import kept_rows, marked
 from visloom.storage import written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -46,7 +46,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame
     out = digests.join(groups, ["h128", "sha"])
 
     several = groups.where("group_size > 1").select("h128").distinct()
-    texts = rows.join(several, "h128").groupBy("h128", "norm").agg(*verdict)
+    maybe = marked(rows, F.xxhash64("h128"), several.select(F.xxhash64("h128").alias("h")), "maybe").where("maybe")
+    texts = maybe.join(several, "h128", "left_semi").groupBy("h128", "norm").agg(*verdict)
     differ = texts.select("h128", F.unhex(F.sha2("norm", 256)).alias("sha")).groupBy("h128", "sha").count()
     apart = written(differ.where("count > 1").select("h128").distinct(), "exact-collisions")
     if not apart.isEmpty():  # texts of one digest that differ in bytes
@@ -69,7 +70,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """One row of ``docs`` of each set of equal texts."""
     found = _judged(docs, id_col, text_col, keep).where("group_size > 1")
     found = written(found.select("row", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")), "exact-rows")
-    gone = found.where("NOT kept").select(F.col("row").alias("_row")).distinct()
+    gone = written(found.where("NOT kept").select(F.col("row").alias("_row")).distinct(), "exact-gone")
     again = found.where("kept").groupBy(F.col("row").alias("_row")).count().where("count > 1")
     return kept_rows(docs, _row(F.col(id_col), normalised(F.col(text_col))), gone, again)
 

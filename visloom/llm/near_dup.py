@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visloom.llm.components import connected
-from visloom.llm.rows import kept_rows
+from visloom.llm.rows import kept_rows, marked
 from visloom.llm.textbytes import mix, shingle_hashes, slices, utf8, word_hashes
 from visloom.storage import discard, written
 
@@ -276,7 +276,8 @@ def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).unionByName(groups.select("sid")).distinct()
     wanted = written(shapes.select("sid", "rk").join(ends, "sid"), "near-wanted")
     named = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
-    texts = written(named.join(wanted, "rk").select("sid", "text"), "near-texts")
+    maybe = marked(named, F.col("rk"), wanted.select("rk"), "maybe").where("maybe")
+    texts = written(maybe.hint("merge").join(wanted, "rk").select("sid", "text"), "near-texts")
     roots = connected(written(linked(pairs, texts, rule), "near-links"))
 
     at = groups.join(roots, groups["sid"] == roots["v"], "left").select("p", "sid", F.coalesce("root", "sid").alias("root"))
@@ -324,5 +325,5 @@ def keep_first(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     inside = written(_components(docs, rule, id_col, text_col).where("root IS NOT NULL"), "near-rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "rk")
     best = inside.groupBy("root").agg(F.min_by("rk", order).alias("stays"))
-    gone = inside.join(best, "root").where("rk <> stays").select(F.col("rk").alias("_row")).distinct()
+    gone = written(inside.join(best, "root").where("rk <> stays").select(F.col("rk").alias("_row")).distinct(), "near-gone")
     return kept_rows(docs, F.xxhash64(id_col, text_col), gone, inside.groupBy(F.col("rk").alias("_row")).count().where("count > 1"))

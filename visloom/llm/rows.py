@@ -1,10 +1,30 @@
-"""Filters that decide by row and not by id."""
+"""Filters that decide by row and not by id, and bitmaps that spare rows a shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+MOST_BITS, WORD = 27, 32768  # a bitmap has at most 2**MOST_BITS bits (16 MB), in rows of WORD bits
+
+
+def marked(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: false only where the 64-bit ``key`` is not in ``keys`` (one column of these).
+
+    The bitmap that is broadcast has about 16 bits a key and never more than 2**MOST_BITS; with many more keys than
+    that it is true nearly everywhere, and the join that follows does all the work.
+    """
+    (column,) = keys.columns
+    bits = min(max((16 * keys.count()).bit_length(), WORD.bit_length()), MOST_BITS)
+    place = F.pmod(F.col(column), F.lit(1 << bits))
+    maps = keys.select(F.floor(place / WORD).alias("_word"), (place % WORD).alias("_bit")).groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = F.pmod(key, F.lit(1 << bits))
+    found = rows.withColumn("_at", at).join(F.broadcast(maps), F.floor(F.col("_at") / WORD) == F.col("_word"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") % WORD / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("1 << cast(_at % 8 as int)")
+    return found.withColumn(name, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("_at", "_word", "_bits")
+
+
 def kept_rows(docs: DataFrame, row: Column, gone: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without the rows whose key ``row`` is in ``gone`` (_row), and one row of each key in ``repeated`` (_row).
 
@@ -13,8 +33,11 @@ def kept_rows(docs: DataFrame, row: Column, gone: DataFrame, repeated: DataFrame
     key = "_row"
     while key in docs.columns:
         key += "_"
-    named = docs.withColumn(key, row)
-    left = named.join(gone.select(F.col("_row").alias(key)), key, "left_anti")
+    named, flag = docs.withColumn(key, row), key + "_maybe"
+    # only rows that may be gone meet the list of those that are; the others stay where they are
+    named = marked(named, F.xxhash64(key), gone.select(F.xxhash64("_row").alias("_row")), flag)
+    doubtful = named.where(flag).join(gone.select(F.col("_row").alias(key)).hint("merge"), key, "left_anti")
+    left = named.where(f"NOT {flag}").unionByName(doubtful).drop(flag)
     again = repeated.select(F.col("_row").alias(key))
     if again.isEmpty():
         return left.select(*docs.columns)
