@@ -50,6 +50,7 @@ from visloom.storage import discard, written
 
 SMALL, LEAST_BAND = 16, 8
 SKETCH = 512
+FAR = 0x2545F4914F6CDD1D
 
 
 @dataclass(frozen=True)
@@ -192,7 +193,9 @@ def _possible(pairs: DataFrame, shapes: DataFrame, rule: Rule) -> DataFrame:
 def shifted(groups: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Rows (p, sid, root) -> p, sid, root, n, s, elements: the set of sid XORed with that of p, and its size s.
 
-    An element is the shingle's hash mixed with p, so that equal elements are in one group.
+    A set that is at least as far from p as the empty set is goes by its own elements, under the group FAR ^ p: else
+    all of p would be in each such row.  Linked sets differ by D at most in their distance from p, so a set up to D
+    beyond that edge goes both ways, and no link is lost.  An element is the shingle's hash mixed with the group.
     """
     own, base = texts.select("sid", F.col("text").alias("tx")), texts.select(F.col("sid").alias("p"), F.col("text").alias("tp"))
     rows = groups.hint("merge").join(own, "sid").hint("merge").join(base, "p").select("p", "sid", "root", "tx", "tp")
@@ -205,15 +208,18 @@ def shifted(groups: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
             for _, flat, off in sets_of(batch.column(4).take(pa.array(first)), rule.k):
                 pivots += [flat[off[i] : off[i + 1]] for i in range(len(off) - 1)]
             for i, flat, off in sets_of(batch.column(3), rule.k):
-                n, rows = np.diff(off), range(i, i + len(off) - 1)
-                parts = [np.setxor1d(flat[off[r - i] : off[r - i + 1]], pivots[back[r]], assume_unique=True) for r in rows]
-                parts = [mix(z ^ mix(every[back[r] : back[r] + 1].view(np.uint64))) for z, r in zip(parts, rows)]
-                s = np.array([len(z) for z in parts], np.int64)
-                at = pa.array(np.concatenate([[0], np.cumsum(s)]).astype(np.int32))
-                flat_z = pa.array(np.concatenate(parts).view(np.int64))
-                here = slice(i, i + len(n))
-                columns = [p[here], sid[here], root[here], n.astype(np.int64), s]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(at, flat_z)], ["p", "sid", "root", "n", "s", "elements"])
+                out, parts = [], []
+                for d in range(len(off) - 1):
+                    own, base, r = flat[off[d] : off[d + 1]], pivots[back[i + d]], i + d
+                    z = np.setxor1d(own, base, assume_unique=True)
+                    both = [(p[r], z)] if len(z) <= len(base) + rule.most(len(own) + rule.largest(len(own))) else []
+                    both += [(p[r] ^ FAR, own)] if len(z) >= len(base) else []
+                    for group, x in both:
+                        parts.append(mix(x ^ mix(np.array([group]).view(np.uint64))))
+                        out.append((group, sid[r], root[r], len(own), len(x)))
+                at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32))
+                elements = pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out)), elements], ["p", "sid", "root", "n", "s", "elements"])
 
     return rows.mapInArrow(run, "p long, sid long, root long, n long, s long, elements array<long>")
 
