@@ -12,7 +12,8 @@ emitted.  A document joins in its own band, and in the next one where a partner
 Documents with equal sets are one class from the start, so copies are never paired.  Candidates:
 
 1. Blocks of up to SMALL classes: all their pairs.
-2. Larger blocks: each class with the block's pivot, the class that shares most blocks with others.
+2. Larger blocks: each class with the block's pivot, the class that shares most blocks with others; a
+   pivot gives way to a weightier one with which it shares a block.
 3. What these leave in different components is compared relative to its pivot p.  Symmetric
    differences do not change when both sets are XORed with a third, so x and y link only if the
    small sets x ^ p and y ^ p differ in at most D elements.  If these have no element in common, a
@@ -274,8 +275,11 @@ def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     first = small.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", F.col("i") + 2, F.lit(SMALL))).alias("b"))
     large = written(members.where(F.col("c") > SMALL).select("key", "sid").distinct(), "near-large")
     weight = large.groupBy("sid").agg(F.count(F.lit(1)).alias("w"))
-    pivots = large.join(weight, "sid").groupBy("key").agg(F.max_by("sid", F.struct("w", "sid")).alias("p"))
-    groups = written(large.join(pivots, "key").select("p", "sid").distinct(), "near-groups")
+    at = large.join(large.join(weight, "sid").groupBy("key").agg(F.max(F.struct("w", "sid")).alias("p")), "key")
+    # a pivot that is a member of another key with a weightier one gives way to it, so a family of texts has few pivots
+    over = at.groupBy("sid").agg(F.max("p").alias("top")).select(F.col("sid").alias("was"), F.col("top.sid").alias("p"))
+    named = at.select("sid", F.col("p.sid").alias("was")).distinct()
+    groups = written(named.join(over, "was").select("p", "sid").distinct(), "near-groups")
     star = groups.where("sid <> p").select(*_ordered(F.col("sid"), F.col("p")))
     pairs = written(_possible(first.unionByName(star).distinct(), shapes, rule), "near-pairs")
 
