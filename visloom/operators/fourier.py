@@ -103,9 +103,14 @@ def predicted(vis: DataFrame, image: np.ndarray) -> DataFrame:
 
 
 def noise_level(vis: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """One row: spread of the back-projected unit noise over the PSF peak.  The noise is a portable hash of the row's keys."""
+    """One row: spread of back-projected complex noise of unit power over the peaks of the PSF and of the dirty image.
+
+    The noise is a portable hash of the row's keys; its two parts have half the power each.
+    """
     mixed = lambda a, b: ((F.col("ant1") * a + F.col("ant2") * b + F.col("t") * 7919 + F.col("ch") * 31 + seed * 104729) % 10007 + 0.5) / 10007.0
-    radius, angle = F.sqrt(-2 * F.log(mixed(613, 1297))), 2 * math.pi * mixed(3571, 8191)
+    radius, angle = F.sqrt(-F.log(mixed(613, 1297))), 2 * math.pi * mixed(3571, 8191)
     rows = vis.withColumns({"re": radius * F.cos(angle), "im": radius * F.sin(angle), "weight": F.col("nw")})
-    image, peak = dirty_image(rows, n), dirty_image(rows.withColumn("weight", F.col("nw") * F.col("nw")), n)
-    return image.agg(F.stddev_samp("dirty").alias("spread")).crossJoin(F.broadcast(peak.agg(F.max("psf").alias("peak")))).withColumn("level", F.col("spread") / F.col("peak"))  # one row each
+    image, data = dirty_image(rows, n), dirty_image(vis.withColumn("weight", F.col("nw") * F.col("nw")), n)
+    peaks = data.agg(F.max("psf").alias("peak"), F.max("dirty").alias("brightest"))
+    found = image.agg(F.stddev_samp("dirty").alias("spread")).crossJoin(F.broadcast(peaks))  # one row each
+    return found.withColumn("level", F.col("spread") / F.col("peak") / F.col("brightest"))

@@ -196,9 +196,9 @@ def data_fidelity_bound(spark, d):
     return V.unflagged(T.visibilities(spark, d)).groupBy("ch").agg(m.alias("m"), F.sqrt(m + 2 * F.sqrt(m)).alias("bound"))
 
 
-@_query(f"{PRE}, o AS (SELECT t, count(*) AS n FROM vis WHERE t % 3 <> 1 GROUP BY t) SELECT t, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS row_index, n, n - lag(n) OVER (ORDER BY t) AS step FROM o", "", "t row_index n step")
+@_query(f"{PRE}, o AS (SELECT t, count(*) AS n FROM vis GROUP BY t) SELECT t, CAST(dense_rank() OVER (ORDER BY t) - 1 AS INT) AS row_index, n, n - lag(n) OVER (ORDER BY t) AS step FROM o", "", "t row_index n step")
 def snapshot_index(spark, d):
-    rows = T.visibilities(spark, d).where(F.col("t") % 3 != 1).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    rows = T.visibilities(spark, d).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     w = W.orderBy("t")  # one row a snapshot of the instrument
     return rows.select("t", (F.dense_rank().over(w) - 1).cast("int").alias("row_index"), "n", (F.col("n") - F.lag("n").over(w)).alias("step"))
 
@@ -280,10 +280,10 @@ def ball_projection(spark, d):
 
 
 _MIX = "((ant1*{a} + ant2*{b} + t*7919 + ch*31 + 104729) % 10007 + 0.5e0)/10007e0"
-_NOISE = f"noise AS (SELECT u, v, nw, sqrt(-2*ln({_MIX.format(a=613, b=1297)}))*cos(2*{PI}*{_MIX.format(a=3571, b=8191)}) AS re, sqrt(-2*ln({_MIX.format(a=613, b=1297)}))*sin(2*{PI}*{_MIX.format(a=3571, b=8191)}) AS im FROM nrm)"
+_NOISE = f"noise AS (SELECT u, v, nw, re AS dre, im AS dim, sqrt(-ln({_MIX.format(a=613, b=1297)}))*cos(2*{PI}*{_MIX.format(a=3571, b=8191)}) AS re, sqrt(-ln({_MIX.format(a=613, b=1297)}))*sin(2*{PI}*{_MIX.format(a=3571, b=8191)}) AS im FROM nrm)"
 
 
-@_query(f"{PRE}, {NORM}, {_NOISE}, {_IN}, img AS (SELECT y.i, x.i, sum(nw*(re*cos(u*x.i+v*y.i) - im*sin(u*x.i+v*y.i))) AS d, sum(nw*nw*cos(u*x.i+v*y.i)) AS psf FROM noise, axis y, axis x GROUP BY 1, 2) SELECT stddev_samp(d) AS spread, max(psf) AS peak, stddev_samp(d)/max(psf) AS level FROM img", "spread peak level")
+@_query(f"{PRE}, {NORM}, {_NOISE}, {_IN}, img AS (SELECT y.i, x.i, sum(nw*(re*cos(u*x.i+v*y.i) - im*sin(u*x.i+v*y.i))) AS d, sum(nw*nw*cos(u*x.i+v*y.i)) AS psf, sum(nw*nw*(dre*cos(u*x.i+v*y.i) - dim*sin(u*x.i+v*y.i))) AS dirty FROM noise, axis y, axis x GROUP BY 1, 2) SELECT stddev_samp(d) AS spread, max(psf) AS peak, max(dirty) AS brightest, stddev_samp(d)/max(psf)/max(dirty) AS level FROM img", "spread peak brightest level")
 def noise_heuristic(spark, d):
     return fourier.noise_level(V.normalised(V.unflagged(T.visibilities(spark, d)), HALF), 8)
 
