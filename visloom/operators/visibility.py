@@ -15,7 +15,7 @@ def unflagged(vis: DataFrame) -> DataFrame:
 
 def in_wavelengths(vis: DataFrame, channels: DataFrame) -> DataFrame:
     """Adds u, v, w in wavelengths of the row's channel; the channel table is one row a channel of the instrument."""
-    rows = vis.join(F.broadcast(channels), "ch")
+    rows = vis.join(channels, "ch")
     return rows.withColumns({a: C.wavelengths(F.col(f"{a}_m"), F.col("freq_hz")) for a in "uvw"})
 
 

@@ -120,15 +120,19 @@ def w_stacks(spark, d):
     return V.nearest_stack(T.visibilities(spark, d), 8).groupBy("stack").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("w_m") - F.col("w0"))).alias("mean_gap"))
 
 
+def _ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Noise level over the brightest amplitude of each snapshot and channel."""
+    peak = F.max(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
+    return T.visibilities(spark, d).groupBy("t", "ch").agg((F.lit(3e-5) / peak).alias("ratio"))
+
+
 _SH = ", ".join(f"({s!r}::double)" for s in T.SHELF)
 
 
-@_query(f"WITH shelf(sigma) AS (VALUES {_SH}), r AS (SELECT DISTINCT l_partkey % 500 AS k, (l_partkey % 500 + 1)*1e-6 AS ratio FROM lineitem) SELECT k, round(ratio*1e9) AS ratio_e9, round(coalesce((SELECT max(sigma) FROM shelf WHERE sigma <= ratio), (SELECT min(sigma) FROM shelf))*1e9) AS sigma_e9, round((SELECT min(sigma) FROM shelf WHERE sigma > coalesce((SELECT max(sigma) FROM shelf WHERE sigma <= ratio), (SELECT min(sigma) FROM shelf)))*1e9) AS next_e9 FROM r", "ratio_e9 sigma_e9 next_e9", "k")
+@_query(f"{PRE}, shelf(sigma) AS (VALUES {_SH}), r AS (SELECT t, ch, 3e-5/max(sqrt(re*re + im*im)) AS ratio FROM vis GROUP BY t, ch) SELECT t, ch, round(ratio*1e9) AS ratio_e9, round(coalesce((SELECT max(sigma) FROM shelf WHERE sigma <= ratio), (SELECT min(sigma) FROM shelf))*1e9) AS sigma_e9, round((SELECT min(sigma) FROM shelf WHERE sigma > coalesce((SELECT max(sigma) FROM shelf WHERE sigma <= ratio), (SELECT min(sigma) FROM shelf)))*1e9) AS next_e9 FROM r", "ratio_e9 sigma_e9 next_e9", "t ch")
 def denoiser_choice(spark, d):
-    k = F.col("l_partkey") % 500
-    ratios = spark.read.parquet(f"{d}/lineitem.parquet").select(k.alias("k"), ((k + 1) * 1e-6).alias("ratio")).distinct()
-    found = V.choose_denoiser(ratios, T.shelf(spark))
-    return found.select("k", *[F.round(F.col(c) * 1e9).alias(n) for c, n in (("ratio", "ratio_e9"), ("sigma", "sigma_e9"), ("next_sigma", "next_e9"))])
+    found = V.choose_denoiser(_ratios(spark, d), T.shelf(spark))
+    return found.select("t", "ch", *[F.round(F.col(c) * 1e9).alias(n) for c, n in (("ratio", "ratio_e9"), ("sigma", "sigma_e9"), ("next_sigma", "next_e9"))])
 
 
 @_query(f"{PRE}, {NORM}, a AS (SELECT unnest(range(-4, 4)) AS i) SELECT CAST(y.i AS INT) AS y, CAST(x.i AS INT) AS x, sum(nw*nw*(re*cos(u*x.i+v*y.i) - im*sin(u*x.i+v*y.i))) AS dirty, sum(nw*nw*cos(u*x.i+v*y.i)) AS psf FROM nrm, a y, a x GROUP BY 1, 2", "dirty psf", "y x")
@@ -330,14 +334,12 @@ def image_orientation(spark, d):
     return wavelets.oriented(rows, 8).select("vec_id", "y", "x", "v")
 
 
-@_query(f"WITH shelf(sigma) AS (VALUES {_SH}), r AS (SELECT DISTINCT l_partkey % 500 AS k, (l_partkey % 500 + 1)*1e-6 AS ratio FROM lineitem), c AS (SELECT k, (SELECT max(sigma) FROM shelf WHERE sigma <= ratio) AS lo, (SELECT min(sigma) FROM shelf WHERE sigma > ratio) AS hi FROM r) SELECT k, coalesce(3e-5/hi, 0) AS peak_min, 3e-5/lo AS peak_max FROM c", "peak_min peak_max", "k")
+@_query(f"{PRE}, shelf(sigma) AS (VALUES {_SH}), r AS (SELECT t, ch, 3e-5/max(sqrt(re*re + im*im)) AS ratio FROM vis GROUP BY t, ch), c AS (SELECT t, ch, (SELECT max(sigma) FROM shelf WHERE sigma <= ratio) AS lo, (SELECT min(sigma) FROM shelf WHERE sigma > ratio) AS hi FROM r) SELECT t, ch, coalesce(3e-5/hi, 0) AS peak_min, 3e-5/lo AS peak_max FROM c", "peak_min peak_max", "t ch")
 def denoiser_peak_range(spark, d):
     """Peaks for which a choice of denoiser stands; a null peak_max has no upper bound."""
-    k = F.col("l_partkey") % 500
-    ratios = spark.read.parquet(f"{d}/lineitem.parquet").select(k.alias("k"), ((k + 1) * 1e-6).alias("ratio")).distinct()
     under = F.col("ratio") < F.col("sigma")  # below the whole shelf
     low = F.when(under, 3e-5 / F.col("sigma")).otherwise(F.coalesce(3e-5 / F.col("next_sigma"), F.lit(0.0)))
-    return V.choose_denoiser(ratios, T.shelf(spark)).select("k", low.alias("peak_min"), F.when(~under, 3e-5 / F.col("sigma")).alias("peak_max"))
+    return V.choose_denoiser(_ratios(spark, d), T.shelf(spark)).select("t", "ch", low.alias("peak_min"), F.when(~under, 3e-5 / F.col("sigma")).alias("peak_max"))
 
 
 @_query()
