@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 
 def same(df, sql):
     con = duckdb.connect()
-    for t in ("lineitem", "embeddings"):
+    for t in ("lineitem", "orders", "embeddings"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.sql(sql)
     cols = sorted(df.columns)

@@ -10,9 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from visloom.functions import columns as C
-from visloom.operators import fourier, visibility as V, wavelets
+from visloom.operators import fourier, gridding, visibility as V, wavelets
 from visloom.plans import imager, solvers
-from visloom.sources import tables as T
+from visloom.sources import channels as H, tables as T
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -237,8 +237,8 @@ def stokes_and_flags(spark, d):
 
 @_query()
 def reconstruction(spark, d):
-    """Forward-backward loop; held to its own objective in tests."""
-    return imager.reconstruct(_weighted(spark, d), imager.Settings(side=16))
+    """Forward-backward loop, an image a channel; held to its own objective in tests."""
+    return imager.reconstruct(_weighted(spark, d), imager.Settings(side=64), keys=["ch"])
 
 
 _IN = "axis AS (SELECT unnest(range(-4, 4)) AS i)"
@@ -344,15 +344,74 @@ def denoiser_peak_range(spark, d):
 
 @_query()
 def reconstruction_reweighted(spark, d):
-    """Reweighted sparse loop; held to its residual in tests."""
-    return solvers.reweighted_sparse(_weighted(spark, d), 16)
+    """Reweighted sparse loop, an image a channel; held to its residual in tests."""
+    return solvers.reweighted_sparse(_weighted(spark, d), 16, keys=["ch"])
 
 
 @_query()
 def reconstruction_constrained(spark, d):
-    """Primal-dual loop held to a residual radius; compared with a dual value per visibility in tests."""
-    rows = _weighted(spark, d)
-    return solvers.constrained(rows, 8, math.sqrt(rows.count()), lambda x: np.maximum(x, 0))
+    """Primal-dual loop held to each channel's residual bound; compared with a dual value per visibility in tests."""
+    return solvers.constrained(_weighted(spark, d), 8, None, lambda x: np.maximum(x, 0), keys=["ch"])
+
+
+_GEOM, _ROWS = H.GEOMETRY.format(source="orders"), H.CHANNEL_ROWS.format(source="lineitem")
+_FIRST, _COUNT = 2, 4
+_JOINED = f"WITH geom AS ({_GEOM}), chan AS ({_ROWS}), lam AS (SELECT c.ch, g.t, g.ant1, g.ant2, re, im, coalesce(nw, 1) AS nw, u_m*(1e9 + c.ch*8e6)/{T.LIGHT!r} AS u, v_m*(1e9 + c.ch*8e6)/{T.LIGHT!r} AS v, w_m*(1e9 + c.ch*8e6)/{T.LIGHT!r} AS w FROM chan c JOIN geom g USING (row) WHERE NOT flagged AND c.ch BETWEEN {_FIRST} AND {_FIRST + _COUNT - 1})"
+
+
+def _channels_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Four channels from the third on, with the geometry of the main file."""
+    rows = H.channel_range(H.channel_rows(spark, d), _FIRST, _COUNT)
+    return H.with_geometry(rows, H.geometry(spark, d), H.frequencies(spark, 1e9, 8e6, 7))
+
+
+@_query(f"{_JOINED} SELECT ch, t, count(*) AS n, sum(u) AS u, sum(v) AS v, sum(w) AS w, sum(nw*re) AS re, sum(nw*im) AS im FROM lam GROUP BY 1, 2", "u v w re im", "ch t n")
+def channel_files(spark, d):
+    sums = [F.sum(a).alias(a) for a in "uvw"] + [F.sum(F.col("nw") * F.col(a)).alias(a) for a in ("re", "im")]
+    return _channels_joined(spark, d).groupBy("ch", "t").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+@_query(f"{_JOINED} SELECT max(sqrt(u*u+v*v)) AS longest, 180/{PI}*3600/(2*max(sqrt(u*u+v*v))) AS pixel_arcsec FROM lam", "longest pixel_arcsec")
+def channel_pixel(spark, d):
+    return H.longest_baseline(_channels_joined(spark, d))
+
+
+_HZ = 1.008e9
+_D = "CASE WHEN l_quantity = 7 THEN 0e0 ELSE round({}, 6) END"
+_EXTRACT = f"r AS (SELECT l_orderkey AS row, (l_suppkey % 27 - 13) * 30e0 + l_quantity AS u_m, (l_partkey % 41 - 20) * 25e0 AS v_m, (l_orderkey % 101 - 50) * 3e0 AS w_m, l_discount*10 + 2 AS w1, l_discount*10 + 5 AS w4, {_D.format('l_extendedprice/10000 + 1')} AS r1, {_D.format('l_extendedprice/10000 + 4')} AS r4, {_D.format('l_tax*10')} AS i1, {_D.format('l_tax*10 - 3')} AS i4 FROM lineitem WHERE l_suppkey % 3 = 1 AND l_returnflag <> 'R' AND (l_partkey + 1) % 11 <> 0 AND (l_partkey + 7) % 11 <> 0)"
+
+
+@_query(f"WITH {_EXTRACT} SELECT row, u_m*{_HZ!r}/{T.LIGHT!r} AS u, v_m*{_HZ!r}/{T.LIGHT!r} AS v, w_m*{_HZ!r}/{T.LIGHT!r} AS w, (w1*r1 + w4*r4)/(w1 + w4) AS re, (w1*i1 + w4*i4)/(w1 + w4) AS im, sqrt(w1 + w4) AS nw FROM r WHERE NOT ((w1*r1 + w4*r4) = 0 AND (w1*i1 + w4*i4) = 0)", "u v w re im nw", "row")
+def main_table_extraction(spark, d):
+    return H.extracted(H.main_table(spark, d), 1, 1, _HZ)
+
+
+SIDE = 8
+_CELLS, _REACH = gridding.OVER * SIDE, gridding.WIDTH / 2
+_BELL = f"(CASE WHEN abs(z) <= 1 THEN exp({gridding.BETA!r}*(sqrt(greatest(0, 1 - z*z)) - 1)) ELSE 0 END)"
+_KERNEL = lambda a, c: _BELL.replace("z", f"(({a} - {c})*{1 / _REACH!r})")
+_SPREAD = f"tap AS (SELECT unnest(range(0, {gridding.WIDTH})) AS j), pos AS (SELECT n.*, v*{_CELLS / (2 * math.pi)!r} AS pv, u*{_CELLS / (2 * math.pi)!r} AS pu FROM nrm n), near AS (SELECT p.*, ceil(pv - {_REACH}) + y.j AS cy, ceil(pu - {_REACH}) + x.j AS cx FROM pos p, tap y, tap x), put AS (SELECT *, ((CAST(cy AS INT) % {_CELLS}) + {_CELLS}) % {_CELLS} AS gy, ((CAST(cx AS INT) % {_CELLS}) + {_CELLS}) % {_CELLS} AS gx, {_KERNEL('pv', 'cy')}*{_KERNEL('pu', 'cx')} AS k FROM near)"
+_SUMMED = f"cells AS (SELECT ch, gy, gx, sum(k*nw*nw*re) AS re, sum(k*nw*nw*im) AS im, sum(k*nw*nw) AS weight, sum(k*nw*nw*nw*nw) AS square FROM put GROUP BY 1, 2, 3)"
+_BACK = ", ".join(f"({i - SIDE // 2}, {float(t)!r}::double)" for i, t in enumerate(gridding.transform_of_bell(SIDE)))
+
+
+@_query(f"{PRE}, {NORM}, {_SPREAD}, {_SUMMED} SELECT * FROM cells", "re im weight square", "ch gy gx")
+def gridded_cells(spark, d):
+    return gridding.spread(_weighted(spark, d), SIDE, ["ch"])
+
+
+_ANGLE = f"(2*{PI}/{_CELLS}*(gy*y.i + gx*x.i))"
+
+
+@_query(f"{PRE}, {NORM}, {_SPREAD}, {_SUMMED}, back(i, b) AS (VALUES {_BACK}) SELECT ch, y.i AS y, x.i AS x, sum(re*cos{_ANGLE} - im*sin{_ANGLE})/any_value(y.b*x.b) AS dirty, sum(weight*cos{_ANGLE})/any_value(y.b*x.b) AS psf FROM cells, back y, back x GROUP BY 1, 2, 3", "dirty psf", "ch y x")
+def gridded_image(spark, d):
+    return gridding.dirty_image(_weighted(spark, d), SIDE, ["ch"])
+
+
+@_query(f"{PRE}, {NORM}, {_SPREAD}, back(i, b) AS (VALUES {_BACK}), pix(y, x, a) AS (VALUES {_MODEL}), axis AS (SELECT unnest(range(0, {_CELLS})) AS g), wide AS (SELECT gy.g AS gy, gx.g AS gx, sum(a/(y.b*x.b)*cos(2*{PI}/{_CELLS}*(gy.g*p.y + gx.g*p.x))) AS c, -sum(a/(y.b*x.b)*sin(2*{PI}/{_CELLS}*(gy.g*p.y + gx.g*p.x))) AS s FROM pix p JOIN back y ON y.i = p.y JOIN back x ON x.i = p.x, axis gy, axis gx GROUP BY 1, 2) SELECT t, ch, sum(k*c) AS re_model, sum(k*s) AS im_model FROM put JOIN wide USING (gy, gx) GROUP BY 1, 2", "re_model im_model", "t ch")
+def gridded_forward(spark, d):
+    rows = gridding.predicted(_weighted(spark, d).select("t", "ch", "u", "v"), np.array(MODEL))
+    return rows.groupBy("t", "ch").agg(F.sum("re_model").alias("re_model"), F.sum("im_model").alias("im_model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

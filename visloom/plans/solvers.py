@@ -1,8 +1,8 @@
-"""Reconstruction loops.  Spark reduces or holds the visibilities; images of a fixed pixel count stay with the loop.
+"""Reconstruction loops, each run for one image in the task that holds its grid cells (``imager.images``).
 
-All loops run on the dirty image and Gram kernel of one pass over the rows; ``constrained`` also needs the norm of the data, as its
-dual value per visibility is always the forward map of an image less a multiple of the data.  Each result says in its columns
-``rounds`` and ``settled`` how many rounds were run and whether the stopping rule was met before the limit.
+All loops work on the dirty image and Gram kernel; the primal-dual ones also need the norm of the data, as their dual value per
+visibility is always the forward map of an image less a multiple of the data.  Each result says in its columns ``rounds`` and
+``settled`` how many rounds were run and whether the stopping rule was met before the limit, and in ``sigma`` which denoiser was last used.
 """
 
 from __future__ import annotations
@@ -12,11 +12,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from visloom.operators import fourier
 from visloom.operators.wavelets import daubechies, high_pass
-from visloom.plans import imager
+from visloom.plans.imager import Outcome, Reduced, images
 
 Prox = Callable[[np.ndarray], np.ndarray]
 
@@ -77,8 +76,11 @@ class Dictionary:
         return total * self.scale
 
 
-def sparse_positive(words: Dictionary, threshold: float, weights: np.ndarray | None = None, steps: int = 20, tolerance: float = 1e-4) -> Prox:
-    """Proximity step of weighted l1 in the dictionary plus positivity, by dual forward-backward with a warm start."""
+def sparse_positive(words: Dictionary, threshold: float, weights: np.ndarray | None = None, steps: int = 20, tolerance: float | None = 1e-4, warm: bool = True) -> Prox:
+    """Proximity step of weighted l1 in the dictionary plus positivity, by dual forward-backward; ``warm`` keeps the dual between calls.
+
+    Without a tolerance all steps are run.
+    """
     held: dict[str, np.ndarray] = {}
     bound = threshold if weights is None else threshold * weights
 
@@ -89,36 +91,19 @@ def sparse_positive(words: Dictionary, threshold: float, weights: np.ndarray | N
             dual = np.clip(dual + words.analysis(out), -bound, bound)
             out = np.maximum(x - words.synthesis(dual), 0)
             value = 0.5 * np.sum((out - x) ** 2) + np.sum(bound * np.abs(words.analysis(out)))
-            if abs(value - before) <= tolerance * abs(value):
+            if tolerance is not None and abs(value - before) <= tolerance * abs(value):
                 break
             before = value
-        held["dual"] = dual
+        if warm:
+            held["dual"] = dual
         return out
 
     return step
 
 
-@dataclass
-class Reduced:
-    """What a loop needs of the visibilities: dirty image, Gram operator, its norm, PSF peak."""
-
-    dirty: np.ndarray
-    apply: Prox
-    norm: float
-    peak: float
-
-
-def reduced(vis: DataFrame, side: int) -> Reduced:
-    """One aggregation over rows (u, v, re, im, weight)."""
-    kernel, dirty = np.zeros((2 * side, 2 * side)), np.zeros((side, side))
-    half = side // 2
-    for r in fourier.dirty_image(vis, 2 * side).collect():  # (2 side)^2 rows, a fixed bound
-        y, x = r["y"], r["x"]
-        kernel[y + side, x + side] = r["psf"]
-        if -half <= y < side - half and -half <= x < side - half:
-            dirty[y + half, x + half] = r["dirty"]
-    apply = imager.gram(kernel)
-    return Reduced(dirty, apply, imager.norm_of(apply, side) or 1.0, float(kernel[side, side]) or 1.0)
+def heuristic(data: Reduced, scale: float = 1.0) -> float:
+    """Noise level of an image: 1 / sqrt(2 norm), corrected where squaring the weights changes the norm."""
+    return scale / math.sqrt(2 * data.norm) * math.sqrt(data.norm_prime / data.norm)
 
 
 def _forward_backward(data: Reduced, model: np.ndarray, prox: Prox, rounds: Rounds) -> tuple[np.ndarray, bool]:
@@ -131,26 +116,25 @@ def _forward_backward(data: Reduced, model: np.ndarray, prox: Prox, rounds: Roun
     return model, False
 
 
-def _table(vis: DataFrame, data: Reduced, model: np.ndarray, rounds: int, settled: bool) -> DataFrame:
-    side = len(model)
-    residual = data.dirty - data.apply(model)
-    half = side // 2
-    rows = [(y - half, x - half, float(data.dirty[y, x] / data.peak), float(model[y, x]), float(residual[y, x] / data.peak), rounds, settled) for y in range(side) for x in range(side)]
-    return vis.sparkSession.createDataFrame(rows, "y int, x int, dirty double, model double, residual double, rounds int, settled boolean")
+def reweighted_sparse(vis: DataFrame, side: int, rounds: Rounds = Rounds(), keys: list[str] = [], warm: bool = True) -> DataFrame:
+    """Reweighted l1 reconstruction: weights eps / (eps + |coefficient|) are renewed after each inner solution.
+
+    With ``warm`` off each proximity step starts from a dual of zero and runs all its rounds.
+    """
 
+    def loop(data: Reduced) -> Outcome:
+        words = Dictionary(side)
+        floor = heuristic(data, rounds.noise_scale) / math.sqrt(len(words.bases))
+        model, weights, done, settled = np.zeros((side, side)), None, 0, False
+        while done < rounds.outer and not settled:
+            before = model
+            step = sparse_positive(words, floor, weights, tolerance=1e-4 if warm else None, warm=warm)
+            model, still = _forward_backward(data, model, step, rounds)
+            weights = floor / (floor + np.abs(words.analysis(model)))
+            done, settled = done + 1, still and variation(model, before) < rounds.outer_tolerance
+        return Outcome(model, done, settled)
 
-def reweighted_sparse(vis: DataFrame, side: int, rounds: Rounds = Rounds()) -> DataFrame:
-    """Reweighted l1 reconstruction: weights eps / (eps + |coefficient|) are renewed after each inner solution."""
-    data = reduced(vis, side)
-    words = Dictionary(side)
-    floor = rounds.noise_scale / math.sqrt(2 * data.norm) / math.sqrt(len(words.bases))
-    model, weights, done, settled = np.zeros((side, side)), None, 0, False
-    while done < rounds.outer and not settled:
-        before = model
-        model, still = _forward_backward(data, model, sparse_positive(words, floor, weights), rounds)
-        weights = floor / (floor + np.abs(words.analysis(model)))
-        done, settled = done + 1, still and variation(model, before) < rounds.outer_tolerance
-    return _table(vis, data, model, done, settled)
+    return images(vis, side, loop, keys)
 
 
 def pick(shelf: list[float], ratio: float) -> tuple[float, float, float]:
@@ -159,53 +143,92 @@ def pick(shelf: list[float], ratio: float) -> tuple[float, float, float]:
     return low or min(shelf), low, min((s for s in shelf if s > ratio), default=math.inf)
 
 
-def denoised(vis: DataFrame, side: int, shelf: list[float], denoiser: Callable[[np.ndarray, float], np.ndarray], rounds: Rounds = Rounds(), peak_tolerance: float = 0.1) -> DataFrame:
-    """Forward-backward with a denoiser from a shelf of noise levels, chosen again when the peak settles outside its range.
+class ShelfStep:
+    """Proximity step by a denoiser from a shelf of noise levels, chosen again when the peak settles outside its range.
 
     ``denoiser(image, sigma)`` works on an image scaled so that the noise heuristic equals sigma.
     """
-    data = reduced(vis, side)
-    heuristic = rounds.noise_scale / math.sqrt(2 * data.norm)
-    peak = max(float(data.dirty.max()) / data.peak, 1e-10)
-    sigma, low, high = pick(shelf, heuristic / peak)
-    model, gamma, done, steady = np.zeros((side, side)), 1.98 / data.norm, 0, False
-    while done < rounds.inner and not steady:
-        before = model
-        scale = heuristic / sigma
-        model = np.maximum(denoiser((model - gamma * (data.apply(model) - data.dirty)) / scale, sigma) * scale, 0)
+
+    def __init__(self, data: Reduced, shelf: list[float], denoiser: Callable[[np.ndarray, float], np.ndarray], noise_scale: float, peak_tolerance: float):
+        self.shelf, self.denoiser, self.tolerance = shelf, denoiser, peak_tolerance
+        self.level = heuristic(data, noise_scale)
+        self.peak = max(float(data.dirty.max()) / data.peak, 1e-10)
+        self.sigma, self.low, self.high = pick(shelf, self.level / self.peak)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        scale = self.level / self.sigma
+        return np.maximum(self.denoiser(x / scale, self.sigma) * scale, 0)
+
+    def update(self, model: np.ndarray) -> None:
         top = max(float(model.max()), 1e-10)
-        settled, peak = abs(top - peak) < peak_tolerance * peak, top
-        if settled and not low <= heuristic / peak < high:
-            sigma, low, high = pick(shelf, heuristic / peak)
-        done += 1
-        steady = done >= rounds.least and variation(model, before) < rounds.inner_tolerance
-    return _table(vis, data, model, done, steady)
+        steady, self.peak = abs(top - self.peak) < self.tolerance * self.peak, top
+        if steady and not self.low <= self.level / self.peak < self.high:
+            self.sigma, self.low, self.high = pick(self.shelf, self.level / self.peak)
+
+
+def denoised(vis: DataFrame, side: int, shelf: list[float], denoiser: Callable[[np.ndarray, float], np.ndarray], rounds: Rounds = Rounds(), peak_tolerance: float = 0.1, keys: list[str] = []) -> DataFrame:
+    """Forward-backward with a denoiser from a shelf."""
 
+    def loop(data: Reduced) -> Outcome:
+        step = ShelfStep(data, shelf, denoiser, rounds.noise_scale, peak_tolerance)
+        model, gamma, done, steady = np.zeros((side, side)), 1.98 / data.norm, 0, False
+        while done < rounds.inner and not steady:
+            before, model = model, step(model - gamma * (data.apply(model) - data.dirty))
+            step.update(model)
+            done += 1
+            steady = done >= rounds.least and variation(model, before) < rounds.inner_tolerance
+        return Outcome(model, done, steady, step.sigma)
 
-def constrained(vis: DataFrame, side: int, radius: float, prox: Prox, steps: int = 2000, tolerance: float = 1e-5, least: int = 200) -> DataFrame:
-    """Primal-dual reconstruction whose weighted residual norm is held to ``radius``.
+    return images(vis, side, loop, keys)
+
+
+def _primal_dual(data: Reduced, radius: float, step: Prox, update: Callable[[np.ndarray], None], rounds: Rounds) -> Outcome:
+    """Primal-dual loop whose weighted residual norm is held to ``radius``.
 
     The trial dual is q = dual + forward(2 x - x') - data, and projection on the ball leaves the dual (1 - s) q with
     s = min(1, radius / |q|).  From a dual of 0, q is forward(a) - b data for an image a and a number b in every round, so its
     norm and its adjoint image follow from the Gram operator, the dirty image and the norm of the data: no round reads the rows.
     It ends when the model has settled and its residual is within the radius.
     """
-    data = reduced(vis, side)
-    power = F.sum(F.col("weight") * (F.col("re") ** 2 + F.col("im") ** 2))
-    energy = vis.select("u", "v", "re", "im", "weight").na.drop().agg(power).first()[0] or 0.0
     gamma = 0.5 / data.norm
 
     def norm(image: np.ndarray, times: float) -> float:
         """Of forward(image) - times * data."""
-        return math.sqrt(max(0.0, float(np.sum(image * data.apply(image)) - 2 * times * np.sum(image * data.dirty)) + times * times * energy))
+        return math.sqrt(max(0.0, float(np.sum(image * data.apply(image)) - 2 * times * np.sum(image * data.dirty)) + times * times * data.energy))
 
-    model, a, b = np.zeros((side, side)), np.zeros((side, side)), 0.0
+    model, a, b = np.zeros_like(data.dirty), np.zeros_like(data.dirty), 0.0
     done, settled = 0, False
-    while done < steps and not settled:
-        before, model = model, prox(model - gamma * (data.apply(a) - b * data.dirty))
+    while done < rounds.inner and not settled:
+        before, model = model, step(model - gamma * (data.apply(a) - b * data.dirty))
+        update(model)
         a, b = a + 2 * model - before, b + 1
         length = norm(a, b)
         keep = 1 - min(1.0, radius / length) if length else 0.0
         a, b, done = keep * a, keep * b, done + 1
-        settled = done >= least and variation(model, before) < tolerance and norm(model, 1.0) <= radius * (1 + tolerance)
-    return _table(vis, data, model, done, settled)
+        settled = done >= rounds.least and variation(model, before) < rounds.inner_tolerance and norm(model, 1.0) <= radius * (1 + rounds.inner_tolerance)
+    return Outcome(model, done, settled)
+
+
+def bound(rows: int) -> float:
+    """Radius that the residual of unit noise keeps to: sqrt(m + 2 sqrt(m))."""
+    return math.sqrt(rows + 2 * math.sqrt(rows))
+
+
+def constrained(vis: DataFrame, side: int, radius: float | None, prox: Prox, rounds: Rounds = Rounds(), keys: list[str] = []) -> DataFrame:
+    """Primal-dual reconstruction held to ``radius``, or to the bound of each image's number of rows."""
+
+    def loop(data: Reduced) -> Outcome:
+        return _primal_dual(data, bound(data.rows) if radius is None else radius, prox, lambda model: None, rounds)
+
+    return images(vis, side, loop, keys, totals=True)
+
+
+def constrained_denoised(vis: DataFrame, side: int, radius: float | None, shelf: list[float], denoiser: Callable[[np.ndarray, float], np.ndarray], rounds: Rounds = Rounds(), peak_tolerance: float = 0.1, keys: list[str] = []) -> DataFrame:
+    """Primal-dual reconstruction with a denoiser from a shelf as its proximity step; data are not preconditioned."""
+
+    def loop(data: Reduced) -> Outcome:
+        step = ShelfStep(data, shelf, denoiser, rounds.noise_scale, peak_tolerance)
+        found = _primal_dual(data, bound(data.rows) if radius is None else radius, step, step.update, rounds)
+        return Outcome(found.model, found.rounds, found.settled, step.sigma)
+
+    return images(vis, side, loop, keys, totals=True)
