@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from visloom.functions import columns as C
 from visloom.operators import fourier, gridding, visibility as V, wavelets
-from visloom.plans import imager, solvers
+from visloom.plans import config, imager, solvers
 from visloom.sources import channels as H, fits, tables as T
 from visloom.streaming.averaging import averaged_stream
 
@@ -246,3 +246,93 @@ def test_channel_files_and_ranges(spark, tmp_path):
     assert set(found) == {(1, 0), (2, 1)} and found[1, 0]["nw"] == 1.0 and found[2, 1]["u"] == 120.0 and found[2, 1]["w"] == 0.0
     with pytest.raises(ValueError):
         H.channel_range(rows, 0, base=1)
+
+
+def _zero_mode(v, low):
+    """One level along the first axis by the definition: c[k] = sum of d[m] x[2k + 1 - m] with reversed taps."""
+    dec, n = low[::-1], len(v)
+    return np.array([sum((d * v[2 * k + 1 - m] for m, d in enumerate(dec) if 0 <= 2 * k + 1 - m < n), np.zeros(v.shape[1:])) for k in range((n + len(low) - 1) // 2)])
+
+
+def test_zero_mode_levels_and_thresholded_synthesis(spark):
+    image = np.random.default_rng(7).normal(size=(6, 6))
+    long = spark.createDataFrame([(0, y, x, float(image[y, x])) for y in range(6) for x in range(6)], "vec_id int, y int, x int, v double")
+    orders = [1, 2, 4]
+    words = wavelets.dictionary(long, 6, 2, orders, "zero")
+    got = {(r["basis"], r["level"], r["band"], r["y"], r["x"]): r["v"] for r in words.collect()}
+    want, matrices = {}, {o: [] for o in orders}
+    for o in orders:
+        low, s = wavelets.daubechies(o), image
+        for level in (1, 2):
+            eye = np.eye(len(s))
+            lo, hi = _zero_mode(eye, np.array(low)), _zero_mode(eye, np.array(wavelets.high_pass(low)))
+            matrices[o].append((lo, hi))
+            for band, a, b in (("ll", lo, lo), ("lh", lo, hi), ("hl", hi, lo), ("hh", hi, hi)):
+                if band != "ll" or level == 2:
+                    want |= {(o, level, band, y, x): v / 2 for (y, x), v in np.ndenumerate(a @ s @ b.T)}
+            s = lo @ s @ lo.T
+    want |= {(0, 0, "dirac", y, x): v / 2 for (y, x), v in np.ndenumerate(image)}
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in want) < 1e-12
+    cut = {k: math.copysign(max(abs(v) - 0.1, 0), v) for k, v in want.items()}
+    total = np.array([[cut[0, 0, "dirac", y, x] for x in range(6)] for y in range(6)])
+    for o in orders:
+        s = None
+        for level in (2, 1):
+            lo, hi = matrices[o][level - 1]
+            c = lambda band, n=len(lo): np.array([[cut[o, level, band, y, x] for x in range(n)] for y in range(n)])
+            s = lo.T @ (c("ll") if s is None else s) @ lo + lo.T @ c("lh") @ hi + hi.T @ c("hl") @ lo + hi.T @ c("hh") @ hi
+        total = total + s
+    found = wavelets.from_dictionary(words.withColumn("v", C.soft(F.col("v"), 0.1)), 6, 2, orders, "zero")
+    assert all(abs(r["v"] - total[r["y"], r["x"]] / 2) < 1e-12 for r in found.collect()) and found.count() == 36
+    same = wavelets.from_dictionary(words, 6, 2, orders, "zero").collect()
+    assert all(abs(r["v"] - image[r["y"], r["x"]]) < 1e-9 for r in same)
+
+
+def test_padding_of_short_signals(spark):
+    for size in (1, 3):
+        for mode, name in (("constant", "edge"), ("periodic", "wrap"), ("symmetric", "symmetric"), ("reflect", "reflect"), ("zero", "constant")):
+            signal = spark.createDataFrame([(0, i, float(i + 1)) for i in range(size)], "vec_id int, i int, v double")
+            got = {r["i"]: r["v"] for r in wavelets.padded(signal, size, 5, 4, mode).collect()}
+            assert [got[i] for i in range(-5, size + 4)] == list(np.pad(np.arange(1.0, size + 1), (5, 4), mode=name)), (mode, size)
+
+
+def test_ellipse_projection_with_a_warm_start(spark):
+    rng = np.random.default_rng(2)
+    x, c, p = (rng.normal(size=40) * 3 + 1j * rng.normal(size=40) for _ in range(3))
+    w = rng.choice([0.5, 1.0, 2.0], 40)
+    rows = spark.createDataFrame([(0, *[float(f(a[i])) for a in (x, c, p) for f in (np.real, np.imag)], float(w[i]), i) for i in range(40)], "ch int, re double, im double, re0 double, im0 double, re_prev double, im_prev double, precond double, i int")
+    radius = 0.3 * math.sqrt(40 + 2 * math.sqrt(40))
+    d = p
+    for _ in range(10):
+        d = d - w / 4 * (d - x)
+        d = c + (d - c) * min(1, radius / np.linalg.norm(d - c))
+    got = {r["i"]: complex(r["re"], r["im"]) for r in V.projected_on_ellipse(rows, ["ch"], 0.3).collect()}
+    assert max(abs(got[i] - d[i]) for i in range(40)) < 1e-9
+    inside = V.projected_on_ellipse(rows.drop("re_prev", "im_prev"), ["ch"], 1e6, most=200)
+    assert max(abs(complex(r["re"], r["im"]) - x[r["i"]]) for r in inside.collect()) < 1e-3
+
+
+def test_kmeans_stacks_label_the_nearest_centre(spark):
+    vis = T.visibilities(spark, "/root/testdata/sf0.001")
+    rows, centres = V.stacks_by_kmeans(vis, 4, fraction=0.5)
+    assert centres == sorted(centres) and rows.count() == vis.count()
+    for r in rows.select("w_m", "stack", "w0").distinct().collect():
+        assert abs(r["w_m"] - r["w0"]) == pytest.approx(min(abs(r["w_m"] - c) for c in centres)) and centres[r["stack"]] == r["w0"]
+
+
+def test_projection_sizes():
+    eps, p, b, k = V.projection_sizes(512 * 512, 27, 200, 16)
+    assert eps**4 - eps**3 / 27 == pytest.approx(2 * 512**2 / (27**2 * 200 * 16)) and p * (p - 1) / 2 * b * k >= 512**2
+    eps, p, b, k = V.projection_sizes(1000, 10, 10, 10, same=False)
+    assert eps**4 == pytest.approx(1000 / (10**2 * 10 * 10)) and p * p * b * k >= 1000
+
+
+def test_parameters_fall_back(tmp_path):
+    (tmp_path / "c.json").write_text('[{"main": {"algorithm": "usara", "src_name": "a"}}, {"flag": {"x": 1, "_comment_x": "c"}, "weighting": {"weight_type": "natural"}, "computing": {}, "nufft": {}, "usara": {"im_max_itr": -1}, "usara_default": {}}]')
+    found = config.load(str(tmp_path / "c.json"), {"src_name": "b", "other": 3, "dnn_shelf_path": None})
+    assert found == {"algorithm": "usara", "src_name": "b", "x": 1, "weight_type": "natural", "im_max_itr": -1}
+    checked = config.Imaging.checked(found)
+    assert checked.weight_type == "briggs" and checked.im_max_itr == 2000
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "c.json"), {"algorithm": "none"})
+    assert config.prefix("usara", "a", run=2) == "a_usara_run_2"

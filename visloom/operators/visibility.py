@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from visloom.functions import columns as C
@@ -166,3 +168,84 @@ def sampled(vis: DataFrame, fraction: float, seed: int) -> DataFrame:
     ring = 1000003
     key = F.col("ant1").cast("long") * 7919 + F.col("ant2").cast("long") * 104729 + F.col("t").cast("long") * 1299709 + F.col("ch").cast("long") * 15485863 + F.round("w_m").cast("long") * 32452843 + seed
     return vis.where(F.pmod(key, F.lit(ring)) < fraction * ring)
+
+
+def stacks_by_kmeans(vis: DataFrame, stacks: int, seed: int = 42, restarts: int = 3, fraction: float = 0.01, most: int = 1_000_000) -> tuple[DataFrame, list[float]]:
+    """Adds stack and w0 of the nearest k-means centre of w_m, and returns the sorted centres.
+
+    Centres are fitted on a hash sample of ``fraction`` of the rows, ``most`` rows at the most in expectation, as the best of some seeds;
+    every row is then labelled by the midpoints between centres, without a join.  Fewer distinct sampled values give fewer stacks.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = max(1, vis.count())
+    taken = sampled(vis, min(fraction, most / rows), seed).select(F.col("w_m").cast("double").alias("w_m")).na.drop()
+    points = VectorAssembler(inputCols=["w_m"], outputCol="features").transform(taken)
+    if points.isEmpty():
+        raise ValueError("no row was sampled; raise the fraction")
+    fits = [KMeans(k=stacks, seed=seed + r, maxIter=1000, tol=1e-6).fit(points) for r in range(restarts)]
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    centres = sorted(float(c[0]) for c in best.clusterCenters())
+    middles = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+    stack = sum(((F.col("w_m") > m).cast("int") for m in middles), F.lit(0))
+    return vis.withColumn("stack", stack).withColumn("w0", F.element_at(F.array(*[F.lit(c) for c in centres]), F.col("stack") + 1)), centres
+
+
+def projected_on_ellipse(vis: DataFrame, keys: list[str], scale: float = 1.0, most: int = 10, least: int = 1, tolerance: float = 1e-6) -> DataFrame:
+    """re, im moved to the ellipse around (re0, im0) under the weights ``precond``; radius as for the ball.
+
+    At most ``most`` projected-gradient steps of size 1 / max(precond)^2, from (re_prev, im_prev) where the columns exist, else from the
+    centre.  A step multiplies the distances from the centre by numbers that depend on the row's weight alone, so the rows are
+    reduced once to three sums a weight and group; the steps run on those, and their two factors are joined back.  A group's sums, one
+    row for each distinct weight (at most the cells that the weights were gridded on), meet in one task.
+    """
+    warm = "re_prev" in vis.columns
+    part = lambda a: F.col(a) - F.col(f"{a[:2]}0")
+    prev = {a: part(f"{a}_prev") if warm else F.lit(0.0) for a in ("re", "im")}
+    sums = vis.groupBy(*keys, "precond").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(F.col("re") ** 2 + F.col("im") ** 2).alias("xx"), F.sum(part("re") ** 2 + part("im") ** 2).alias("ee"),
+        F.sum(prev["re"] ** 2 + prev["im"] ** 2).alias("pp"), F.sum(part("re") * prev["re"] + part("im") * prev["im"]).alias("ep"),
+    )
+    types = dict(sums.dtypes)
+
+    def factors_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        w, ee, pp, ep = (pdf[c].to_numpy(float) for c in ("precond", "ee", "pp", "ep"))
+        rows = pdf["m"].sum()
+        radius, size = scale * math.sqrt(rows + 2 * math.sqrt(rows)), math.sqrt(pdf["xx"].sum())
+        g = w / (np.abs(w).max() ** 2 or 1.0)
+        norm = lambda a, c: math.sqrt(max(0.0, float((a * a * pp + 2 * a * c * ep + c * c * ee).sum())))
+        a, c = np.ones(len(w)), np.zeros(len(w))
+        for i in range(most):
+            away = norm(-a, 1 - c)
+            a, c = a * (1 - g), c * (1 - g) + g
+            length = norm(a, c)
+            shrink = min(1.0, radius / length) if length else 1.0
+            a, c = shrink * a, shrink * c
+            if i > least and away < tolerance * size:
+                break
+        return pd.DataFrame({**{k: pdf[k] for k in keys}, "precond": pdf["precond"], "_a": a, "_c": c})
+
+    schema = ", ".join([f"`{k}` {types[k]}" for k in [*keys, "precond"]] + ["_a double", "_c double"])
+    factors = sums.groupBy(*keys).applyInPandas(factors_of, schema)
+    moved = {a: F.col(f"{a}0") + F.col("_a") * prev[a] + F.col("_c") * part(a) for a in ("re", "im")}
+    return vis.join(factors, [*keys, "precond"]).withColumns(moved).drop("_a", "_c")
+
+
+def projection_sizes(pixels: int, antennas: int, snapshots: int, channels: int, ratio: float = 1.0, same: bool = True) -> tuple[float, int, int, int]:
+    """Share eps of each dimension that gives ratio * pixels measurements: (eps, projections, snapshot and channel modulations).
+
+    With one random vector for both antennas of a pair, p (p - 1) / 2 projections of p = eps * antennas count, so eps solves
+    eps^4 - eps^3 / antennas = 2 ratio pixels / (antennas^2 snapshots channels); with two vectors p^2 count.
+    """
+    if min(pixels, antennas, snapshots, channels) < 1 or ratio <= 0:
+        raise ValueError("sizes and ratio are positive")
+    target = ratio * pixels / (antennas**2 * snapshots * channels)
+    low, high = 0.0, 1.0
+    value = (lambda e: e**4 - e**3 / antennas - 2 * target) if same else (lambda e: e**4 - target)
+    while value(high) < 0:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if value(middle) < 0 else (low, middle)
+    return high, *(max(1, math.ceil(high * n - 1e-9)) for n in (antennas, snapshots, channels))

@@ -30,29 +30,43 @@ def high_pass(low: list[float]) -> list[float]:
     return [(-1) ** j * t for j, t in enumerate(reversed(low))]
 
 
-def _taps(images: DataFrame, orders: list[int]) -> DataFrame:
-    rows = [(o, j, lo, hi) for o in orders for low in [daubechies(o)] for j, (lo, hi) in enumerate(zip(low, high_pass(low)))]
-    return F.broadcast(images.sparkSession.createDataFrame(rows, "basis int, j int, lo double, hi double"))
+def _taps(images: DataFrame, orders: list[int], sides: dict[int, int]) -> DataFrame:
+    """Taps of each basis with their number and the side of the images that they meet: a few dozen rows."""
+    rows = [(o, j, lo, hi, 2 * o, sides[o]) for o in orders for low in [daubechies(o)] for j, (lo, hi) in enumerate(zip(low, high_pass(low)))]
+    return F.broadcast(images.sparkSession.createDataFrame(rows, "basis int, j int, lo double, hi double, len int, n int"))
 
 
-def _split(rows: DataFrame, taps: DataFrame, along: str, size: int, keys: list[str], values: list[str]) -> DataFrame:
+def sides(size: int, orders: list[int], levels: int, mode: str) -> list[dict[int, int]]:
+    """The side of each basis's input at every level, and of its last output."""
+    out = [dict.fromkeys(orders, size)]
+    for _ in range(levels):
+        out.append({o: (n + 2 * o - 1) // 2 if mode == "zero" else n // 2 for o, n in out[-1].items()})
+    return out
+
+
+def _split(rows: DataFrame, taps: DataFrame, along: str, mode: str, keys: list[str], values: list[str]) -> DataFrame:
     """Low- and high-pass sums of each value at stride 2 along one axis, as columns value_l and value_h."""
-    at = F.pmod(F.col(along) - F.col("j"), F.lit(size))
+    back = F.col(along) - F.col("j")
+    at = F.pmod(back, F.col("n")) if mode == "periodic" else back + F.col("len") - 2
     near = rows.join(taps, "basis").withColumn("at", at).where("at % 2 = 0").withColumn(along, (F.col("at") / 2).cast("int"))
     sums = [F.sum(F.col(v) * F.col(tap)).alias(f"{v}{mark}") for v in values for tap, mark in (("lo", "l"), ("hi", "h"))]
     return near.groupBy("vec_id", "basis", *keys, along).agg(*sums)
 
 
-def analysis(images: DataFrame, orders: list[int], size: int, levels: int) -> DataFrame:
-    """(vec_id, y, x, v) -> vec_id, basis, level, band, y, x, v; level 1 is the finest, the last level has band ll too."""
-    if size % (1 << levels):
+def analysis(images: DataFrame, orders: list[int], size: int, levels: int, mode: str = "periodic") -> DataFrame:
+    """(vec_id, y, x, v) -> vec_id, basis, level, band, y, x, v; level 1 is the finest, the last level has band ll too.
+
+    ``periodic`` keeps the number of coefficients and needs a side divisible by two to the power of the levels; ``zero`` takes
+    pixels outside as zero and gives (n + taps - 1) // 2 coefficients a side, of any n.
+    """
+    if mode == "periodic" and size % (1 << levels):
         raise ValueError("the side must be a multiple of two to the power of the levels")
-    taps = _taps(images, orders)
+    met = sides(size, orders, levels, mode)
     rows = images.repartition("vec_id").select("vec_id", "y", "x", F.col("v").alias("s"), F.explode(F.array(*[F.lit(o) for o in orders])).alias("basis"))
     out = None
     for level in range(1, levels + 1):
-        n = size >> (level - 1)
-        both = _split(_split(rows, taps, "x", n, ["y"], ["s"]), taps, "y", n, ["x"], ["sl", "sh"])
+        taps = _taps(images, orders, met[level - 1])
+        both = _split(_split(rows, taps, "x", mode, ["y"], ["s"]), taps, "y", mode, ["x"], ["sl", "sh"])
         kept = "4, 'll', sll, 'lh', shl, 'hl', slh, 'hh', shh" if level == levels else "3, 'lh', shl, 'hl', slh, 'hh', shh"
         part = both.selectExpr("vec_id", "basis", f"{level} as level", f"stack({kept}) as (band, v)", "y", "x")
         out = part if out is None else out.unionByName(part)
@@ -60,45 +74,64 @@ def analysis(images: DataFrame, orders: list[int], size: int, levels: int) -> Da
     return out
 
 
-def synthesis(coefficients: DataFrame, orders: list[int], size: int) -> DataFrame:
-    """Inverse of one level of ``analysis``: vec_id, basis, y, x, v."""
-    taps = _taps(coefficients, orders)
-    spread = lambda a: F.pmod(2 * F.col(a) + F.col("j"), F.lit(size)).cast("int")
-    high_x, high_y = F.col("band").isin("lh", "hh"), F.col("band").isin("hl", "hh")
-    rows = coefficients.repartition("vec_id").join(taps, "basis")
-    rows = rows.groupBy("vec_id", "basis", high_y.alias("high"), spread("x").alias("x"), "y").agg(F.sum(F.col("v") * F.when(high_x, F.col("hi")).otherwise(F.col("lo"))).alias("v"))
-    rows = rows.join(taps, "basis").groupBy("vec_id", "basis", spread("y").alias("y"), "x")
-    return rows.agg(F.sum(F.col("v") * F.when(F.col("high"), F.col("hi")).otherwise(F.col("lo"))).alias("v"))
+def _merged(rows: DataFrame, taps: DataFrame, along: str, mode: str, keys: list[str], high: str) -> DataFrame:
+    """Adjoint of ``_split``: each coefficient adds its taps along one axis; ``high`` says by which filter it was made."""
+    at = 2 * F.col(along) + F.col("j")
+    joined = rows.join(taps, "basis").withColumn(along, (F.pmod(at, F.col("n")) if mode == "periodic" else at + 2 - F.col("len")).cast("int"))
+    if mode != "periodic":
+        joined = joined.where((F.col(along) >= 0) & (F.col(along) < F.col("n")))
+    return joined.groupBy("vec_id", "basis", *keys, along).agg(F.sum(F.col("v") * F.when(F.col(high), F.col("hi")).otherwise(F.col("lo"))).alias("v"))
 
 
-def dictionary(images: DataFrame, size: int, levels: int, orders: list[int]) -> DataFrame:
+def synthesis(coefficients: DataFrame, orders: list[int], size: int, levels: int = 1, mode: str = "periodic") -> DataFrame:
+    """Inverse (and adjoint) of ``analysis`` by basis: vec_id, basis, y, x, v."""
+    met = sides(size, orders, levels, mode)
+    rows = coefficients.where(F.col("basis") != DIRAC).repartition("vec_id")
+    low = rows.where(f"level = {levels} AND band = 'll'")
+    for level in range(levels, 0, -1):
+        taps = _taps(coefficients, orders, met[level - 1])
+        here = rows.where(f"level = {level} AND band <> 'll'").select("vec_id", "basis", "band", "y", "x", "v")
+        here = here.unionByName(low.select("vec_id", "basis", F.lit("ll").alias("band"), "y", "x", "v"))
+        here = here.select("*", F.col("band").isin("lh", "hh").alias("high_x"), F.col("band").isin("hl", "hh").alias("high_y"))
+        low = _merged(_merged(here, taps, "x", mode, ["high_y", "y"], "high_x"), taps, "y", mode, ["x"], "high_y")
+    return low.select("vec_id", "basis", "y", "x", "v")
+
+
+def dictionary(images: DataFrame, size: int, levels: int, orders: list[int], mode: str = "periodic") -> DataFrame:
     """Coefficients in all bases and the Dirac basis (number 0), each scaled by 1 / sqrt(number of bases)."""
     scale = 1 / math.sqrt(len(orders) + 1)
     own = images.select("vec_id", F.lit(DIRAC).alias("basis"), F.lit(0).alias("level"), F.lit("dirac").alias("band"), "y", "x", "v")
-    return analysis(images, orders, size, levels).unionByName(own).withColumn("v", F.col("v") * scale)
+    return analysis(images, orders, size, levels, mode).unionByName(own).withColumn("v", F.col("v") * scale)
+
+
+def from_dictionary(words: DataFrame, size: int, levels: int, orders: list[int], mode: str = "periodic") -> DataFrame:
+    """Adjoint of ``dictionary``: the bases' images are summed and scaled alike, which gives an unchanged image back."""
+    scale = 1 / math.sqrt(len(orders) + 1)
+    own = words.where(F.col("basis") == DIRAC).select("vec_id", "basis", "y", "x", "v")
+    both = synthesis(words, orders, size, levels, mode).unionByName(own)
+    return both.groupBy("vec_id", "y", "x").agg((F.sum("v") * scale).alias("v"))
 
 
 def padded(signals: DataFrame, size: int, left: int, right: int, mode: str) -> DataFrame:
     """Signals (vec_id, i, v) extended to -left .. size + right - 1: zero, constant (edge), periodic, reflect or symmetric.
 
-    Each source sample finds the places that show it, so no row waits for a neighbour; reach is bounded by the padding.
+    Each sample makes only the places that show it, so the rows made are the rows returned.
     """
-    places = signals.select("vec_id", "i", "v", F.explode(F.sequence(F.lit(-left), F.lit(size + right - 1))).alias("at"))
-    at = F.col("at")
-    ring = F.pmod(at, F.lit(2 * size))
-    turn = F.pmod(at, F.lit(max(1, 2 * size - 2)))
-    source = {
-        "zero": at,
-        "constant": F.greatest(F.lit(0), F.least(F.lit(size - 1), at)),
-        "periodic": F.pmod(at, F.lit(size)),
-        "symmetric": F.least(ring, 2 * size - 1 - ring),
-        "reflect": F.least(turn, 2 * size - 2 - turn),
-    }[mode]
-    inside = places.where(source == F.col("i")).select("vec_id", at.alias("i"), "v")
-    if mode != "zero":
-        return inside
-    edge = F.concat(F.sequence(F.lit(-left), F.lit(-1)) if left else F.array().cast("array<int>"), F.sequence(F.lit(size), F.lit(size + right - 1)) if right else F.array().cast("array<int>"))
-    return inside.unionByName(signals.where("i = 0").select("vec_id", F.explode(edge).alias("i"), F.lit(0.0).alias("v")))
+    i, last = F.col("i"), size - 1
+    before = F.sequence(F.lit(-left), F.lit(-1)) if left else F.array().cast("array<int>")
+    after = F.sequence(F.lit(size), F.lit(last + right)) if right else F.array().cast("array<int>")
+    none = F.array().cast("array<int>")
+    if mode in ("zero", "constant"):
+        edge = F.concat(F.when(i == 0, before).otherwise(none), F.when(i == last, after).otherwise(none))
+        if mode == "constant":
+            return signals.select("vec_id", F.explode(F.concat(F.array(i.cast("int")), edge)).alias("i"), "v")
+        return signals.select("vec_id", F.explode(edge).alias("i"), F.lit(0.0).alias("v")).unionByName(signals.select("vec_id", i.cast("int").alias("i"), "v"))
+    # the copies of a sample: sign * i + shift, with shifts of whole periods
+    period, mirror = {"periodic": (size, None), "symmetric": (2 * size, -1), "reflect": (max(1, 2 * size - 2), 0)}[mode]
+    shifts = [k * period for k in range(-(left // period) - 1, (last + right) // period + 2)]
+    copies = [i + s for s in shifts] + ([] if mirror is None else [F.lit(s + mirror) - i for s in shifts])
+    shown = F.filter(F.array_distinct(F.array(*[c.cast("int") for c in copies])), lambda at: (at >= -left) & (at <= last + right))
+    return signals.select("vec_id", F.explode(shown).alias("i"), "v")
 
 
 def oriented(images: DataFrame, size: int, turns: str = "turns", flip: str = "flip", back: bool = False) -> DataFrame:

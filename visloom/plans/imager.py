@@ -25,8 +25,8 @@ class Settings:
     """Stopping rules and strengths of the loop."""
 
     side: int = 8
-    iterations: int = 200
-    least: int = 10
+    iterations: int = 2000
+    least: int = 200
     tolerance: float = 1e-5
     scale: float = 1.0
 
@@ -160,7 +160,7 @@ def reconstruct(vis: DataFrame, settings: Settings = Settings(), prox: Callable[
         model = np.zeros_like(data.dirty)
         for i in range(settings.iterations):
             before, model = model, step(model - gamma * (data.apply(model) - data.dirty))
-            if i >= settings.least and np.linalg.norm(model - before) <= settings.tolerance * (np.linalg.norm(model) + 1e-10):
+            if i + 1 >= settings.least and np.linalg.norm(model - before) <= settings.tolerance * (np.linalg.norm(model) + 1e-10):
                 return Outcome(model, i + 1, True)
         return Outcome(model, settings.iterations, False)
 

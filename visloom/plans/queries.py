@@ -306,11 +306,48 @@ def db2_image_analysis(spark, d):
     return wavelets.analysis(T.images(spark, d), [2], 8, 1)
 
 
-@_query(f"WITH {_IMG} SELECT vec_id, CAST(o AS INT) AS basis, sum(v*v)/9 AS energy FROM img, (SELECT unnest(range(0, 9)) AS o) GROUP BY 1, 2", "energy", "vec_id basis")
+_ALL_TAPS = ", ".join(f"({o}, {j}, {lo!r}::double, {hi!r}::double, {2 * o})" for o in range(1, 9) for low in [wavelets.daubechies(o)] for j, (lo, hi) in enumerate(zip(low, wavelets.high_pass(low))))
+
+
+def _levels_sql(levels: int, mode: str) -> str:
+    """CTEs of the coefficients of eight bases and the Dirac one, level after level: vec_id, basis, level, band, y, x, v."""
+    parts = [f"taps(basis, j, lo, hi, len) AS (VALUES {_ALL_TAPS})", "s0 AS (SELECT vec_id, CAST(o AS INT) AS basis, y, x, v FROM img, (SELECT unnest(range(1, 9)) AS o))"]
+    found = ["SELECT vec_id, 0 AS basis, 0 AS level, 'dirac' AS band, y, x, v FROM img"]
+    for k in range(1, levels + 1):
+        n = 8 >> (k - 1)
+        at = {a: f"((({a}-j) % {n}) + {n}) % {n}" if mode == "periodic" else f"({a}+len-2-j)" for a in "xy"}
+        parts.append(f"r{k} AS (SELECT vec_id, basis, y, CAST({at['x']} // 2 AS INT) AS x, sum(v*lo) AS l, sum(v*hi) AS h FROM s{k - 1} JOIN taps USING (basis) WHERE {at['x']} % 2 = 0 GROUP BY 1,2,3,4)")
+        parts.append(f"q{k} AS (SELECT vec_id, basis, x, CAST({at['y']} // 2 AS INT) AS y, sum(l*lo) AS ll, sum(h*lo) AS lh, sum(l*hi) AS hl, sum(h*hi) AS hh FROM r{k} JOIN taps USING (basis) WHERE {at['y']} % 2 = 0 GROUP BY 1,2,3,4)")
+        parts.append(f"s{k} AS (SELECT vec_id, basis, y, x, ll AS v FROM q{k})")
+        found += [f"SELECT vec_id, basis, {k}, '{b}', y, x, {b} FROM q{k}" for b in ("lh", "hl", "hh") + (("ll",) if k == levels else ())]
+    return ", ".join(parts) + f", words AS ({' UNION ALL '.join(found)})"
+
+
+def _digest(words: DataFrame) -> DataFrame:
+    """Energy and a moment that tells every coefficient's place, by image, basis, level and band."""
+    return words.groupBy("vec_id", "basis", "level", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") ** 2).alias("energy"), F.sum(F.col("v") * (1 + 0.37 * F.col("y") + 0.11 * F.col("x"))).alias("moment"))
+
+
+_DIGEST = "SELECT vec_id, basis, level, band, count(*) AS n, sum(v*v)/9 AS energy, sum(v*(1 + 0.37e0*y + 0.11e0*x))/3 AS moment FROM words GROUP BY 1, 2, 3, 4"
+
+
+@_query(f"WITH {_IMG}, {_levels_sql(3, 'periodic')} {_DIGEST}", "energy moment", "vec_id basis level band n")
 def dictionary_energy(spark, d):
-    """Each basis is orthonormal, so its coefficients hold a ninth of the image's energy."""
-    words = wavelets.dictionary(T.images(spark, d), 8, 3, list(range(1, 9)))
-    return words.groupBy("vec_id", "basis").agg(F.sum(F.col("v") ** 2).alias("energy"))
+    """Periodised coefficients of db1 to db8 and the Dirac basis."""
+    return _digest(wavelets.dictionary(T.images(spark, d), 8, 3, list(range(1, 9))))
+
+
+@_query(f"WITH {_IMG}, {_levels_sql(4, 'zero')} {_DIGEST}", "energy moment", "vec_id basis level band n")
+def dictionary_zero_mode(spark, d):
+    """The same with zeros outside the image, four levels."""
+    return _digest(wavelets.dictionary(T.images(spark, d), 8, 4, list(range(1, 9)), "zero"))
+
+
+@_query()
+def wavelet_thresholded(spark, d):
+    """Soft threshold of all zero-mode coefficients and synthesis summed over bases; compared with plain loops in tests."""
+    words = wavelets.dictionary(T.images(spark, d), 8, 4, list(range(1, 9)), "zero").withColumn("v", C.soft(F.col("v"), 0.02))
+    return wavelets.from_dictionary(words, 8, 4, list(range(1, 9)), "zero")
 
 
 @_query(f"WITH {_IMG} SELECT vec_id, CAST(o AS INT) AS basis, y, x, v FROM img, (SELECT unnest([2, 5]) AS o)", "v", "vec_id basis y x")
@@ -386,6 +423,25 @@ def main_table_extraction(spark, d):
     return H.extracted(H.main_table(spark, d), 1, 1, _HZ)
 
 
+_STEPS = 10
+_ELLIPSE = f"{PRE}, {NORM}, e0 AS (SELECT ch, t, nw, re - 3 AS er, im AS ei, 0e0 AS dr, 0e0 AS di, nw/max(nw) OVER (PARTITION BY ch)/max(nw) OVER (PARTITION BY ch) AS g, 0.5*sqrt(count(*) OVER (PARTITION BY ch) + 2*sqrt(count(*) OVER (PARTITION BY ch))) AS radius FROM nrm)"
+for _i in range(_STEPS):
+    _ELLIPSE += f", m{_i} AS (SELECT * REPLACE (dr - g*(dr - er) AS dr, di - g*(di - ei) AS di) FROM e{_i}), e{_i + 1} AS (SELECT m.* REPLACE (dr*least(1, radius/far) AS dr, di*least(1, radius/far) AS di) FROM m{_i} m JOIN (SELECT ch, sqrt(sum(dr*dr + di*di)) AS far FROM m{_i} GROUP BY ch) USING (ch))"
+
+
+@_query(f"{_ELLIPSE} SELECT ch, t, sum(3 + dr) AS re, sum(di) AS im, count(*) AS n FROM e{_STEPS} GROUP BY 1, 2", "re im", "ch t n")
+def ellipse_projection(spark, d):
+    rows = V.normalised(V.unflagged(T.visibilities(spark, d)), HALF).withColumns({"re0": F.lit(3.0), "im0": F.lit(0.0), "precond": F.col("nw")})
+    return V.projected_on_ellipse(rows, ["ch"], 0.5, _STEPS).groupBy("ch", "t").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def w_stacks_kmeans(spark, d):
+    """k-means centres of w on a sample; every row is labelled, checked against the nearest centre in tests."""
+    rows, _ = V.stacks_by_kmeans(T.visibilities(spark, d), 8)
+    return rows.groupBy("stack", "w0").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("w_m") - F.col("w0"))).alias("mean_gap"))
+
+
 SIDE = 8
 _CELLS, _REACH = gridding.OVER * SIDE, gridding.WIDTH / 2
 _BELL = f"(CASE WHEN abs(z) <= 1 THEN exp({gridding.BETA!r}*(sqrt(greatest(0, 1 - z*z)) - 1)) ELSE 0 END)"
