@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from visloom.llm import chat, decontaminate, exact_dedup, language_id, mixing, near_dup, quality, suffix_dedup, token_counts, warc
+from visloom.llm import chat, decontaminate, exact_dedup, filter_audit, language_id, mixing, near_dup, quality, suffix_dedup, token_counts, warc, whitening, window_dedup
 from visloom.storage import written
 
 
@@ -67,6 +67,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings"), components=8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = window_dedup.without_repeats(_table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -79,8 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_chat_format": op9_chat_format,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_whitening": op11_whitening,
+        "op12_window_dedup": op12_window_dedup,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_warc_revisits": warc.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op12_window_dedup": window_dedup.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
