@@ -12,7 +12,7 @@ Documents are then counted by part, mask and labels, at most 128 rows a part; al
 
 Defined results: a null text is empty; an empty text has no words, so it fails A only (and E where an earlier id has one too); texts may be of
 any length (segments bound the arrays; one text is one segment at least); a null part is the empty string; a null id is neither smaller nor larger than
-another; has no labels; rows that repeat an id and text do not fail E through each other; each row counts; of several label rows of an id one that
+another and has no labels; rows that repeat an id and text do not fail E through each other; each row counts; of several label rows of an id one that
 marks it is enough; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
