@@ -226,12 +226,17 @@ def shifted(groups: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def first_elements(moved: DataFrame, shapes: DataFrame, rule: Rule) -> DataFrame:
-    """Rows (h, place, sid, root, n, s, sketch): the elements that others share among the first D + 1, rarest first."""
-    flat = moved.select("p", "sid", F.explode("elements").alias("h"))
-    shared = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-shared")
-    held = flat.join(shared, "h").groupBy("p", "sid").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("g"))
+    """Rows (h, place, sid, root, n, s, sketch): the elements that other components share among the first D + 1, rarest first.
+
+    Sets of one component need not meet, so an element that one component alone holds counts like one that a set alone
+    holds: no partner has it, and it comes before all others.
+    """
+    flat = moved.select("p", "sid", "root", F.explode("elements").alias("h"))
+    held_by = flat.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = written(held_by.where("lo < hi").select("h", "c"), "near-shared")
+    held = flat.drop("root").join(shared, "h").groupBy("p", "sid").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("g"))
     rows = moved.select("p", "sid", "root", "n", "s").join(held, ["p", "sid"])
-    alone = F.col("s") - F.size("g")  # elements of this set only come before all others
+    alone = F.col("s") - F.size("g")  # elements that no partner can have come before all others
     most = _most(F.col("n") + F.floor(F.col("n") * rule.den / rule.num), rule)
     rows = rows.withColumn("alone", alone).withColumn("first", F.slice("g", F.lit(1), F.greatest(most + 1 - alone, F.lit(0)).cast("int")))
     rows = rows.where("size(first) > 0").hint("merge").join(shapes.select("sid", "sketch"), "sid")
