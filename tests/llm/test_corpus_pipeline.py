@@ -45,3 +45,18 @@ def test_empty_documents(spark):
 def test_run_is_the_stages_in_turn(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and out.where(F.col("rate").isNull()).count() == 0
+
+
+def test_any_column_names(spark):
+    """Names that the stages use themselves, dots and back quotes included, with null and repeated rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    names = ["_at", "_AT2", "_word", "_bits", "_row", "_maybe", "doc", "sid", "rk", "root", "n.chars", "a`b", "h", "rate_"]
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(f"{i}"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert 0 < out.count() <= docs.count()
+        if name != "mixing":
+            assert out.columns == docs.columns
+            assert all(r[c] == f"{i}" for r in out.collect() for i, c in enumerate(names))

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from visloom.llm.rows import filtered
 from visloom.llm.textbytes import shingle_hashes, slices, utf8, word_hashes
 
 K1, B, BLOCK, RANGE, PART, SHARD_BYTES = 1.2, 0.75, 8, 2, 40, 64_000_000
@@ -291,7 +292,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: fl
         return run
 
     for index in indexes(items, item_id, item_text, k):
-        docs = docs.mapInArrow(keep(index), docs.schema)
+        docs = filtered(docs, keep(index))
     return docs
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visloom.llm.hashed_ngrams import features, means, sparse
+from visloom.llm.rows import filtered
 from visloom.llm.textbytes import slices, utf8
 
 BITS, DIM, GRAMS = 16, 12, (3, 4)
@@ -149,7 +150,7 @@ def good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(place), table, bias) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def _scores(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:

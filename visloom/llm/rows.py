@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -25,22 +28,26 @@ def marked(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFram
     return found.withColumn(name, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("_at", "_word", "_bits")
 
 
+def filtered(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` through an Arrow function that lets rows go; columns are known to it by place, so any name will do."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def kept_rows(docs: DataFrame, row: Column, gone: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without the rows whose key ``row`` is in ``gone`` (_row), and one row of each key in ``repeated`` (_row).
 
     Of rows that repeat a key the one with the smallest hash of all its columns stays.
     """
-    key = "_row"
-    while key in docs.columns:
-        key += "_"
-    named, flag = docs.withColumn(key, row), key + "_maybe"
+    # the whole row is one column, so that no name of its columns can clash with those made here
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    named = docs.select(F.struct(*own).alias("doc"), row.alias("_row"))
     # only rows that may be gone meet the list of those that are; the others stay where they are
-    named = marked(named, F.xxhash64(key), gone.select(F.xxhash64("_row").alias("_row")), flag)
-    doubtful = named.where(flag).join(gone.select(F.col("_row").alias(key)).hint("merge"), key, "left_anti")
-    left = named.where(f"NOT {flag}").unionByName(doubtful).drop(flag)
-    again = repeated.select(F.col("_row").alias(key))
+    named = marked(named, F.xxhash64("_row"), gone.select(F.xxhash64("_row").alias("_row")), "_maybe")
+    doubtful = named.where("_maybe").join(gone.hint("merge"), "_row", "left_anti")
+    left = named.where("NOT _maybe").unionByName(doubtful).drop("_maybe")
+    again = repeated.select("_row")
     if again.isEmpty():
-        return left.select(*docs.columns)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = left.join(again, key, "left_semi").groupBy(key).agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("r"))
-    return left.join(again, key, "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
+        return left.select("doc.*")
+    one = left.join(again, "_row", "left_semi").groupBy("_row").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return left.join(again, "_row", "left_anti").select("doc.*").unionByName(one.select("doc.*"))
