@@ -10,9 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from visloom.functions import columns as C
-from visloom.operators import fourier, gridding, visibility as V, wavelets
+from visloom.operators import fourier, gridding, projections as P, visibility as V, wavelets
 from visloom.plans import imager, solvers
 from visloom.sources import channels as H, tables as T
+from visloom.storage import written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -469,6 +470,95 @@ def gridded_forward(spark, d):
     rows = gridding.predicted(_weighted(spark, d).select("t", "ch", "u", "v"), np.array(MODEL))
     return rows.groupBy("t", "ch").agg(F.sum("re_model").alias("re_model"), F.sum("im_model").alias("im_model"))
 
+_SPEC = P.Projection(count=4, snapshots=SNAPSHOTS, channels=4, snapshot_signs=3, channel_signs=2)
+_SAME = P.Projection(count=5, snapshots=SNAPSHOTS, channels=4, seed=7, same=True, vary="channel", kind="gaussian")
+_ALL = P.Projection(count=4, snapshots=SNAPSHOTS, channels=4, snapshot_signs=3, channel_signs=2, seed=3, same=True, vary="all")
+
+
+def _numbers(n: int, name: str) -> str:
+    return f"(SELECT CAST(unnest(range(0, {n})) AS INT) AS {name}) AS n_{name}"
+
+
+def _projected_sql(spec: P.Projection, rows: str, tag: str, weight: str = "nw*nw") -> str:
+    """CTEs of the weighted terms c of a table of rows, their projections d and the modulation z of these."""
+    c = repr(spec.correction)
+    return (
+        f"c{tag} AS (SELECT t, ch, p, {weight}*{c}*re AS re, {weight}*{c}*im AS im, {spec.phase()} AS a, {spec.size()} AS s FROM {rows}, {_numbers(spec.count, 'p')}), "
+        f"d{tag} AS (SELECT t, ch, p, sum(s*(re*cos(a) - im*sin(a))) AS re, sum(s*(re*sin(a) + im*cos(a))) AS im FROM c{tag} GROUP BY 1, 2, 3), "
+        f"z{tag} AS (SELECT p, mb, mk, sum({spec.sign('mb', 't', 0)}*{spec.sign('mk', 'ch', 1)}*re) AS re, sum({spec.sign('mb', 't', 0)}*{spec.sign('mk', 'ch', 1)}*im) AS im FROM d{tag}, {_numbers(spec.snapshot_signs, 'mb')}, {_numbers(spec.channel_signs, 'mk')} GROUP BY 1, 2, 3)"
+    )
+
+
+def _back_sql(spec: P.Projection, tag: str) -> str:
+    """CTEs of what the modulated values z give back to each row: f with id, t, ch, u, v, nw, re, im."""
+    signs = f"{spec.sign('mb', 't', 0)}*{spec.sign('mk', 'ch', 1)}"
+    return (
+        f"e{tag} AS (SELECT t, ch, p, sum({signs}*re) AS zr, sum({signs}*im) AS zi FROM z{tag}, {_numbers(spec.snapshots, 't')}, {_numbers(spec.channels, 'ch')} GROUP BY 1, 2, 3), "
+        f"g{tag} AS (SELECT id, t, ch, u, v, nw, zr, zi, {spec.phase()} AS a, {spec.size()} AS s FROM (SELECT *, row_number() OVER () AS id FROM nrm) JOIN e{tag} USING (t, ch)), "
+        f"f{tag} AS (SELECT id, t, ch, any_value(u) AS u, any_value(v) AS v, any_value(nw) AS nw, sum(s*(zr*cos(a) + zi*sin(a))) AS re, sum(s*(zi*cos(a) - zr*sin(a))) AS im FROM g{tag} GROUP BY 1, 2, 3)"
+    )
+
+
+@_query(f"{PRE}, {NORM}, {_projected_sql(_SPEC, 'nrm', '')} SELECT * FROM z", "re im", "p mb mk")
+def projected_data(spark, d):
+    """Projections of the weighted rows with two vectors for the antennas of a pair, modulated over snapshots and channels."""
+    return P.measured(_weighted(spark, d), _SPEC)
+
+
+@_query(f"{PRE}, {NORM}, {_projected_sql(_SAME, 'nrm', '', '1e0')} SELECT t, ch, p, re/{_SAME.correction!r} AS re, im/{_SAME.correction!r} AS im FROM d", "re im", "t ch p")
+def projected_same(spark, d):
+    """Projections by one Gaussian vector a channel for both antennas."""
+    return P.projected(_weighted(spark, d), _SAME)
+
+
+@_query(f"{PRE}, {NORM}, {_projected_sql(_SPEC, 'nrm', '')}, {_back_sql(_SPEC, '')} SELECT t, ch, count(*) AS n, sum(re)/1e3 AS re, sum(im)/1e3 AS im, avg(sqrt(re*re + im*im))/1e3 AS size FROM f GROUP BY 1, 2", "re im size", "t ch n")
+def projected_back(spark, d):
+    """The adjoint of projection and modulation at every row."""
+    rows = _weighted(spark, d)
+    back = P.gridless(rows, P.measured(rows, _SPEC), _SPEC)
+    size = F.avg(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)) / 1e3
+    return back.groupBy("t", "ch").agg(F.count(F.lit(1)).alias("n"), *[(F.sum(c) / 1e3).alias(c) for c in ("re", "im")], size.alias("size"))
+
+
+_PROJECTED = ", ".join(f"m{t} AS (SELECT y.i AS y, x.i AS x, sum(nw*nw*{_SPEC.correction!r}*(re*cos(u*x.i+v*y.i) - im*sin(u*x.i+v*y.i))) AS v FROM f{t}, axis y, axis x GROUP BY 1, 2)" for t in "ab")
+
+
+@_query(f"{PRE}, {NORM}, {_IN}, one AS (SELECT * REPLACE (1e0 AS re, 0e0 AS im) FROM nrm), {_projected_sql(_SPEC, 'nrm', 'a')}, {_back_sql(_SPEC, 'a')}, {_projected_sql(_SPEC, 'one', 'b')}, {_back_sql(_SPEC, 'b')}, {_PROJECTED} SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, ma.v/(SELECT max(v) FROM mb) AS dirty, mb.v/(SELECT max(v) FROM mb) AS psf FROM ma JOIN mb USING (y, x)", "dirty psf", "y x")
+def projected_dirty(spark, d):
+    """Image and point spread of projected data, over the peak of the latter."""
+    image = written(P.dirty_image(_weighted(spark, d), 8, _SPEC), "projected-image")
+    peak = image.agg(F.max("psf").alias("peak"))  # one row
+    return image.crossJoin(F.broadcast(peak)).select("y", "x", *[(F.col(c) / F.col("peak")).alias(c) for c in ("dirty", "psf")])
+
+
+def _energies(spark: SparkSession, d: str, form: str, spec: P.Projection) -> DataFrame:
+    power = F.sum(F.col("re") ** 2 + F.col("im") ** 2)
+    rows = _weighted(spark, d)
+    w = F.col("weight")
+    before = rows.agg(F.sum(w * w * (F.col("re") ** 2 + F.col("im") ** 2)).alias("energy"))  # one row
+    after = P.measured(rows, spec).agg(F.count(F.lit(1)).alias("n_values"), power.alias("projected"))  # one row
+    return before.crossJoin(after).select(F.lit(form).alias("form"), F.lit(spec.correction).alias("correction"), "n_values", (F.col("projected") / F.col("energy")).alias("ratio"))
+
+
+_FORMS = {"two_vectors": _SPEC, "same_for_all": _ALL}
+
+
+@_query(f"{PRE}, {NORM}, " + ", ".join(_projected_sql(s, "nrm", f"_{f}") for f, s in _FORMS.items()) + ", w AS (SELECT sum(nw*nw*nw*nw*(re*re+im*im)) AS energy FROM nrm) " + " UNION ALL ".join(f"SELECT '{f}' AS form, {s.correction!r}::double AS correction, count(*) AS n_values, sum(re*re+im*im)/any_value(energy) AS ratio FROM z_{f}, w" for f, s in _FORMS.items()), "correction ratio", "form n_values")
+def weighting_correction(spark, d):
+    """Factor of the weights for both forms, and the projected energy under it over that of the rows."""
+    return reduce(DataFrame.unionByName, [_energies(spark, d, form, spec) for form, spec in _FORMS.items()])
+
+
+_FILES = "SELECT CASE o_orderkey % 4 WHEN 0 THEN concat('run/obs_id_', o_custkey % 50, '_ch.mat') WHEN 1 THEN concat('run/obs_', o_custkey % 50, '.mat') WHEN 2 THEN 'run/obs_id_x_ch.mat' ELSE concat('run/obs_id_', o_custkey % 50) END AS path FROM {source}"
+
+
+@_query(f"WITH f AS ({_FILES.format(source='orders')}), s AS (SELECT path, coalesce(try_cast(regexp_extract(path, '_id_([^_]*)', 1) AS INT), 1) AS seed, count(*) AS n FROM f GROUP BY 1, 2) SELECT path, seed, n, {P.draw('seed', 3, 1)} AS first FROM s", "", "path seed n first")
+def projection_seeds(spark, d):
+    """Seed of each file from its name, and a number drawn under it."""
+    files = spark.sql(_FILES.format(source="{orders}"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+    seeds = files.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", P.seed_of(F.col("path")))
+    return seeds.withColumn("first", F.expr(P.draw("seed", 3, 1)))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
