@@ -39,9 +39,9 @@ def transform_of_bell(side: int) -> np.ndarray:
     return (np.cos(angle) * (_bell(nodes) * weights * half)).sum(axis=1)
 
 
-def _checked(side: int) -> int:
-    if not 1 <= side <= MAX_SIDE:
-        raise ValueError(f"an image has 1 to {MAX_SIDE} pixels a side")
+def _checked(side: int, most: float = MAX_SIDE) -> int:
+    if not 1 <= side <= most:
+        raise ValueError(f"an image has 1 to {most} pixels a side")
     if OVER * side < WIDTH:
         raise ValueError("the grid is narrower than the kernel")
     return OVER * side
@@ -54,7 +54,7 @@ def spread(vis: DataFrame, side: int, keys: list[str] = []) -> DataFrame:
 
     Rows with a null take no part.  Cells wrap around, as the grid is periodic.
     """
-    cells = _checked(side)
+    cells = _checked(side, math.inf)
     taps = F.sequence(F.lit(0), F.lit(WIDTH - 1))
     at = lambda a: F.col(a) * (cells / (2 * math.pi))
     first = lambda a: F.ceil(at(a) - WIDTH / 2)
@@ -82,6 +82,7 @@ def image_of(cells: pd.DataFrame, side: int) -> tuple[np.ndarray, np.ndarray, np
 def dirty_image(vis: DataFrame, side: int, keys: list[str] = []) -> DataFrame:
     """keys, y, x, dirty, psf for each value of the keys; an image is transformed in the task that its cells meet in."""
     grouped = list(keys) or ["one"]
+    _checked(side)
     cells = spread(vis, side, keys)
     if not keys:
         cells = cells.withColumn("one", F.lit(0))

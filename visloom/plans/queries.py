@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from visloom.functions import columns as C
-from visloom.operators import fourier, gridding, projections as P, visibility as V, wavelets
+from visloom.operators import fourier, gridding, projections as P, tiled, visibility as V, wavelets
 from visloom.plans import imager, solvers
 from visloom.sources import channels as H, tables as T
 from visloom.storage import written
@@ -559,6 +559,62 @@ def projection_seeds(spark, d):
     seeds = files.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", P.seed_of(F.col("path")))
     return seeds.withColumn("first", F.expr(P.draw("seed", 3, 1)))
 
+_TILED = "cells AS (SELECT ch, gy, gx, sum(k*nw*nw*re) AS re, sum(k*nw*nw*im) AS im, sum(k*nw*nw) AS weight FROM put GROUP BY 1, 2, 3)"
+
+
+@_query(f"{PRE}, {NORM}, {_SPREAD}, {_TILED}, back(i, b) AS (VALUES {_BACK}) SELECT ch, y.i AS y, x.i AS x, sum(re*cos{_ANGLE} - im*sin{_ANGLE})/any_value(y.b*x.b) AS dirty, sum(weight*cos{_ANGLE})/any_value(y.b*x.b) AS psf FROM cells, back y, back x GROUP BY 1, 2, 3", "dirty psf", "ch y x")
+def tiled_image(spark, d):
+    """Dirty image and point spread of each channel, with images as tables of lines."""
+    return tiled.dirty_image(_weighted(spark, d), SIDE, ["ch"])
+
+
+_WIDE = f"axis AS (SELECT unnest(range(0, {_CELLS})) AS g), back(i, b) AS (VALUES {_BACK}), pix(y, x, a) AS (VALUES {_MODEL})"
+_TURN = f"(2*{PI}/{_CELLS}*(gy.g*p.y + gx.g*p.x))"
+
+
+@_query(f"{PRE}, {NORM}, {_SPREAD}, {_WIDE}, wide AS (SELECT gy.g AS gy, gx.g AS gx, sum(a/(y.b*x.b)*cos{_TURN}) AS c, -sum(a/(y.b*x.b)*sin{_TURN}) AS s FROM pix p JOIN back y ON y.i = p.y JOIN back x ON x.i = p.x, axis gy, axis gx GROUP BY 1, 2) SELECT t, ch, sum(k*c) AS re_model, sum(k*s) AS im_model FROM put JOIN wide USING (gy, gx) GROUP BY 1, 2", "re_model im_model", "t ch")
+def tiled_forward(spark, d):
+    """Model visibilities gathered from tiles of the transformed model."""
+    rows = tiled.predicted(_weighted(spark, d).select("t", "ch", "ant1", "ant2", "u", "v", "re"), _model_image(spark), SIDE)
+    return rows.groupBy("t", "ch").agg(F.sum("re_model").alias("re_model"), F.sum("im_model").alias("im_model"))
+
+
+def _model_image(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(y - 4, x - 4, float(v)) for y, row in enumerate(MODEL) for x, v in enumerate(row)], "y int, x int, v double")
+
+
+_LOW = "stk AS (SELECT min(w_m) AS lo, (max(w_m)-min(w_m))/8 AS st FROM vis WHERE NOT flagged)"
+_STK = "sput AS (SELECT p.*, CAST(greatest(0, least(7, floor((w_m-lo)/st))) AS INT) AS stack, lo + (greatest(0, least(7, floor((w_m-lo)/st)))+0.5)*st AS w0 FROM put p CROSS JOIN stk)"
+_RISE = f"sqrt(1-({PIXEL}*x.i)*({PIXEL}*x.i)-({PIXEL}*y.i)*({PIXEL}*y.i))"
+_W = f"(2*{PI}*w0*({_RISE}-1))"
+
+
+@_query(f"{PRE}, {NORM}, {_SPREAD}, {_LOW}, {_STK}, back(i, b) AS (VALUES {_BACK}), cells AS (SELECT ch, stack, w0, gy, gx, sum(k*nw*nw*re) AS re, sum(k*nw*nw*im) AS im FROM sput GROUP BY 1, 2, 3, 4, 5) SELECT ch, y.i AS y, x.i AS x, sum((re*cos({_ANGLE} + {_W}) - im*sin({_ANGLE} + {_W}))/{_RISE}/(y.b*x.b)) AS dirty FROM cells, back y, back x GROUP BY 1, 2, 3", "dirty", "ch y x")
+def tiled_stacked_image(spark, d):
+    """Gridded adjoint with the w term of each stack, an image a channel."""
+    return tiled.stacked_image(V.nearest_stack(_weighted(spark, d), 8), SIDE, PIXEL, ["ch"])
+
+
+_BENT = f"bent AS (SELECT stack, w0, p.y, p.x, a/{_RISE}/(y.b*x.b)*cos{_W} AS pr, -a/{_RISE}/(y.b*x.b)*sin{_W} AS pi FROM (SELECT DISTINCT stack, w0 FROM sput), pix p JOIN back y ON y.i = p.y JOIN back x ON x.i = p.x)"
+
+
+@_query(f"{PRE}, {NORM}, {_SPREAD}, {_LOW}, {_STK}, {_WIDE}, {_BENT}, wide AS (SELECT stack, gy.g AS gy, gx.g AS gx, sum(pr*cos{_TURN} + pi*sin{_TURN}) AS c, sum(pi*cos{_TURN} - pr*sin{_TURN}) AS s FROM bent p, axis gy, axis gx GROUP BY 1, 2, 3) SELECT t, ch, sum(k*c) AS re_model, sum(k*s) AS im_model FROM sput JOIN wide USING (stack, gy, gx) GROUP BY 1, 2", "re_model im_model", "t ch")
+def tiled_stacked_forward(spark, d):
+    """Model visibilities with the w term of each row's stack."""
+    rows = V.nearest_stack(_weighted(spark, d), 8).select("t", "ch", "ant1", "ant2", "u", "v", "re", "stack", "w0")
+    found = tiled.stacked_predicted(rows, _model_image(spark), SIDE, PIXEL)
+    return found.groupBy("t", "ch").agg(F.sum("re_model").alias("re_model"), F.sum("im_model").alias("im_model"))
+
+
+@_query()
+def operator_norms(spark, d):
+    """Norms of each channel's operator with and without preconditioning weights; compared with dense eigenvalues in tests."""
+    rows = V.normalised(V.unflagged(T.visibilities(spark, d)), HALF)
+    uniform = V.uniform_weights(V.on_grid(V.half_plane(rows), 2 * SIDE)).withColumns({"form": F.lit("preconditioned"), "weight": (F.col("nw") * F.col("nwimag")) ** 2})
+    plain = rows.withColumns({"form": F.lit("plain"), "weight": F.col("nw") ** 2})
+    both = [r.select("form", "ch", "u", "v", "weight") for r in (plain, uniform)]
+    return tiled.operator_norms(both[0].unionByName(both[1]), SIDE, ["form", "ch"])
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
