@@ -306,59 +306,55 @@ def operator_norms(vis: DataFrame, side: int, keys: list[str], tolerance: float
     ``weight`` is the squared weight of a row (natural, imaging and preconditioning weights together); ``norm_prime`` takes its square.
     Rows are read once: they are reduced to the kernel of the product, which depends on pixel differences only.  Each round of Lanczos's
     iteration is then a convolution of line tables, written to the shared folder, for all images and both kinds at once; the driver
-    holds two numbers a round and image.  It ends when the error of each largest Ritz value is at most ``tolerance`` of that value: the
-    error is at most the residual, and at most its square over the gap to the next value.  After ``most`` rounds ``settled`` is false for those that are not there.
+    holds two numbers a round and image.  It ends when the residual of each largest Ritz value is at most ``tolerance`` of that value, which
+    bounds the eigenvalue's error; the start is noise, so that no eigenvector is left out by symmetry.  After ``most`` rounds ``settled`` is false for those that are not there.
     """
     by = [*keys, "what"]
     zeros = vis.withColumns({"re": F.lit(0.0), "im": F.lit(0.0)})
     kernel = dirty_lines(zeros, 2 * side, keys, {"norm": ("weight", None), "norm_prime": ("square", None)})
     spectrum = written(_spectrum(kernel, by, side).withColumnRenamed("v", "s"), "norm-spectrum")
 
-    def start(z: np.ndarray) -> np.ndarray:
-        # smooth and positive, so that it meets the leading eigenvector of a positive kernel
-        return np.ones((len(z), side), complex) + 0.1 * np.random.default_rng(7).normal(size=(1, side))
-
-    first = mapped(spectrum.where(F.col("line") < side).select(*by, "line", F.col("s").alias("v")), by, start)
-    now = written(first.withColumn("prev", F.col("v")), "norm-round")
-    index = [tuple(r[k] for k in by) for r in now.select(*by).distinct().collect()]  # one an image
-    size = {tuple(r[k] for k in by): math.sqrt(r["n"]) for r in now.groupBy(*by).agg(_dot("v", "v").alias("n")).collect()}
-    alphas: dict[tuple, list[float]] = {k: [] for k in index}
-    betas: dict[tuple, list[float]] = {k: [] for k in index}
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                z = np.array([np.random.default_rng(line).normal(size=side) for line in b.column(len(by)).to_pylist()], complex)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], _lists(z), _lists(z)], [*by, "line", "v", "prev"])
+
+    rows = spectrum.where(F.col("line") < side).select(*by, "line", "s")
+    first = written(rows.mapInArrow(start, _schema(rows, by, "line int, v array<double>, prev array<double>")), "norm-start")
+    now = first.select(*by, "line", "prev", "v", F.col("v").alias("w"))
+    squares = first.groupBy(*by).agg(_dot("v", "v").alias("n")).collect()  # one row an image
+    # of each image: multiples of v and of prev that the last product loses, and the norm of what is left
+    state = {tuple(r[k] for k in by): (0.0, 0.0, math.sqrt(r["n"])) for r in squares}
+    alphas: dict[tuple, list[float]] = {k: [] for k in state}
+    betas: dict[tuple, list[float]] = {k: [] for k in state}
     found: dict[tuple, tuple[float, int, bool]] = {}
+    steps: list[DataFrame] = []
+    numbers = _schema(first, by, "a double, b double, c double")
     for step in range(1, most + 1):
-        if len(found) == len(index):
+        if len(found) == len(state):
             break
-        scale = F.coalesce(*[F.when(_is(by, k), F.lit(1 / size[k] if size[k] else 0.0)) for k in index], F.lit(0.0))
-        unit = now.withColumn("c", scale).select(*by, "line", F.expr("transform(v, x -> x * c)").alias("v"), "prev")
+        scalars = F.broadcast(vis.sparkSession.createDataFrame([(*k, a, b, 1 / n if n else 0.0) for k, (a, b, n) in state.items()], numbers))  # one row an image
+        unit = now.join(scalars, by).select(*by, "line", F.expr("transform(w, (x, i) -> c * (x - a * v[i] - b * prev[i]))").alias("v"), F.col("v").alias("prev"))
         done = convolved(unit.select(*by, "line", "v"), spectrum, by, side).withColumnRenamed("v", "w")
-        both = written(unit.join(done, [*by, "line"]), "norm-step")
-        sums = {tuple(r[k] for k in by): r for r in both.groupBy(*by).agg(_dot("w", "v").alias("a"), _dot("w", "w").alias("ww")).collect()}
-        for k in index:
-            a, b = sums[k]["a"], betas[k][-1] if betas[k] else 0.0
+        now = written(unit.join(done, [*by, "line"]), "norm-round")
+        for r in now.groupBy(*by).agg(_dot("w", "v").alias("a"), _dot("w", "w").alias("ww")).collect():  # one row an image
+            k = tuple(r[c] for c in by)
+            a, b = r["a"], betas[k][-1] if betas[k] else 0.0
             alphas[k].append(a)
-            left = math.sqrt(max(0.0, sums[k]["ww"] - a * a - b * b))
+            left = math.sqrt(max(0.0, r["ww"] - a * a - b * b))
             values, vectors = np.linalg.eigh(np.diag(alphas[k]) + np.diag(betas[k], 1) + np.diag(betas[k], -1))
-            top, gap, rest = abs(values[-1]), values[-1] - values[-2] if step > 1 else 0.0, left * abs(vectors[-1, -1])
-            near = rest <= tolerance * top or rest <= 0.01 * top and rest * rest <= tolerance * top * gap
+            near = left * abs(vectors[-1, -1]) <= tolerance * abs(values[-1])
             if k not in found and (near or step == most):
                 found[k] = (float(values[-1]), step, bool(near))
             betas[k].append(left)
-            size[k] = left
-        ab = [F.coalesce(*[F.when(_is(by, k), F.lit(x[k])) for k in index]) for x in ({k: alphas[k][-1] for k in index}, {k: betas[k][-2] if len(betas[k]) > 1 else 0.0 for k in index})]
-        less = both.withColumns({"a": ab[0], "b": ab[1]}).withColumn("u", F.expr("transform(w, (x, i) -> x - a * v[i] - b * prev[i])"))
-        following = written(less.select(*by, "line", F.col("u").alias("v"), F.col("v").alias("prev")), "norm-round")
-        discard(now, both)
-        now = following
-    discard(now, spectrum)
+            state[k] = (a, b, left)
+        discard(*steps)
+        steps = [now]
+    discard(first, spectrum, *steps)
     kinds = dict(vis.select(*keys).dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "what string, value double, rounds int, settled boolean"])
     rows = vis.sparkSession.createDataFrame([(*k, *v) for k, v in found.items()], schema)
     pick = lambda name: F.max(F.when(F.col("what") == name, F.col("value")))
     return rows.groupBy(*keys).agg(pick("norm").alias("norm"), pick("norm_prime").alias("norm_prime"), F.max("rounds").alias("rounds"), F.min("settled").alias("settled"))
 
-
-def _is(by: list[str], key: tuple) -> Column:
-    out = F.lit(True)
-    for c, v in zip(by, key):
-        out = out & F.col(c).eqNullSafe(F.lit(v))
-    return out
