@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,7 +14,7 @@ from visloom.functions import columns as C
 from visloom.operators import fourier, gridding, projections as P, tiled, visibility as V, wavelets
 from visloom.plans import imager, solvers
 from visloom.sources import channels as H, tables as T
-from visloom.storage import written
+from visloom.storage import shared_dir, written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -615,6 +616,55 @@ def operator_norms(spark, d):
     both = [r.select("form", "ch", "u", "v", "weight") for r in (plain, uniform)]
     return tiled.operator_norms(both[0].unionByName(both[1]), SIDE, ["form", "ch"])
 
+@_query(f"{_JOINED} SELECT ch, t, count(*) AS n, sum(u) AS u, sum(v) AS v, sum(w) AS w, sum(nw*re) AS re, sum(nw*im) AS im FROM lam GROUP BY 1, 2", "u v w re im", "ch t n")
+def channel_mat_files(spark, d):
+    """Channels and main table written as MAT files, read back and joined."""
+    path = f"{shared_dir(spark)}/mat-{uuid.uuid4().hex}"
+    H.write_mat_files(H.channel_rows(spark, d), H.geometry(spark, d), path)
+    rows, main = H.read_mat_files(spark, path)
+    joined = H.with_geometry(H.channel_range(rows, _FIRST, _COUNT), main, H.frequencies(spark, 1e9, 8e6, 7))
+    sums = [F.sum(a).alias(a) for a in "uvw"] + [F.sum(F.col("nw") * F.col(a)).alias(a) for a in ("re", "im")]
+    return joined.groupBy("ch", "t").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+@_query(f"{_JOINED} SELECT ch, t, count(*) AS n, sum(u) AS u, sum(v) AS v, sum(w) AS w, sum(nw*re) AS re, sum(nw*im) AS im FROM lam GROUP BY 1, 2", "u v w re im", "ch t n")
+def channel_parquet_files(spark, d):
+    """Channels written as one folder each; the range prunes folders."""
+    path = f"{shared_dir(spark)}/channels-{uuid.uuid4().hex}"
+    H.write_channel_files(H.channel_rows(spark, d), path)
+    rows = H.read_channel_files(spark, path, _FIRST, _COUNT)
+    joined = H.with_geometry(rows, H.geometry(spark, d), H.frequencies(spark, 1e9, 8e6, 7))
+    sums = [F.sum(a).alias(a) for a in "uvw"] + [F.sum(F.col("nw") * F.col(a)).alias(a) for a in ("re", "im")]
+    return joined.groupBy("ch", "t").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+_TO_GRID = T.LIGHT / 1e9 * math.pi / HALF
+_BDAIMG = f"{_BDA}, {_IN}, bn AS (SELECT *, u*{_TO_GRID!r} AS x, -v*{_TO_GRID!r} AS y FROM b), fn AS (SELECT *, u*{_TO_GRID!r} AS x, -v*{_TO_GRID!r} AS y FROM lam WHERE NOT flagged)"
+
+
+def _briggs_sql(rows: str, tag: str) -> str:
+    fold = "(CASE WHEN y < 0 THEN -x ELSE x END)"
+    return f"g{tag} AS (SELECT *, {CELL.replace('AXIS', fold)} AS q, {CELL.replace('AXIS', 'abs(y)')} AS p FROM {rows}), c{tag} AS (SELECT p, q, sum(nw*nw) AS g FROM g{tag} GROUP BY 1, 2), s{tag} AS (SELECT sum(g)/sum(g*g)*25 AS s FROM c{tag}), w{tag} AS (SELECT x, y, re, im, nw*nw/(1+s*g) AS w FROM g{tag} JOIN c{tag} USING (p, q) CROSS JOIN s{tag}), i{tag} AS (SELECT a.i AS iy, b.i AS ix, sum(w*(re*cos(x*b.i+y*a.i) - im*sin(x*b.i+y*a.i))) AS dirty, sum(w*cos(x*b.i+y*a.i)) AS psf FROM w{tag}, axis a, axis b GROUP BY 1, 2), n{tag} AS (SELECT iy, ix, dirty/max(psf) OVER () AS dirty, psf/max(psf) OVER () AS psf FROM i{tag})"
+
+
+@_query(f"{_BDAIMG}, {_briggs_sql('fn', 'a')}, {_briggs_sql('bn', 'b')} SELECT (SELECT count(*) FROM fn) AS n_full, (SELECT count(*) FROM bn) AS n_averaged, sqrt(sum((a.dirty-b.dirty)*(a.dirty-b.dirty)))/sqrt(sum(a.dirty*a.dirty)) AS dirty_error, sqrt(sum((a.psf-b.psf)*(a.psf-b.psf)))/sqrt(sum(a.psf*a.psf)) AS psf_error FROM na a JOIN nb b USING (iy, ix)", "dirty_error psf_error", "n_full n_averaged")
+def bda_image_error(spark, d):
+    """Averaged data imaged under Briggs weights of their own, against the full data: relative error of dirty image and point spread."""
+    full = V.in_wavelengths(V.unflagged(T.visibilities(spark, d)), T.channels(spark)).select("u", "v", "re", "im", "nw")
+    less = _bda(spark, d).select("u", "v", "re", "im", "nw")
+    images, counts = [], []
+    for name, rows in (("a", full), ("b", less)):
+        rows = written(rows.withColumns({"u": F.col("u") * _TO_GRID, "v": -F.col("v") * _TO_GRID}), "bda-rows")
+        counts.append(rows.count())
+        w = V.briggs_weights(V.on_grid(V.half_plane(rows.withColumns({"u0": F.col("u"), "v0": F.col("v")})), GRID), 0.0)
+        w = w.select(F.col("u0").alias("u"), F.col("v0").alias("v"), "re", "im", ((F.col("nw") * F.col("nwimag")) ** 2).alias("weight"))
+        image = written(fourier.dirty_image(w, 8), "bda-image")
+        peak = image.agg(F.max("psf").alias("peak"))  # one row
+        images.append(image.crossJoin(F.broadcast(peak)).select("y", "x", *[(F.col(c) / F.col("peak")).alias(f"{c}_{name}") for c in ("dirty", "psf")]))
+    gap = lambda c: (F.sqrt(F.sum((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2)) / F.sqrt(F.sum(F.col(f"{c}_a") ** 2))).alias(f"{c}_error")
+    both = images[0].join(images[1], ["y", "x"]).agg(gap("dirty"), gap("psf"))
+    return both.select(F.lit(counts[0]).cast("long").alias("n_full"), F.lit(counts[1]).cast("long").alias("n_averaged"), "dirty_error", "psf_error")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)

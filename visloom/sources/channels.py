@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from visloom.functions import columns as C
+from visloom.sources import arrays, mat5
+from visloom.sources.sink import write_files
 
 GEOMETRY = """
 select o_orderkey as row, cast(o_orderkey % 64 as int) as t, cast(o_custkey % 27 as int) as ant1,
@@ -78,6 +80,21 @@ def channel_range(rows: DataFrame, first: int | None = None, count: int | None =
     return rows.where((F.col("ch") >= low) & (F.col("ch") < low + (count or 1)))
 
 
+def write_mat_files(rows: DataFrame, main: DataFrame, path: str) -> None:
+    """Channel rows and the main table as MAT files: ``path``/channels and ``path``/main, several files a channel where tasks share it."""
+    y = F.struct("re", "im").alias("y")
+    write_files(mat5.files_of(rows.select(F.col("row").alias("key"), "ch", y, "nw", "flagged"), "ch", "data"), f"{path}/channels")
+    write_files(mat5.files_of(main.withColumn("part", F.lit(0)).withColumnRenamed("row", "key"), "part", "main"), f"{path}/main")
+
+
+def read_mat_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Channel rows and the main table that ``write_mat_files`` wrote; a weight that is no number is null."""
+    rows = arrays.table(spark, mat5.MatSource, f"{path}/channels", columns=["key", "ch", "y", "nw", "flagged"], rows="key")
+    main = arrays.table(spark, mat5.MatSource, f"{path}/main", columns=["key", "t", "ant1", "ant2", "u_m", "v_m", "w_m"], rows="key")
+    rows = rows.select(F.col("key").alias("row"), "ch", "y.re", "y.im", F.nanvl("nw", F.lit(None).cast("double")).alias("nw"), "flagged")
+    return rows, main.withColumnRenamed("key", "row")
+
+
 def frequencies(spark: SparkSession, first_hz: float, step_hz: float, count: int) -> DataFrame:
     """A channel table of even spacing: ch, freq_hz."""
     return spark.range(count).select(F.col("id").cast("int").alias("ch"), (F.lit(first_hz) + F.col("id") * step_hz).alias("freq_hz"))

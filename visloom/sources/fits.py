@@ -10,7 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from visloom.sources.sink import write_files
 
 UNIT = 2880
 # FITS codes of pixel types, all big-endian.
@@ -71,3 +73,9 @@ def files_of(images: DataFrame) -> DataFrame:
         return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [encode(image)]})
 
     return images.select("path", "y", "x", "v").groupBy("path").applyInPandas(one, "path string, content binary")
+
+
+def write_images(images: DataFrame, path: str, overwrite: bool = True, prefix: str = "") -> None:
+    """One FITS file in the folder ``path`` for each image of (path, y, x, v), named by the last part of its path; all or none."""
+    files = files_of(images).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    write_files(files, path, overwrite, prefix)
