@@ -110,12 +110,12 @@ class ArraySource(DataSource):
     suffix = ""
 
     @staticmethod
-    def opened(path: str):
-        """An object with ``arrays`` (name to Array) and ``read(name, first, stop)``, rows first; closed by ``close``."""
+    def opened(path: str, options: dict[str, str] = {}):
+        """An object with ``arrays`` (name to Array), ``read(name, first, stop)``, rows first, and ``align(rows)``; closed by ``close``."""
         raise NotImplementedError
 
     def schema(self) -> T.StructType:
-        f = self.opened(listed(self.options["path"], self.suffix)[0])
+        f = self.opened(listed(self.options["path"], self.suffix)[0], self.options)
         try:
             rows = rows_of(f.arrays, self.options.get("rows"))
             fields = [(k, _type(a, rows)) for k, a in f.arrays.items()]
@@ -155,18 +155,20 @@ class ArrayReader(DataSourceReader):
         step = int({k.lower(): v for k, v in self.options.items()}.get("rowsperpartition", 1_000_000))
         out: list[InputPartition] = []
         for path in listed(self.options["path"], self.source.suffix):
-            f = self.source.opened(path)
+            f = self.source.opened(path, self.options)
             try:
                 rows = rows_of(f.arrays, self.options.get("rows"))
+                least = f.align(rows)
             finally:
                 f.close()
-            out += [Range(path, i, min(rows, i + step)) for i in range(0, rows, step)]
+            wide = -(-step // least) * least
+            out += [Range(path, i, min(rows, i + wide)) for i in range(0, rows, wide)]
         return out
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # no rows in any file
             return
-        f = self.source.opened(part.path)
+        f = self.source.opened(part.path, self.options)
         try:
             rows = rows_of(f.arrays, self.options.get("rows"))
             n = part.stop - part.first

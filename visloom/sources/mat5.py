@@ -107,6 +107,9 @@ class MatFile:
     def close(self) -> None:
         self.file.close()
 
+    def align(self, rows: int) -> int:
+        return 1
+
     def _stream(self, place: _Place) -> _Stream:
         s = _Stream(self.file, place.start, place.size, place.packed)
         if place.packed:
@@ -187,7 +190,7 @@ class MatSource(ArraySource):
         return "mat5"
 
     @staticmethod
-    def opened(path: str) -> MatFile:
+    def opened(path: str, options: dict[str, str] = {}) -> MatFile:
         return MatFile(path)
 
 
