@@ -312,14 +312,6 @@ def test_ellipse_projection_with_a_warm_start(spark):
     assert max(abs(complex(r["re"], r["im"]) - x[r["i"]]) for r in inside.collect()) < 1e-3
 
 
-def test_kmeans_stacks_label_the_nearest_centre(spark):
-    vis = T.visibilities(spark, "/root/testdata/sf0.001")
-    rows, centres = V.stacks_by_kmeans(vis, 4, fraction=0.5)
-    assert centres == sorted(centres) and rows.count() == vis.count()
-    for r in rows.select("w_m", "stack", "w0").distinct().collect():
-        assert abs(r["w_m"] - r["w0"]) == pytest.approx(min(abs(r["w_m"] - c) for c in centres)) and centres[r["stack"]] == r["w0"]
-
-
 def test_projection_sizes():
     eps, p, b, k = V.projection_sizes(512 * 512, 27, 200, 16)
     assert eps**4 - eps**3 / 27 == pytest.approx(2 * 512**2 / (27**2 * 200 * 16)) and p * (p - 1) / 2 * b * k >= 512**2

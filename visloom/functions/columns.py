@@ -52,5 +52,10 @@ def logged(x: Column, a: float, top: Column) -> Column:
     return top * F.log10(a * x / top + 1) / F.log10(F.lit(a))
 
 
+def logged_unit(x: Column, a: float, top: Column) -> Column:
+    """The same scale with peak one."""
+    return F.log10(a * x / top + 1) / F.log10(F.lit(a))
+
+
 def n_term(l: Column, m: Column) -> Column:  # noqa: E741
     return F.sqrt(1 - l * l - m * m)

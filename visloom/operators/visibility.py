@@ -170,25 +170,37 @@ def sampled(vis: DataFrame, fraction: float, seed: int) -> DataFrame:
     return vis.where(F.pmod(key, F.lit(ring)) < fraction * ring)
 
 
-def stacks_by_kmeans(vis: DataFrame, stacks: int, seed: int = 42, restarts: int = 3, fraction: float = 0.01, most: int = 1_000_000) -> tuple[DataFrame, list[float]]:
-    """Adds stack and w0 of the nearest k-means centre of w_m, and returns the sorted centres.
+def stacks_of_least_cost(vis: DataFrame, stacks: int, bins: int = 2048) -> tuple[DataFrame, list[float]]:
+    """Adds stack and w0 of the nearest centre of w_m, and returns the sorted centres: clusters of least summed squared distance.
 
-    Centres are fitted on a hash sample of ``fraction`` of the rows, ``most`` rows at the most in expectation, as the best of some seeds;
-    every row is then labelled by the midpoints between centres, without a join.  Fewer distinct sampled values give fewer stacks.
+    All rows are counted into ``bins`` equal bins of the range of w (a row each, with sums of w and its square), and a dynamic
+    programme over the bins finds the best of all ways to part them, so there are no restarts and no sample.  Clusters end at edges of bins.
+    Every row is then labelled by the midpoints between centres, without a join.  Fewer filled bins give fewer stacks; a null w has no stack.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = max(1, vis.count())
-    taken = sampled(vis, min(fraction, most / rows), seed).select(F.col("w_m").cast("double").alias("w_m")).na.drop()
-    points = VectorAssembler(inputCols=["w_m"], outputCol="features").transform(taken)
-    if points.isEmpty():
-        raise ValueError("no row was sampled; raise the fraction")
-    fits = [KMeans(k=stacks, seed=seed + r, maxIter=1000, tol=1e-6).fit(points) for r in range(restarts)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    centres = sorted(float(c[0]) for c in best.clusterCenters())
+    w = F.col("w_m").cast("double")
+    low, high = vis.agg(F.min(w), F.max(w)).first()
+    if low is None:
+        return vis.withColumns({"stack": F.lit(None).cast("int"), "w0": F.lit(None).cast("double")}), []
+    at = F.floor((w - low) * (bins / ((high - low) or 1.0))) if high > low else F.lit(0)
+    part = vis.where(w.isNotNull()).groupBy(F.least(at, F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(w - low).alias("s"), F.sum((w - low) ** 2).alias("q"))
+    found = part.orderBy("bin").toPandas()  # one row a bin
+    n, s, q = (np.concatenate([[0.0], np.cumsum(found[c].to_numpy(float))]) for c in ("n", "s", "q"))
+    m = len(found)
+    i, j = np.arange(m + 1)[:, None], np.arange(m + 1)[None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cost = np.where(i < j, (q[j] - q[i]) - (s[j] - s[i]) ** 2 / (n[j] - n[i]), np.inf)  # of bins i to j - 1 as one cluster
+    best, ways = cost[0].copy(), []
+    for _ in range(min(stacks, m) - 1):
+        total = best[:, None] + cost
+        ways.append(total.argmin(axis=0))
+        best = total.min(axis=0)
+    edges = [m]
+    for way in reversed(ways):
+        edges.append(int(way[edges[-1]]))
+    edges = [0, *sorted(edges)]
+    centres = [low + float((s[b] - s[a]) / (n[b] - n[a])) for a, b in zip(edges, edges[1:])]
     middles = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
-    stack = sum(((F.col("w_m") > m).cast("int") for m in middles), F.lit(0))
+    stack = sum(((w > x).cast("int") for x in middles), F.when(w.isNotNull(), F.lit(0)))
     return vis.withColumn("stack", stack).withColumn("w0", F.element_at(F.array(*[F.lit(c) for c in centres]), F.col("stack") + 1)), centres
 
 
