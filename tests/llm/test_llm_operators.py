@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -610,3 +611,31 @@ def test_op10_keeps_one_row_of_each_text(spark):
     assert kept.columns == frame(spark, rows).columns
     got = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in kept.collect())
     assert got == sorted([("4", "aa"), ("2", "bb"), ("7", "cc"), ("5", "dd"), ("3", "ee"), ("None", "")])
+
+
+def test_op6_decoding_by_definition(spark):
+    """Every bit's margin, every codeword's loss and the shares of belief, one number at a time."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    langs, table = language_id.fit(docs)
+    code = language_id.codewords(len(langs))
+    rows = docs.select("doc_id", "text").limit(40).union(spark.createDataFrame([(-1, ""), (-2, None), (-3, "12 34"), (-4, "é"), (-5, "the der el le " * 50)], "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r for r in language_id.identified(spark.createDataFrame(rows, "doc_id long, text string"), langs, table, close=0.99).collect()}
+    unsure = 0
+    for doc_id, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        ((at, w),) = language_id.sparse(language_id._features(raw, np.array([0, len(raw)])), 1)
+        margin = [sum(float(x) * float(table[i, b]) for i, x in zip(at, w)) + float(table[-1, b]) for b in range(code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-max(-30.0, min(30.0, z * float(c))))) for z, c in zip(margin, word)) for word in code]
+        belief = [math.exp(min(loss) - x) for x in loss]
+        belief = [x / sum(belief) for x in belief]
+        first, second = sorted(belief)[:-3:-1]
+        r = got[doc_id]
+        if any(ch.isalpha() for ch in text or ""):
+            assert r["score"] == pytest.approx(first, abs=1e-4) and (r["lang_pred"] == langs[loss.index(min(loss))] or first - second < 1e-4)
+            if abs(first - second - 0.99) > 1e-3:
+                assert r["ambiguous"] == (first - second < 0.99)
+            unsure += r["ambiguous"]
+        else:
+            assert (r["lang_pred"], r["score"], r["ambiguous"]) == ("und", 1.0, False)
+    assert 0 < unsure < 40
