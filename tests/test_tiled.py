@@ -89,10 +89,10 @@ def test_forward_and_adjoint_identity(spark, monkeypatch, side):
 
 
 def test_rows_without_a_place(spark):
-    vis = spark.createDataFrame([(0, None, 1.0, 1.0, 0.0, 1.0), (0, 0.5, 0.5, 1.0, 0.0, 1.0), (1, 0.5, 0.5, 1.0, 0.0, 1.0)], KIND)
+    vis = spark.createDataFrame([(0, None, 1.0, 1.0, 0.0, 1.0), (0, 0.5, 0.5, 1.0, 0.0, 1.0), (1, 0.5, 0.5, 1.0, 0.0, 1.0), (None, 0.5, 0.5, 1.0, 0.0, 1.0)], KIND)
     image = spark.createDataFrame([(0, 0, 0, 2.0)], "ch int, y int, x int, v double")
     got = {(r["ch"], r["u"]): r["re_model"] for r in tiled.predicted(vis, image, 8, ["ch"]).collect()}
-    assert got[0, None] is None and abs(got[0, 0.5] - 2) < 1e-4 and got[1, 0.5] == 0  # no image, no flux
+    assert got[0, None] is None and abs(got[0, 0.5] - 2) < 1e-4 and got[1, 0.5] == 0 and got[None, 0.5] is None
 
 
 def test_w_stacks(spark):

@@ -312,6 +312,14 @@ def test_ellipse_projection_with_a_warm_start(spark):
     assert max(abs(complex(r["re"], r["im"]) - x[r["i"]]) for r in inside.collect()) < 1e-3
 
 
+def test_odd_sides_need_a_step_of_their_own(spark):
+    vis = spark.createDataFrame([(0.1, 0.2, 1.0, 0.0, 1.0)], "u double, v double, re double, im double, weight double")
+    with pytest.raises(ValueError, match="even"):
+        imager.reconstruct(vis, imager.Settings(side=5))
+    free = imager.reconstruct(vis, imager.Settings(side=5, iterations=3, least=1), prox=lambda x: np.maximum(x, 0))
+    assert free.count() == 25
+
+
 def test_projection_sizes():
     eps, p, b, k = V.projection_sizes(512 * 512, 27, 200, 16)
     assert eps**4 - eps**3 / 27 == pytest.approx(2 * 512**2 / (27**2 * 200 * 16)) and p * (p - 1) / 2 * b * k >= 512**2

@@ -7,7 +7,7 @@ has BLOCK times the side values), and a transform of every line again.  No task
 The forward map gathers from the transformed grid by tiles: a tile of TILE x TILE cells (and the kernel's reach) meets the rows whose
 kernels start in it.  The rows of a crowded tile are dealt to parts of about PART rows, and the tile goes to each of them.
 
-Rows with a null take no part in sums, and their model is null.
+Rows with a null take no part in sums, and their model is null; so is that of rows with a null key.  Rows whose keys have no image get zero.
 """
 
 from __future__ import annotations
@@ -182,8 +182,11 @@ def gathered(vis: DataFrame, grid: DataFrame, keys: list[str], side: int) -> Dat
     cells = OVER * side
     tile = lambda a: F.floor(F.pmod(_first(a, cells), F.lit(cells)) / TILE).cast("int")
     placed = vis.withColumns({"ty": tile("v"), "tx": tile("u")})
-    known = placed.where("ty IS NOT NULL AND tx IS NOT NULL")
     by = [*keys, "ty", "tx"]
+    whole = F.lit(True)
+    for c in by:
+        whole = whole & F.col(c).isNotNull()
+    known = placed.where(whole)
     sizes = written(known.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "tiled-parts")
     tiles = tiles_of(grid, keys, cells).join(sizes, by)
     tiles = tiles.select(*by, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tile")
@@ -208,7 +211,7 @@ def gathered(vis: DataFrame, grid: DataFrame, keys: list[str], side: int) -> Dat
 
     schema = ", ".join([*(f"`{c}` {t}" for c, t in vis.dtypes), "re_model double, im_model double"])
     found = dealt.groupBy(*by, "part").cogroup(tiles.groupBy(*by, "part")).applyInArrow(gather, schema)
-    rest = placed.where("ty IS NULL OR tx IS NULL").select(*vis.columns, F.lit(None).cast("double").alias("re_model"), F.lit(None).cast("double").alias("im_model"))
+    rest = placed.where(~whole).select(*vis.columns, F.lit(None).cast("double").alias("re_model"), F.lit(None).cast("double").alias("im_model"))
     return found.unionByName(rest)
 
 

@@ -152,7 +152,12 @@ def images(vis: DataFrame, side: int, loop: Loop, keys: list[str] = [], totals:
 
 
 def reconstruct(vis: DataFrame, settings: Settings = Settings(), prox: Callable[[np.ndarray], np.ndarray] | None = None, keys: list[str] = []) -> DataFrame:
-    """Forward-backward reconstruction of rows (u, v, re, im, weight), one image for each value of ``keys``."""
+    """Forward-backward reconstruction of rows (u, v, re, im, weight), one image for each value of ``keys``.
+
+    The proximity step that is taken where none is given halves the image, so the side must be even.
+    """
+    if prox is None and settings.side % 2:
+        raise ValueError("without a proximity step of your own the side must be even")
 
     def loop(data: Reduced) -> Outcome:
         gamma = 1.98 / data.norm
