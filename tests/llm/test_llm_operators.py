@@ -173,6 +173,14 @@ def test_op3_edges(spark, docs, nothing):
     assert quality.scored(nothing, model).count() == 0
 
 
+def folded(steps, p):
+    """Rates after these steps: each goes on by a part of the last change, then subtracts and cuts at zero."""
+    r = last = np.ones(len(p))
+    for b, *s in steps:
+        r, last = np.maximum(0, r + b * (r - last) - p @ np.array(s)), r
+    return r
+
+
 def test_op4_meets_targets(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     names, priors, table = mixing.fit_classifier(docs, labels)
@@ -183,9 +191,8 @@ def test_op4_meets_targets(spark):
     steps, goal, reached = mixing.fit_rates(rows, len(names))
     assert max(abs(a - b) for a, b in zip(goal, reached)) < 2e-3
     x = rows.toPandas()
-    p, n, r = x[[f"p{i}" for i in range(len(names))]].to_numpy(), x.n_tokens.to_numpy(), np.ones(len(x))
-    for s in steps:
-        r = np.maximum(0, r - p @ np.array(s))
+    p, n = x[[f"p{i}" for i in range(len(names))]].to_numpy(), x.n_tokens.to_numpy()
+    r = folded(steps, p)
     assert np.allclose((r * n) @ p / n.sum(), reached) and np.allclose(sorted(r), sorted(rows.select(mixing.rate_after(steps, len(names)).alias("r")).toPandas().r))
 
 
@@ -213,9 +220,7 @@ def test_op4_meets_skewed_targets_with_rates_at_zero(spark, sharp):
     rows, n, p = soft_rows(spark, [0.02, 0.13, 0.75, 0.1], sharp)
     targets = [0.4, 0.3, 0.2, 0.1]
     steps, goal, reached = mixing.fit_rates(rows, 4, targets)
-    r = np.ones(len(n))
-    for s in steps:
-        r = np.maximum(0, r - p @ np.array(s))
+    r = folded(steps, p)
     assert goal == targets and (r == 0).any() and np.allclose(n * r @ p / n.sum(), reached)
     assert np.all(np.abs(np.array(reached) - targets) <= 1e-3 * np.array(targets))
 
@@ -240,6 +245,29 @@ def least_distance(a, b):
         x[on] = z
 
 
+def test_op4_gradient_alone_meets_targets(spark, monkeypatch):
+    """Without Newton steps, the fit is accelerated projected gradient to the end."""
+    monkeypatch.setattr(mixing, "_newton", None)
+    monkeypatch.setattr(mixing, "GRADIENT", 200)
+    rows, n, p = soft_rows(spark, [0.02, 0.13, 0.75, 0.1], 3.0, size=1000)
+    steps, goal, reached = mixing.fit_rates(rows, 4, [0.4, 0.3, 0.2, 0.1])
+    r = folded(steps, p)
+    assert 2 < len(steps) < 200 and (r == 0).any() and np.allclose(n * r @ p / n.sum(), reached)
+    assert np.all(np.abs(np.array(reached) - goal) <= 1e-3 * np.array(goal))
+
+
+def test_samples_take_the_smallest_hashes_of_each_label(spark):
+    labels = spark.range(9000).selectExpr("id AS doc_id", "int(id % 9 = 0) AS label").unionByName(spark.sql("SELECT 1L AS doc_id, int(null) AS label"))
+    for parts in (1, 7):
+        got = quality.sample(labels.repartition(parts), max_rows=300).toPandas()
+        hashed = labels.selectExpr("doc_id", "label", "xxhash64(doc_id, 'sample') AS h").toPandas()
+        for label in (0, 1):
+            want = hashed[hashed.label == label].nsmallest(300, "h").doc_id
+            assert sorted(got[got.label == label].doc_id) == sorted(want)
+        assert len(got) == 600
+    assert quality.sample(labels, max_rows=9000).count() == 9000
+
+
 def test_op4_targets_out_of_reach_get_the_least_distance(spark):
     rows, n, p = soft_rows(spark, [0.02, 0.13, 0.75, 0.1], 0.5, size=300)
     _, goal, reached = mixing.fit_rates(rows, 4, [0.97, 0.01, 0.01, 0.01])
@@ -479,6 +507,30 @@ def test_op8_finds_planted_items_and_edges(spark, nothing):
     assert decontaminate.matches(nothing, bench).count() == 0 and decontaminate.matches(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_op8_short_items_match_as_contiguous_words(spark):
+    """Items of one to six words against a search for their words in a row."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"w{rng.randrange(12)}" for _ in range(n))
+    items = [(i, say(1 + i % 6)) for i in range(60)]
+    texts = [(i, say(n)) for i, n in enumerate([0, 1, 2, 3, 4, 5, 79, 80, 81, 120, 300, 700])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(frame(spark, texts), bench, overlap=1.0).where("contaminated")
+
+    def holds(text, item):
+        w, x = text.split(), item.split()
+        k = min(5, len(x))
+        return all(any(w[a : a + k] == x[s : s + k] for a in range(len(w) - k + 1)) for s in range(len(x) - k + 1))
+
+    want = {(d, i) for d, t in texts for i, x in items if holds(t, x)}
+    assert want - {(d, i) for d, i in want if d < 6} and {(r["doc_id"], r["item_id"]) for r in got.collect()} >= {(d, i) for d, i in want if len(items[i][1].split()) < 5}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} <= want
+    kept = {r["doc_id"] for r in decontaminate.clean(frame(spark, texts), bench, overlap=1.0).collect()}
+    assert not kept & {d for d, i in want if len(items[i][1].split()) < 5}
+    named = spark.createDataFrame([(1, "name the capital")], "item_id long, text string")
+    found = decontaminate.matches(frame(spark, [(1, "please name the capital of that country now"), (2, "the capital has a name")]), named)
+    assert [(r["doc_id"], r["contaminated"]) for r in found.orderBy("doc_id").collect()] == [(1, True), (2, False)]
+
+
 def test_op8_shards_give_the_same_rows(spark, monkeypatch):
     rng = random.Random(6)
     say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))

@@ -16,9 +16,10 @@ index in the tasks holds up to SHARD_BYTES of benchmark text; a larger benchmark
 each further SHARD_BYTES, with the same rows as result.
 
 Defined results: null and empty texts match nothing; items without words are not searched for; an item
-of fewer than five words is one shingle, its whole word sequence, and matches only a document of just
-these words; repeated items and rows each give their rows; other columns are ignored, whatever their
-names; an empty table on either side gives an empty result.
+of fewer than five words is one shingle, its whole word sequence, and is held by every text in which these
+words stand one after another; of very long texts every passage is a query, and long items are found by their
+parts; items of equal scores are all returned; repeated items and rows each give their rows; other columns are
+ignored, whatever their names; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from visloom.llm.rows import filtered
 from visloom.llm.textbytes import shingle_hashes, slices, utf8, word_hashes
 
 K1, B, BLOCK, RANGE, PART, SHARD_BYTES = 1.2, 0.75, 8, 2, 40, 64_000_000
-RANGES = 1_000_000  # sums in one step of a task
+ENTRIES = 1_000_000  # in one step of a task
 SLACK = 1e-9  # of sums of impacts in another order
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -68,9 +69,9 @@ class Index:
     range_most: np.ndarray
     item: np.ndarray  # by part
     ids: list
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
-    whole: list[np.ndarray]
+    question: list[tuple[int, np.ndarray]]  # words of a shingle, and the shingles
+    answer: list[tuple[int, np.ndarray]]
+    whole: list[tuple[int, np.ndarray]]
 
 
 def _hash(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +92,10 @@ def split_item(text: str, least: int = 9) -> tuple[str, str]:
     return text, text
 
 
+def _shingles(words: np.ndarray, k: int) -> np.ndarray:
+    return shingle_hashes(words, np.zeros(len(words), np.int64), 1, k)[0]
+
+
 def _parts(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(part of each word, item of each part): every item is cut into equal parts of at most PART words."""
     size = np.bincount(owner, minlength=n)
@@ -145,10 +150,10 @@ def build_index(items: list[tuple[object, str]], k: int, seen: Statistics) -> In
     ranges = np.concatenate([np.searchsorted(term[new], np.arange(len(terms))), [len(new)]])
     pieces = [split_item(t) for _, t in items]
 
-    def shingles(texts: list[str]) -> list[np.ndarray]:
+    def shingles(texts: list[str]) -> list[tuple[int, np.ndarray]]:
         h, d = _hash(texts)
-        flat, off = shingle_hashes(h, d, len(texts), k)
-        return [flat[off[i] : off[i + 1]] for i in range(len(texts))]
+        at = np.searchsorted(d, np.arange(len(texts) + 1))
+        return [(n := min(k, max(int(b - a), 1)), _shingles(h[a:b], n)) for a, b in zip(at, at[1:])]
 
     return Index(
         terms, first, part, impact, block, np.maximum.reduceat(impact, begin), part[last], np.maximum.reduceat(impact, first[:-1]), ranges, part[new] // RANGE, np.maximum.reduceat(impact, new), item,
@@ -201,15 +206,22 @@ def block_max_wand(terms: np.ndarray, index: Index, threshold: float) -> Iterato
 
 def _open_passages(start: np.ndarray, stop: np.ndarray, term: np.ndarray, index: Index, threshold: float) -> Iterator[int]:
     """The passages (terms start to stop) for which some range of parts has maxima that reach the threshold."""
-    ranges = int(index.range_of.max()) + 1
-    step = max(1, RANGES // ranges)
-    for lo in range(0, len(start), step):
-        s, t = start[lo : lo + step], term[start[lo] : stop[min(lo + step, len(start)) - 1]]
-        many = index.range_first[t + 1] - index.range_first[t]
-        entry = np.repeat(index.range_first[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        own = np.repeat(np.arange(len(s)), np.diff(np.concatenate([s - s[0], [len(t)]])))
-        sums = np.bincount(np.repeat(own, many) * ranges + index.range_of[entry], index.range_most[entry], len(s) * ranges)
-        yield from lo + np.flatnonzero(sums.reshape(len(s), ranges).max(1) >= threshold - SLACK)
+    ranges, lo = int(index.range_of.max()) + 1, 0
+    begin, many = index.range_first[term], index.range_first[term + 1] - index.range_first[term]
+    before = np.concatenate([[0], np.cumsum(many)])
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(before[stop], before[start[lo]] + ENTRIES, "right")))
+        t = slice(start[lo], stop[hi - 1])
+        entry = np.repeat(begin[t] - before[t] + before[t.start], many[t]) + np.arange(before[t.stop] - before[t.start])
+        own = np.repeat(np.arange(hi - lo), before[stop[lo:hi]] - before[start[lo:hi]])
+        # only ranges that a term of the passage is in are summed, however many the benchmark has
+        key = own * ranges + index.range_of[entry]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums = np.add.reduceat(index.range_most[entry[order]], new)
+        yield from lo + np.unique(key[new[sums >= threshold - SLACK]] // ranges)
+        lo = hi
 
 
 def candidates(words: np.ndarray, doc: np.ndarray, index: Index, threshold: float) -> np.ndarray:
@@ -272,9 +284,14 @@ def verified(column: pa.Array, index: Index, threshold: float, overlap: float, p
         found = candidates(words, doc, index, threshold)
         for d in np.unique(found[:, 0]).astype(int):
             own = words[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-            held, _ = shingle_hashes(own, np.zeros(len(own), np.int64), 1, k)
+            held: dict[int, np.ndarray] = {}
             for _, x, score in found[found[:, 0] == d]:
-                w, q, a = (float(np.isin(s[int(x)], held).mean()) for s in (index.whole, index.question, index.answer))
+                shares = []
+                for n, pieces in (s[int(x)] for s in (index.whole, index.question, index.answer)):
+                    if n not in held:
+                        held[n] = _shingles(own, n) if len(own) >= n else np.zeros(0, np.uint64)
+                    shares.append(float(np.isin(pieces, held[n]).mean()))
+                w, q, a = shares
                 yield i + d, index.ids[int(x)], float(score), w, q, a, w >= overlap and q >= part and a >= part
 
 

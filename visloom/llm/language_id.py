@@ -3,13 +3,14 @@
 Each language has a codeword; one linear classifier over hashed character n-grams predicts each bit;
 decoding picks the codeword with the smallest loss-weighted distance (logistic loss of the signed
 margins) and flags a text as ambiguous where the runner-up is close.  Learning is numpy SGD in one
-task over a bounded sample (``max_rows`` expected rows per language, chosen by a hash of id and text; twice that a language in all is a hard bound).  Up to seven languages get the
+task over a bounded sample (``max_rows`` rows per language, those whose id and text have the smallest hashes).  Up to seven languages get the
 exhaustive code (all distinct splits), more get seeded random codewords, of which the set with the
 largest least distance among some draws is taken.
 
 Defined results: a null text or one without a letter is "und" with score 1 and not ambiguous; with one learned
 language every text with a letter gets it; with none, every text is "und"; rows with null lang are
-scored but not learned from; an empty table gives an empty result.
+scored but not learned from; very long texts are scored whole; of equally near codewords the first language by name
+is taken and the text is ambiguous; rows that repeat are scored alike; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from visloom.llm.hashed_ngrams import features, means, sparse
+from visloom.llm.rows import maybe_smallest, smallest
 from visloom.llm.textbytes import slices, utf8
 
 BITS, GRAMS = 15, (2, 3)
@@ -65,16 +67,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs:
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 800) -> tuple[list[str], np.ndarray]:
-    """(languages in order, weights) from a sample of ``max_rows`` expected rows of each language."""
+    """(languages in order, weights) from the ``max_rows`` rows of each language whose id and text have the smallest hashes."""
     known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[lang_col]: r["count"] for r in known.groupBy(lang_col).count().collect()}
     langs = sorted(sizes)
     code = codewords(len(langs))
     if not langs:
         return [], np.zeros(((1 << BITS) + 1, 1), np.float32)
-    pairs = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, max_rows / sizes[k]))])
-    unit = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    sample = known.where(unit < pairs[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    key = F.xxhash64(id_col, text_col)
+    sample = known.where(maybe_smallest(F.col(lang_col), sizes, key, max_rows)).select(F.col(lang_col).alias("lang"), key.alias("k"), F.col(text_col).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +97,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         np.save(out, table)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    feats = sample.mapInArrow(extract, "lang string, k long, at binary, w binary").limit(2 * max_rows * len(langs))
+    feats = smallest(sample.mapInArrow(extract, "lang string, k long, at binary, w binary"), "lang", ["k"], max_rows)
     blob = feats.repartition(1).mapInArrow(learn, "model binary").head()
     if blob is None:
         return langs, train([], np.zeros((0, code.shape[1]), np.float32))

@@ -2,16 +2,21 @@
 
 A multinomial naive Bayes classifier over hashed words learns the label classes (quality and toxicity of the
 label table) and gives every document a posterior over these domains.  Nonnegative document rates r then minimise
-the squared distance between the expected domain token totals, sum(r * tokens * posterior), and the targets, by proximal Newton steps.
-DataFrame functions only; the fit is distributed: each step is one aggregation over (tokens, posterior) rows.
+the squared distance between the expected domain token totals, sum(r * tokens * posterior), and the targets, by accelerated
+projected gradient.  DataFrame functions only; the fit is distributed: each step is one aggregation over (tokens, posterior) rows.
 
-Rates are not stored between steps.  In the metric scaled by a document's tokens, the change of a rate in a step depends on the
-document only through its posterior, so a rate is the fold of "subtract, then cut at zero" over the step vectors so far, one
-small vector a step; each aggregation recomputes it inside the scan.
+Distances are weighed by the inverse second moment of the posteriors and changes of rates by tokens, so the gradient is 1-Lipschitz and
+a step of length 1 that leaves no rate at zero is exact.  Rates are not stored between steps.  The change of a rate in a step depends on the
+document only through its posterior, so a rate is the fold of "go on by a part of the last change, subtract, cut at zero" over the steps
+so far, a few numbers each; each aggregation recomputes it inside the scan.
+
+Where targets are out of reach, the best rates are zero for nearly all documents, and the number of gradient steps grows with the number of
+documents (2,000 steps did not prove 5,000 rows best).  What ``GRADIENT`` steps leave is therefore closed by proximal Newton steps.
 
 Defined results: null or empty texts have 0 tokens and the prior as posterior, and get a rate like any other;
 labels with a null are not learned from; without usable labels there is one domain "all" and every rate is 1;
-repeated rows count each; an empty table gives an empty result.
+very long texts count by all their words; equal rows get equal rates; of a repeated label id the first domain by name counts;
+repeated rows count each; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +27,12 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from visloom.llm.rows import maybe_smallest, smallest
 from visloom.storage import written
 
 BUCKETS, SPACES = 4096, r"[ \t-\r]+"
-NEAR = 1e-4  # weight of a step's change of rates against the squared distance
+GRADIENT = 40  # steps of projected gradient
+NEAR = 1e-4  # weight of a Newton step's change of rates against the squared distance
 
 
 def _words(text: Column) -> Column:
@@ -46,7 +53,7 @@ def domains(labels: DataFrame) -> DataFrame:
 def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> tuple[list[str], list[float], DataFrame]:
     """(domains, log priors, table of bucket and one log likelihood a domain).
 
-    Word counts come from about ``max_rows`` labelled documents a domain, chosen by a hash of the id (twice that is a
+    Word counts come from the ``max_rows`` labelled documents of each domain whose ids have the smallest hashes (a
     hard bound, so the sample is broadcast and texts stay where they are); priors come from all labels.  The table has BUCKETS rows, whatever the corpus.
     """
     lab = domains(labels)
@@ -54,8 +61,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) ->
     names = sorted(sizes)
     if not names:
         return ["all"], [0.0], docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0.0).alias("l0"))
-    share = F.coalesce(*[F.when(F.col("domain") == k, F.lit(min(1.0, max_rows / n))) for k, n in sizes.items()])
-    lab = lab.where(F.pmod(F.xxhash64("doc_id", F.lit("mixing")), F.lit(1_000_000)) / 1e6 < share).limit(2 * max_rows * len(names))
+    key = F.xxhash64("doc_id", F.lit("mixing"))
+    few = lab.where(maybe_smallest(F.col("domain"), sizes, key, max_rows)).withColumn("_key", key)
+    lab = smallest(few, "domain", ["_key", "doc_id"], max_rows).drop("_key")
     words = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("w"))
     counts = words.groupBy(_bucket(F.col("w")).alias("bucket")).agg(*[F.count(F.when(F.col("domain") == k, 1)).alias(f"c{i}") for i, k in enumerate(names)])
     counts = written(docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0), "mixing-counts")
@@ -85,11 +93,17 @@ def posteriors(docs: DataFrame, names: list[str], priors: list[float], table: Da
 
 
 def rate_after(steps: list[list[float]], n: int) -> Column:
-    """Rate of a row after these steps from 1: subtract posterior . step, cut at 0, again and again."""
-    flat = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps]) if steps else None
-    if flat is None:
+    """Rate of a row after these steps from 1, each a number b and a vector: add b times the last change, subtract posterior . vector, cut at 0."""
+    if not steps:
         return F.lit(1.0)
-    return F.aggregate(flat, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col(f"p{i}") * s[i] for i in range(n)), F.lit(0.0))))
+    flat = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+    both = lambda r, last: F.struct(r.alias("r"), last.alias("last"))
+
+    def move(at: Column, s: Column) -> Column:
+        ahead = at["r"] + s[0] * (at["r"] - at["last"])
+        return both(F.greatest(F.lit(0.0), ahead - sum((F.col(f"p{i}") * s[i + 1] for i in range(n)), F.lit(0.0))), at["r"])
+
+    return F.aggregate(flat, both(F.lit(1.0), F.lit(1.0)), move)["r"]
 
 
 def _newton(measured: Callable, first: tuple, goal: np.ndarray, ridge: np.ndarray, near: Callable) -> tuple[np.ndarray, tuple]:
@@ -118,7 +132,7 @@ def _newton(measured: Callable, first: tuple, goal: np.ndarray, ridge: np.ndarra
 
 
 def fit_rates(rows: DataFrame, n: int, targets: list[float] | None = None, tolerance: float = 1e-3, limit: int = 500) -> tuple[list[list[float]], list[float], list[float]]:
-    """(step vectors, target shares, reached shares) for rows with n_tokens and p0..pn-1.
+    """(steps as ``rate_after`` takes them, target shares, reached shares) for rows with n_tokens and p0..pn-1.
 
     Targets are shares of the present token total; by default each domain's present share to the power 0.5,
     rescaled to sum to 1.  Distances are weighed by the inverse second moment of the posteriors (one small matrix).
@@ -157,11 +171,18 @@ def fit_rates(rows: DataFrame, n: int, targets: list[float] | None = None, toler
     def measured(step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Half the mean squared rate, the shares, and the second moments of rows with a positive rate after one more step."""
         count()
-        part = rows.select("n_tokens", *[f"p{i}" for i in range(n)], rate_after([*history, (-step).tolist()], n).alias("r"))
+        part = rows.select("n_tokens", *[f"p{i}" for i in range(n)], rate_after([*history, [0.0, *(-step)]], n).alias("r"))
         r, t = F.col("r"), F.col("n_tokens")
         got = part.agg((F.sum(r * r * t) / 2).alias("half"), *[F.sum(r * t * F.col(f"p{i}")).alias(f"u{i}") for i in range(n)], *moment(F.when(r > 0, t))).head()
         return got["half"] / total, np.array([got[f"u{i}"] / total for i in range(n)]), square(got)
 
+    def shares() -> np.ndarray:
+        """After the steps so far."""
+        count()
+        part = rows.select("n_tokens", *[f"p{i}" for i in range(n)], rate_after(history, n).alias("r"))
+        got = part.agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col(f"p{i}")).alias(f"u{i}") for i in range(n)]).head()
+        return np.array([got[f"u{i}"] / total for i in range(n)])
+
     def least(ridge: np.ndarray) -> float:
         """A lower bound on half the squared distance: posteriors sum to 1, so one number makes any slope a feasible dual."""
         count()
@@ -170,11 +191,20 @@ def fit_rates(rows: DataFrame, n: int, targets: list[float] | None = None, toler
         bound = slope - top
         return float(goal @ bound - 0.5 * bound @ ridge @ bound)
 
-    now = (0.5, reached, square(base))
-    ridge = now[2] + 1e-9 * np.trace(now[2]) * np.eye(n)
+    moments = square(base)
+    ridge = moments + 1e-9 * np.trace(moments) * np.eye(n)
+    last, speed = reached, 1.0
+    while not near(reached) and len(history) < GRADIENT:
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        ahead = (speed - 1) / faster
+        slope = np.linalg.solve(ridge, reached + ahead * (reached - last) - goal)  # shares are linear in the rates
+        history.append([ahead, *slope.tolist()])
+        last, reached = reached, shares()
+        speed = 1.0 if slope @ (reached - last) > 0 else faster  # start again where the last change went uphill
+    now = None if near(reached) else measured(np.zeros(n))
     while not near(reached):
         step, now = _newton(measured, now, goal, ridge, near)
-        history.append((-step).tolist())
+        history.append([0.0, *(-step).tolist()])
         reached = now[1]
         gap = 0.5 * float((goal - reached) @ np.linalg.solve(ridge, goal - reached))
         if not near(reached) and gap - least(ridge) <= tolerance * gap:

@@ -2,14 +2,14 @@
 
 Hashed words and character n-grams, and the distances at which words recur, each have a learned vector; a
 document is the average of its vectors; a softmax layer gives the two labels.  Training is numpy stochastic gradient
-descent in one task over a bounded sample of labelled rows (``max_rows`` expected rows per label,
-chosen by a hash of the id, so it is the same at any partitioning).  A fitted model is two arrays of fixed size, so it
+descent in one task over a bounded sample of labelled rows (``max_rows`` rows per label, those whose
+ids have the smallest hashes, so it is the same at any partitioning).  A fitted model is two arrays of fixed size, so it
 travels with the tasks that score; scoring folds the output layer into the table, which is the same sum.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone; labels
 that are null or outside 0/1 are not learned from; without labelled rows of both kinds every score is
-the share of label 1 (1.0 without any label); rows that repeat are scored alike; an empty table gives
-an empty result.
+the share of label 1 (1.0 without any label); very long texts are scored whole; a score equal to the threshold
+is good; rows that repeat are scored alike; other columns are never read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visloom.llm.hashed_ngrams import features, means, sparse
-from visloom.llm.rows import filtered
+from visloom.llm.rows import filtered, maybe_smallest, smallest
 from visloom.llm.textbytes import slices, utf8
 
 BITS, DIM, GRAMS = 16, 12, (3, 4)
@@ -79,11 +79,12 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def sample(labels: DataFrame, id_col: str = "doc_id", max_rows: int = 3000) -> DataFrame:
-    """About ``max_rows`` rows of each label of (id, label), by a hash of the id; twice that in all is a hard bound a label."""
+    """The ``max_rows`` rows of each label of (id, label) whose ids have the smallest hashes."""
+    labels = labels.where("label IS NOT NULL")
     sizes = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    share = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, max_rows / n))) for k, n in sizes.items()], F.lit(0.0))
-    unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    return labels.where(unit < share).limit(2 * max_rows * max(1, len(sizes)))
+    key = F.xxhash64(F.col(id_col), F.lit("sample"))
+    few = labels.where(maybe_smallest(F.col("label"), sizes, key, max_rows)).withColumn("_key", key)
+    return smallest(few, "label", ["_key", id_col], max_rows).drop("_key")
 
 
 def fit(docs: DataFrame, sampled: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_rows: int = 20_000) -> Model:

@@ -1,11 +1,12 @@
-"""Filters that decide by row and not by id, and bitmaps that spare rows a shuffle."""
+"""Filters that decide by row and not by id, bitmaps that spare rows a shuffle, and samples by smallest hash."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 MOST_BITS, WORD = 27, 32768  # a bitmap has at most 2**MOST_BITS bits (16 MB), in rows of WORD bits
@@ -28,6 +29,22 @@ def marked(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFram
     return found.withColumn(name, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("_at", "_word", "_bits")
 
 
+def maybe_smallest(label: Column, sizes: dict, key: Column, most: int) -> Column:
+    """True for a little more than ``most`` rows of each label: all but surely it holds for the ``most`` smallest 64-bit ``key`` of each.
+
+    ``sizes`` has the number of rows of each label; keys are hashes, so their values are spread evenly whatever that number is.
+    """
+    want = most + 6 * math.sqrt(most) + 50
+    bounds = [F.lit(x) for k, n in sizes.items() if k is not None and n > want for x in (k, int(-(1 << 63) + want / n * (1 << 64)))]
+    return F.coalesce(key < F.create_map(*bounds)[label], F.lit(True)) if bounds else F.lit(True)
+
+
+def smallest(rows: DataFrame, label: str, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows of each label in this order; partitions send at most ``most`` rows a label to the task that decides."""
+    place = F.row_number().over(Window.partitionBy(label).orderBy(*order))
+    return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def filtered(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``docs`` through an Arrow function that lets rows go; columns are known to it by place, so any name will do."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
