@@ -8,12 +8,16 @@ where the setting is absent.  On a cluster without the setting, writing is an er
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_noted = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,9 +52,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd", batch: int | None = N
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
+    for tables in getattr(_noted, "lists", []):
+        tables.append(table)
     return table
 
 
+@contextmanager
+def noting() -> Iterator[list[DataFrame]]:
+    """A list of the tables that ``written`` makes in this thread meanwhile, so that they can be discarded when nothing reads them any more."""
+    _noted.lists = getattr(_noted, "lists", [])
+    tables: list[DataFrame] = []
+    _noted.lists.append(tables)
+    try:
+        yield tables
+    finally:
+        _noted.lists = [x for x in _noted.lists if x is not tables]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and that nothing will read again."""
     for table in tables:
