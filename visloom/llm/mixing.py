@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from visloom.llm.rows import maybe_smallest, smallest
-from visloom.storage import written
+from visloom.storage import discard, noting, written
 
 BUCKETS, SPACES = 4096, r"[ \t-\r]+"
 GRADIENT = 40  # steps of projected gradient
@@ -217,8 +217,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
     ``target`` and ``reached`` are the shares of ``fit_rates``, the same in each row, so that a gap which no rates close is seen.
     """
-    names, priors, table = fit_classifier(docs, labels)
+    with noting() as made:
+        names, priors, table = fit_classifier(docs, labels)
     rows = written(posteriors(docs, names, priors, table), "mixing-posteriors")
+    discard(*made)
     n = len(names)
     history, goal, reached = fit_rates(rows, n, [targets.get(k, 0.0) for k in names] if targets else None)
     out = rows.withColumn("rate", rate_after(history, n))
