@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from visloom.llm import decontaminate, exact_dedup, mixing, near_dup, quality
-from visloom.storage import written
+from visloom.storage import discard, noting, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of ``sf_dir``."""
-    docs = _table(spark, sf_dir, "documents")
+    """The last stage's rows for the documents of ``sf_dir``; what earlier stages wrote is discarded."""
+    docs, before = _table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with noting() as made:
+            found = stage(spark, docs, sf_dir)
+        docs = written(found, f"pipeline-{name}")
+        discard(*made, *before)
+        before = [docs]
     return docs
