@@ -10,8 +10,8 @@ a step of length 1 that leaves no rate at zero is exact.  Rates are not stored b
 document only through its posterior, so a rate is the fold of "go on by a part of the last change, subtract, cut at zero" over the steps
 so far, a few numbers each; each aggregation recomputes it inside the scan.
 
-Where targets are out of reach, the best rates are zero for nearly all documents, and the number of gradient steps grows with the number of
-documents (2,000 steps did not prove 5,000 rows best).  What ``GRADIENT`` steps leave is therefore closed by proximal Newton steps.
+Gradient steps get slow where the best rates are zero for most documents, above all where targets are out of reach (README has figures).
+What ``GRADIENT`` steps leave is therefore closed by proximal Newton steps.
 
 Defined results: null or empty texts have 0 tokens and the prior as posterior, and get a rate like any other;
 labels with a null are not learned from; without usable labels there is one domain "all" and every rate is 1;
