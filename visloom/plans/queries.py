@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from visloom.functions import columns as C
 from visloom.operators import fourier, gridding, projections as P, tiled, visibility as V, wavelets
-from visloom.plans import imager, solvers
+from visloom.plans import imager, solvers, sparse_lines
 from visloom.sources import channels as H, tables as T
 from visloom.storage import shared_dir, written
 from visloom.streaming.batches import process_files
@@ -696,6 +696,30 @@ def file_batches(spark, d):
     return done.withColumn("failed", F.lit(failed).cast("long"))
 
 
+@_query()
+def reconstruction_lines(spark, d):
+    """Sparse model of each channel by rounds over lines and facets, two inner solutions of a few rounds; compared with dense rounds in tests."""
+    return sparse_lines.sparse(_weighted(spark, d), 64, ["ch"], solvers.Rounds(inner=8, least=4, outer=2))
+
+
+def _smoother(pull: float) -> Callable[[np.ndarray, float], np.ndarray]:
+    """Mean over 3 x 3 pixels with zeros outside, shrunk by ``pull`` times the noise level."""
+
+    def smooth(pixels: np.ndarray, sigma: float) -> np.ndarray:
+        wide, (h, w) = np.pad(pixels, 1), pixels.shape
+        mean = sum(wide[i : i + h, j : j + w] for i in range(3) for j in range(3)) / 9
+        return np.maximum(mean - pull * sigma, 0)
+
+    return smooth
+
+
+@_query()
+def reconstruction_denoised_lines(spark, d):
+    """Rounds with a denoiser of one pixel's reach on facets, its level chosen from a shelf for each channel; compared with whole images in tests."""
+    shelf = [10.0**-i for i in range(1, 6)]
+    return sparse_lines.denoised(_weighted(spark, d), 64, shelf, _smoother(0.1), 1, ["ch"], solvers.Rounds(inner=6, least=4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
