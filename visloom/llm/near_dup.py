@@ -50,6 +50,7 @@ from visloom.llm.textbytes import mix, shingle_hashes, slices, utf8, word_hashes
 from visloom.storage import discard, written
 
 SMALL, LEAST_BAND = 16, 8
+ROWS = 1_000  # of an Arrow batch of texts
 SKETCH = 512
 FAR = 0x2545F4914F6CDD1D
 
@@ -268,7 +269,7 @@ def _meeting(rows: DataFrame, rule: Rule) -> DataFrame:
 
 def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, rk, n, sid of each row; roots (v, root) of the classes that have links)."""
-    feats = written(features(docs, rule, id_col, text_col), "near-features")
+    feats = written(features(docs, rule, id_col, text_col), "near-features", batch=ROWS)
     # one row a class: any document with this set stands for it
     shapes = written(feats.where("sketch IS NOT NULL").select("sid", "n", "rk", "sketch").dropDuplicates(["sid"]), "near-shapes")
     emitted = feats.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "sid")
@@ -293,13 +294,13 @@ def classes(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str =
     named = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text"))
     maybe = marked(named, F.col("rk"), wanted.select("rk"), "maybe").where("maybe")
     texts = written(maybe.hint("merge").join(wanted, "rk").select("sid", "text"), "near-texts")
-    roots = connected(written(linked(pairs, texts, rule), "near-links"))
+    roots = connected(written(linked(pairs, texts, rule), "near-links", batch=ROWS))
 
     at = groups.join(roots, groups["sid"] == roots["v"], "left").select("p", "sid", F.coalesce("root", "sid").alias("root"))
     several = at.groupBy("p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("p")
-    moved = written(shifted(at.join(several, "p"), texts, rule), "near-shifted")
+    moved = written(shifted(at.join(several, "p"), texts, rule), "near-shifted", batch=ROWS)
     early = written(first_elements(moved, shapes, rule), "near-first")
-    more = written(linked(_meeting(early, rule), texts, rule), "near-links")
+    more = written(linked(_meeting(early, rule), texts, rule), "near-links", batch=ROWS)
     discard(multi, members, large, groups, pairs, wanted, texts, moved, early, shapes)
     if not more.isEmpty():
         roots = _joined(roots, more)
