@@ -15,6 +15,9 @@ from visloom.llm import decontaminate, exact_dedup, mixing, near_dup, quality
 from visloom.storage import discard, noting, written
 
 
+ROWS = 1_000  # of an Arrow batch of documents
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,7 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         with noting() as made:
             found = stage(spark, docs, sf_dir)
-        docs = written(found, f"pipeline-{name}")
+        docs = written(found, f"pipeline-{name}", batch=ROWS)
         discard(*made, *before)
         before = [docs]
     return docs
