@@ -336,3 +336,61 @@ def test_parameters_fall_back(tmp_path):
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "c.json"), {"algorithm": "none"})
     assert config.prefix("usara", "a", run=2) == "a_usara_run_2"
+
+
+def test_blocks_of_images_equal_joins_on_odd_images(spark, monkeypatch):
+    """Null, missing, infinite and repeated pixels, a null id and images cut by Arrow batches: the same rows as by joins."""
+    rng, rows = np.random.default_rng(3), []
+    for k in [*range(12), None]:
+        rows += [(k, y, x, float(v)) for (y, x), v in np.ndenumerate(rng.normal(size=(8, 8)))]
+    rows = [r for r in rows if not (r[0] == 2 and r[1] < 5) and not (r[0] == 3 and r[1:3] != (7, 0))]
+    rows = [(k, y, x, None if (k == 4 and y > 2) or k == 5 else math.inf if (k, y, x) == (6, 3, 3) else v) for k, y, x, v in rows]
+    rows += [r for r in rows if r[0] == 7] + [(8, 1, 1, 0.5)]
+    long = spark.createDataFrame(rows, "vec_id long, y int, x int, v double").repartition(3)
+    orders, size = [1, 2, 5], 8
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    weight = lambda y, x: 1 + 0.37 * y + 0.11 * x
+    digest = lambda words: words.groupBy("vec_id", "basis", "level", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") ** 2).alias("energy"), F.sum(F.col("v") * weight(F.col("y"), F.col("x"))).alias("moment"))
+
+    def collected(df):
+        values = [c for c, t in df.dtypes if t == "double"]
+        found = [(tuple(r[c] for c in sorted(df.columns) if c not in values), tuple(r[c] for c in values)) for r in df.collect()]
+        assert len({k for k, _ in found}) == len(found)
+        return dict(found)
+
+    def same(a, b):
+        assert set(a) == set(b)
+        for k, left in a.items():
+            for one, two in zip(left, b[k]):
+                assert (one is None) == (two is None) and (one is None or one == two or (math.isnan(one) and math.isnan(two)) or abs(one - two) < 1e-11), (k, left, b[k])
+
+    def plain(images, levels, mode):
+        """Rows of every coefficient, by joins with the taps."""
+        monkeypatch.setattr(wavelets, "WHOLE", 0)
+        words = wavelets.dictionary(images, size, levels, orders, mode)
+        found = collected(wavelets.analysis(images, orders, size, levels, mode)), collected(digest(words))
+        cut = wavelets.from_dictionary(words.withColumn("v", C.soft(F.col("v"), 0.1)), size, levels, orders, mode)
+        found = *found, collected(cut), collected(wavelets.synthesis(words, orders, size, levels, mode))
+        monkeypatch.undo()
+        return found
+
+    try:
+        for mode, levels in (("periodic", 2), ("zero", 2)):
+            analysed, sums, cut, back = plain(long, levels, mode)
+            same(collected(wavelets.analysis(long, orders, size, levels, mode)), analysed)
+            same(collected(wavelets.band_sums(long, size, levels, orders, mode, weight)), sums)
+            same(collected(wavelets.thresholded(long, size, levels, orders, 0.1, mode)), cut)
+            words = wavelets.dictionary(long, size, levels, orders, mode)
+            same(collected(wavelets.synthesis(words, orders, size, levels, mode)), back)
+            unscaled = {k: tuple(None if v is None else v / 2 for v in vs) for k, vs in collected(wavelets.resynthesised(long, orders, size, levels, mode)).items()}
+            same(unscaled, back)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_coefficients_of_images_are_no_shuffled_rows(spark):
+    """A band's sums and thresholded images come from one shuffle of pixels and one of results, without joins."""
+    images = T.images(spark, "/root/testdata/sf0.001")
+    for found in (wavelets.band_sums(images, 8, 4, [1, 8], "zero"), wavelets.thresholded(images, 8, 4, [1, 8], 0.02, "zero"), wavelets.resynthesised(images, [2, 5], 8)):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Join") == 0 and plan.count("Aggregate") <= 2

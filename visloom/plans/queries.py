@@ -326,9 +326,9 @@ def _levels_sql(levels: int, mode: str) -> str:
     return ", ".join(parts) + f", words AS ({' UNION ALL '.join(found)})"
 
 
-def _digest(words: DataFrame) -> DataFrame:
+def _digest(images: DataFrame, levels: int, mode: str) -> DataFrame:
     """Energy and a moment that tells every coefficient's place, by image, basis, level and band."""
-    return words.groupBy("vec_id", "basis", "level", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") ** 2).alias("energy"), F.sum(F.col("v") * (1 + 0.37 * F.col("y") + 0.11 * F.col("x"))).alias("moment"))
+    return wavelets.band_sums(images, 8, levels, list(range(1, 9)), mode, lambda y, x: 1 + 0.37 * y + 0.11 * x)
 
 
 _DIGEST = "SELECT vec_id, basis, level, band, count(*) AS n, sum(v*v)/9 AS energy, sum(v*(1 + 0.37e0*y + 0.11e0*x))/3 AS moment FROM words GROUP BY 1, 2, 3, 4"
@@ -337,13 +337,14 @@ _DIGEST = "SELECT vec_id, basis, level, band, count(*) AS n, sum(v*v)/9 AS energ
 @_query(f"WITH {_IMG}, {_levels_sql(3, 'periodic')} {_DIGEST}", "energy moment", "vec_id basis level band n")
 def dictionary_energy(spark, d):
     """Periodised coefficients of db1 to db8 and the Dirac basis."""
-    return _digest(wavelets.dictionary(T.images(spark, d), 8, 3, list(range(1, 9))))
+    words = wavelets.dictionary(T.images(spark, d), 8, 3, list(range(1, 9)))
+    return words.groupBy("vec_id", "basis", "level", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") ** 2).alias("energy"), F.sum(F.col("v") * (1 + 0.37 * F.col("y") + 0.11 * F.col("x"))).alias("moment"))
 
 
 @_query(f"WITH {_IMG}, {_levels_sql(4, 'zero')} {_DIGEST}", "energy moment", "vec_id basis level band n")
 def dictionary_zero_mode(spark, d):
     """The same with zeros outside the image, four levels."""
-    return _digest(wavelets.dictionary(T.images(spark, d), 8, 4, list(range(1, 9)), "zero"))
+    return _digest(T.images(spark, d), 4, "zero")
 
 
 @_query()
