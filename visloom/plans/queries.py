@@ -350,8 +350,7 @@ def dictionary_zero_mode(spark, d):
 @_query()
 def wavelet_thresholded(spark, d):
     """Soft threshold of all zero-mode coefficients and synthesis summed over bases; compared with plain loops in tests."""
-    words = wavelets.dictionary(T.images(spark, d), 8, 4, list(range(1, 9)), "zero").withColumn("v", C.soft(F.col("v"), 0.02))
-    return wavelets.from_dictionary(words, 8, 4, list(range(1, 9)), "zero")
+    return wavelets.thresholded(T.images(spark, d), 8, 4, list(range(1, 9)), 0.02, "zero")
 
 
 @_query(f"WITH {_IMG} SELECT vec_id, CAST(o AS INT) AS basis, y, x, v FROM img, (SELECT unnest([2, 5]) AS o)", "v", "vec_id basis y x")
