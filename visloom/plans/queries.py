@@ -337,8 +337,7 @@ _DIGEST = "SELECT vec_id, basis, level, band, count(*) AS n, sum(v*v)/9 AS energ
 @_query(f"WITH {_IMG}, {_levels_sql(3, 'periodic')} {_DIGEST}", "energy moment", "vec_id basis level band n")
 def dictionary_energy(spark, d):
     """Periodised coefficients of db1 to db8 and the Dirac basis."""
-    words = wavelets.dictionary(T.images(spark, d), 8, 3, list(range(1, 9)))
-    return words.groupBy("vec_id", "basis", "level", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") ** 2).alias("energy"), F.sum(F.col("v") * (1 + 0.37 * F.col("y") + 0.11 * F.col("x"))).alias("moment"))
+    return _digest(T.images(spark, d), 3, "periodic")
 
 
 @_query(f"WITH {_IMG}, {_levels_sql(4, 'zero')} {_DIGEST}", "energy moment", "vec_id basis level band n")
