@@ -354,7 +354,7 @@ def wavelet_thresholded(spark, d):
 
 @_query(f"WITH {_IMG} SELECT vec_id, CAST(o AS INT) AS basis, y, x, v FROM img, (SELECT unnest([2, 5]) AS o)", "v", "vec_id basis y x")
 def wavelet_round_trip(spark, d):
-    return wavelets.synthesis(wavelets.analysis(T.images(spark, d), [2, 5], 8, 1), [2, 5], 8)
+    return wavelets.resynthesised(T.images(spark, d), [2, 5], 8)
 
 
 _PAD = "img AS (SELECT vec_id, i, CAST(embedding[i+1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS i)), places AS (SELECT unnest(range(-3, 68)) AS a), src AS (SELECT a, 'zero' AS mode, a AS s FROM places UNION ALL SELECT a, 'constant', greatest(0, least(63, a)) FROM places UNION ALL SELECT a, 'periodic', (a+64) % 64 FROM places UNION ALL SELECT a, 'symmetric', CASE WHEN a < 0 THEN -1-a WHEN a > 63 THEN 127-a ELSE a END FROM places UNION ALL SELECT a, 'reflect', CASE WHEN a < 0 THEN -a WHEN a > 63 THEN 126-a ELSE a END FROM places)"
