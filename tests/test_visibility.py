@@ -394,3 +394,17 @@ def test_coefficients_of_images_are_no_shuffled_rows(spark):
     for found in (wavelets.band_sums(images, 8, 4, [1, 8], "zero"), wavelets.thresholded(images, 8, 4, [1, 8], 0.02, "zero"), wavelets.resynthesised(images, [2, 5], 8)):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("Join") == 0 and plan.count("Aggregate") <= 2
+
+
+def test_averaging_shuffles_sums_and_no_rows(spark):
+    """Whatever is shuffled was summed in the task that read it; a null coordinate has no part in a mean."""
+    vis = spark.createDataFrame([(0, 1, t, c, 10.0 if t else None, 0.0, 0.0, 2.0 * t, 1.0, 1.0 + c, False) for t in range(2) for c in range(2)] + [(0, 2, 0, 0, None, 30.0, 0.0, 1.0, 1.0, 1.0, False)], "ant1 int, ant2 int, t int, ch int, u_m double, v_m double, w_m double, re double, im double, nw double, flagged boolean")
+    factors = spark.createDataFrame([(0, 1, 2, 2), (0, 2, 1, 1)], "ant1 int, ant2 int, n_t int, n_f int")
+    found = V.averaged(vis, factors.groupBy("ant1", "ant2").agg(F.max("n_t").alias("n_t"), F.max("n_f").alias("n_f")), T.channels(spark), 2, 2)
+    plan = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if " Sort [" not in x]
+    under = [b for a, b in zip(plan, plan[1:]) if "Exchange hashpartitioning" in a]
+    assert under and all("Aggregate" in x for x in under)
+    got = {r["ant2"]: r for r in found.collect()}
+    u = 10 * sum(f for c, f in T.CHANNELS[:2]) / 2 / T.LIGHT
+    assert got[1]["n"] == 4 and got[1]["u"] == pytest.approx(u) and got[1]["re"] == pytest.approx(1.0) and got[1]["nw"] == pytest.approx(math.sqrt(10)) and got[1]["sum_re"] == 4
+    assert got[2]["u"] is None and got[2]["v"] == pytest.approx(30 * T.CHANNELS[0][1] / T.LIGHT) and got[2]["n"] == 1

@@ -16,8 +16,11 @@ def unflagged(vis: DataFrame) -> DataFrame:
 
 
 def in_wavelengths(vis: DataFrame, channels: DataFrame) -> DataFrame:
-    """Adds u, v, w in wavelengths of the row's channel; the channel table is one row a channel of the instrument."""
-    rows = vis.join(channels, "ch")
+    """Adds u, v, w in wavelengths of the row's channel; the channel table is one row a channel of the instrument, and is broadcast.
+
+    Shuffled by channel, all rows would meet in as many tasks as there are channels.
+    """
+    rows = vis.join(F.broadcast(channels), "ch")
     return rows.withColumns({a: C.wavelengths(F.col(f"{a}_m"), F.col("freq_hz")) for a in "uvw"})
 
 
@@ -60,16 +63,21 @@ def averaging_factors(vis: DataFrame, max_t: int, max_f: int, spacing_hz: float
 def averaged(vis: DataFrame, factors: DataFrame, channels: DataFrame, snapshots: int, n_channels: int) -> DataFrame:
     """Averaging bins of unflagged rows: unweighted mean coordinates, sums, weighted mean visibility, natural weight.
 
-    The factors have one row a pair of antennas and follow the pair through an ordinary join, which is broadcast when small.
+    Rows are summed by pair, snapshot and channel first, in each task before they are shuffled, and the sums meet the factors of their
+    pair: a task has sums where the join would have it sort the rows of a few pairs.
     """
-    rows = in_wavelengths(unflagged(vis), channels).join(factors.select("ant1", "ant2", "n_t", "n_f"), ["ant1", "ant2"])
-    rows = rows.withColumns({"t_bin": F.floor(F.col("t") / F.col("n_t")).cast("int"), "f_bin": F.floor(F.col("ch") / F.col("n_f")).cast("int")})
     w = F.col("nw") * F.col("nw")
+    parts = {"u": F.col("u"), "v": F.col("v"), "re": F.col("re"), "im": F.col("im"), "w_re": w * F.col("re"), "w_im": w * F.col("im"), "w": w}
+    sums = [F.count(F.lit(1)).alias("n"), F.count("u").alias("n_u"), F.count("v").alias("n_v"), *[F.sum(c).alias(f"s_{k}") for k, c in parts.items()]]
+    rows = in_wavelengths(unflagged(vis), channels).groupBy("ant1", "ant2", "t", "ch").agg(*sums)
+    rows = rows.join(factors.select("ant1", "ant2", "n_t", "n_f"), ["ant1", "ant2"])
+    rows = rows.withColumns({"t_bin": F.floor(F.col("t") / F.col("n_t")).cast("int"), "f_bin": F.floor(F.col("ch") / F.col("n_f")).cast("int")})
+    total = lambda k: F.sum(f"s_{k}")
     return (
         rows.groupBy("ant1", "ant2", "f_bin", "t_bin", "n_t", "n_f")
         .agg(
-            F.count(F.lit(1)).alias("n"), F.avg("u").alias("u"), F.avg("v").alias("v"), F.sum("re").alias("sum_re"), F.sum("im").alias("sum_im"),
-            (F.sum(w * F.col("re")) / F.sum(w)).alias("re"), (F.sum(w * F.col("im")) / F.sum(w)).alias("im"), F.sqrt(F.sum(w)).alias("nw"),
+            F.sum("n").alias("n"), F.try_divide(total("u"), F.sum("n_u")).alias("u"), F.try_divide(total("v"), F.sum("n_v")).alias("v"), total("re").alias("sum_re"), total("im").alias("sum_im"),
+            (total("w_re") / total("w")).alias("re"), (total("w_im") / total("w")).alias("im"), F.sqrt(total("w")).alias("nw"),
         )
         .withColumns({
             "t_start": F.col("t_bin") * F.col("n_t"), "t_end": F.least((F.col("t_bin") + 1) * F.col("n_t"), F.lit(snapshots)),
