@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from visloom.functions import columns as C
 from visloom.operators import fourier, gridding, visibility as V, wavelets
-from visloom.plans import config, imager, solvers
+from visloom.plans import config, imager, queries as plans, solvers
 from visloom.sources import channels as H, fits, tables as T
 from visloom.streaming.averaging import averaged_stream
 
@@ -408,3 +408,13 @@ def test_averaging_shuffles_sums_and_no_rows(spark):
     u = 10 * sum(f for c, f in T.CHANNELS[:2]) / 2 / T.LIGHT
     assert got[1]["n"] == 4 and got[1]["u"] == pytest.approx(u) and got[1]["re"] == pytest.approx(1.0) and got[1]["nw"] == pytest.approx(math.sqrt(10)) and got[1]["sum_re"] == 4
     assert got[2]["u"] is None and got[2]["v"] == pytest.approx(30 * T.CHANNELS[0][1] / T.LIGHT) and got[2]["n"] == 1
+
+
+def test_no_shuffle_by_channel(spark):
+    """A table of a few channels, whose size Spark does not know, meets the rows where they are."""
+    vis = T.visibilities(spark, "/root/testdata/sf0.001")
+    main = vis.select(F.monotonically_increasing_id().alias("row"), "t", "ant1", "ant2", "u_m", "v_m", "w_m")
+    rows = vis.select(F.monotonically_increasing_id().alias("row"), "ch", "re", "im", "nw", "flagged")
+    for found in (V.in_wavelengths(vis, T.channels(spark)), H.with_geometry(rows, main, T.channels(spark))):
+        assert "hashpartitioning(ch" not in found._jdf.queryExecution().executedPlan().toString()
+    assert plans.queries()["bda_image_error"](spark, "/root/testdata/sf0.001").first()["n_full"] == vis.where("NOT flagged").count()

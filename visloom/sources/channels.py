@@ -103,13 +103,14 @@ def frequencies(spark: SparkSession, first_hz: float, step_hz: float, count: int
 def with_geometry(rows: DataFrame, main: DataFrame, freqs: DataFrame) -> DataFrame:
     """Unflagged channel rows with u, v, w in wavelengths, the weight 1 where none is stored, and w = 0 where the main file has none.
 
-    Flags are applied before the join, and only used columns reach it.  Rows whose key the main file lacks are left out.
+    Flags are applied before the join, and only used columns reach it.  Rows whose key the main file lacks are left out.  The
+    channels, one row each, are broadcast: shuffled by channel, all rows would meet in a few tasks.
     """
     if "w_m" not in main.columns:
         main = main.withColumn("w_m", F.lit(0.0))
     nw = F.coalesce(F.col("nw"), F.lit(1.0)) if "nw" in rows.columns else F.lit(1.0)
     kept = rows.where("NOT flagged").select("row", "ch", "re", "im", nw.alias("nw"))
-    joined = kept.join(main.select("row", "t", "ant1", "ant2", "u_m", "v_m", "w_m"), "row").join(freqs, "ch")
+    joined = kept.join(main.select("row", "t", "ant1", "ant2", "u_m", "v_m", "w_m"), "row").join(F.broadcast(freqs), "ch")
     return joined.withColumns({a: C.wavelengths(F.coalesce(f"{a}_m", F.lit(0.0)), F.col("freq_hz")) for a in "uvw"}).drop("u_m", "v_m", "w_m")
 
 
