@@ -133,3 +133,28 @@ def test_norms_against_dense_eigenvalues(spark):
         assert found[key]["settled"] and found[key]["rounds"] <= 36
     short = tiled.operator_norms(vis, side, ["ch"], tolerance=1e-12, most=2).collect()
     assert not any(r["settled"] for r in short) and all(r["rounds"] == 2 for r in short)
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 20])
+def test_rows_are_spread_in_their_batch(spark, monkeypatch, dense):
+    """Sums by cell equal the definition for null keys, rows without a number and several chunks; no row is made for a row's cell."""
+    monkeypatch.setattr(gridding, "DENSE", dense)
+    monkeypatch.setattr(gridding, "CHUNK", 40)
+    rng = np.random.default_rng(5)
+    rows = [(k, f"p{i % 2}", *map(float, rng.uniform(-4, 4, 2)), *map(float, rng.normal(size=2)), float(rng.uniform(0.5, 2))) for i in range(150) for k in [(0, 1, None)[i % 3]]]
+    bad = [(0, "p0", None, 0.0, 1.0, 1.0, 1.0), (0, "p0", math.nan, 0.0, 1.0, 1.0, 1.0), (1, "p1", 0.0, 0.0, None, 1.0, 1.0)]
+    vis = spark.createDataFrame(rows + bad, "ch int, pol string, u double, v double, re double, im double, weight double").repartition(2)
+    found = gridding.spread(vis, 8, ["ch", "pol"])
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    want: dict[tuple, np.ndarray] = {}
+    for ch, pol, u, v, re, im, w in rows:
+        at = [x * 16 / (2 * math.pi) for x in (v, u)]
+        for j in range(gridding.WIDTH):
+            for i in range(gridding.WIDTH):
+                cell = [math.ceil(at[0] - gridding.WIDTH / 2) + j, math.ceil(at[1] - gridding.WIDTH / 2) + i]
+                k = w * float(np.prod([gridding._bell(np.array((a - c) * (2 / gridding.WIDTH))) for a, c in zip(at, cell)]))
+                key = (ch, pol, cell[0] % 16, cell[1] % 16)
+                want[key] = want.get(key, np.zeros(4)) + k * np.array([re, im, 1.0, w])
+    got = {(r["ch"], r["pol"], r["gy"], r["gx"]): np.array([r["re"], r["im"], r["weight"], r["square"]]) for r in found.collect()}
+    assert set(got) == set(want) and max(abs(got[k] - want[k]).max() for k in want) < 1e-12
+    assert gridding.spread(vis.where("ch > 5"), 8, ["ch", "pol"]).count() == 0

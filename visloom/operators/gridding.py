@@ -1,6 +1,6 @@
 """Gridded Fourier sums: each visibility is spread over a few cells of an oversampled grid.
 
-The adjoint spreads rows with built-in expressions and groups by cell, so partial sums leave each task and the work is
+The adjoint spreads rows in Arrow batches and groups by cell, so partial sums leave each task and the work is
 rows x WIDTH squared whatever the image's size; one FFT of the summed grid and a division by the kernel's own transform give the image.
 The forward map goes the other way: the transformed model, at most (OVER * MAX_SIDE) squared cells, is broadcast and
 rows gather their cells without a shuffle.  With width 7 and twofold oversampling the relative error is below 1e-5.
@@ -20,6 +20,8 @@ MAX_SIDE = 1024
 OVER = 2
 WIDTH = 7
 BETA = 2.3 * WIDTH
+CHUNK = 65_536  # rows that are spread together
+DENSE = 1 << 20  # cells of a chunk's keys that are summed as whole grids
 
 
 def _bell(z: np.ndarray) -> np.ndarray:
@@ -27,10 +29,6 @@ def _bell(z: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= 1, np.exp(BETA * (np.sqrt(np.maximum(0, 1 - z * z)) - 1)), 0.0)
 
 
-def bell(z: Column) -> Column:
-    return F.when(F.abs(z) <= 1, F.exp(F.lit(BETA) * (F.sqrt(F.greatest(F.lit(0.0), 1 - z * z)) - 1))).otherwise(0.0)
-
-
 def transform_of_bell(side: int) -> np.ndarray:
     """The kernel's transform at the pixels -side//2 ... of one axis."""
     nodes, weights = np.polynomial.legendre.leggauss(80)
@@ -52,18 +50,84 @@ def spread(vis: DataFrame, side: int, keys: list[str] = []) -> DataFrame:
 
     ``square`` sums the squared weights, for the norm of the operator that is weighted twice.
 
-    Rows with a null take no part.  Cells wrap around, as the grid is periodic.
+    Rows with a null take no part.  Cells wrap around, as the grid is periodic.  A task spreads CHUNK rows at a time and sums what falls
+    into one cell; only the sums of the cells that were met become rows, which are grouped by cell.
     """
     cells = _checked(side, math.inf)
-    taps = F.sequence(F.lit(0), F.lit(WIDTH - 1))
-    at = lambda a: F.col(a) * (cells / (2 * math.pi))
-    first = lambda a: F.ceil(at(a) - WIDTH / 2)
     rows = vis.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("u", "v", "re", "im", "weight")]).na.drop(subset=["u", "v", "re", "im", "weight"])
-    for a, g in (("v", "gy"), ("u", "gx")):
-        cell = first(a) + F.col("tap")
-        rows = rows.select("*", F.explode(taps).alias("tap")).select("*", F.pmod(cell, F.lit(cells)).cast("int").alias(g), bell((at(a) - cell) * (2 / WIDTH)).alias(f"k{g}")).drop("tap")
-    times = F.col("kgy") * F.col("kgx") * F.col("weight")
-    return rows.groupBy(*keys, "gy", "gx").agg(F.sum(times * F.col("re")).alias("re"), F.sum(times * F.col("im")).alias("im"), F.sum(times).alias("weight"), F.sum(times * F.col("weight")).alias("square"))
+    names = [*keys, "gy", "gx", "re", "im", "weight", "square"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches):
+            columns = [table.column(i).chunk(0) for i in range(table.num_columns)]
+            first, group = _groups(columns[: len(keys)], table.num_rows)
+            to, sums = _cell_sums(group, len(first), *(c.to_numpy() for c in columns[len(keys) :]), cells)
+            for s in range(0, len(to), CHUNK):
+                own, cell = np.divmod(to[s : s + CHUNK], cells * cells)
+                place = [pa.array(a.astype(np.int32)) for a in np.divmod(cell, cells)]
+                same = [c.take(pa.array(first[own])) for c in columns[: len(keys)]]
+                yield pa.RecordBatch.from_arrays([*same, *place, *(pa.array(x[s : s + CHUNK]) for x in sums)], names)
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "gy int, gx int, re double, im double, weight double, square double"])
+    return rows.mapInArrow(run, schema).groupBy(*keys, "gy", "gx").agg(*[F.sum(c).alias(c) for c in names[-4:]])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of at least CHUNK rows, but for the last one, of one chunk a column."""
+    held, rows = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            rows += b.num_rows
+        if rows >= CHUNK:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _groups(keys: list[pa.Array], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct key, and the number of each row's key."""
+    code = np.zeros(rows, np.int64)
+    for k in keys:
+        own = k.dictionary_encode(null_encoding="encode")
+        _, code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)
+    _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    return first, group
+
+
+def _cell_sums(group: np.ndarray, groups: int, u: np.ndarray, v: np.ndarray, re: np.ndarray, im: np.ndarray, weight: np.ndarray, cells: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places (group, gy, gx as one number) that rows reach, and their sums of kernel times re, im, weight and its square."""
+    size, step = groups * cells * cells, CHUNK // 4
+    dense = size <= DENSE
+    found: list[tuple[np.ndarray, list[np.ndarray]]] = []
+    met, total = (np.zeros(size, bool), [np.zeros(size) for _ in range(4)]) if dense else (None, [])
+    for s in range(0, len(u), step):
+        part = np.arange(s, min(s + step, len(u)))
+        part = part[np.isfinite(u[part]) & np.isfinite(v[part])]
+        at, bells = [], []
+        for a in (v[part], u[part]):
+            where = a * (cells / (2 * math.pi))
+            near = np.ceil(where - WIDTH / 2)[:, None] + np.arange(WIDTH)
+            at.append(np.mod(near, cells).astype(np.int64))
+            bells.append(_bell((where[:, None] - near) * (2 / WIDTH)))
+        to = ((group[part] * cells)[:, None, None] + at[0][:, :, None]) * cells + at[1][:, None, :]
+        with np.errstate(invalid="ignore", over="ignore"):
+            times = bells[0][:, :, None] * bells[1][:, None, :] * weight[part][:, None, None]
+            values = [(times if x is None else times * x[part][:, None, None]).ravel() for x in (re, im, None, weight)]
+        if dense:
+            met[to.ravel()] = True
+            for t, x in zip(total, values):
+                t += np.bincount(to.ravel(), x, size)
+        else:
+            places, number = np.unique(to.ravel(), return_inverse=True)
+            found.append((places, [np.bincount(number, x, len(places)) for x in values]))
+    if dense:
+        places = np.flatnonzero(met)
+        return places, [t[places] for t in total]
+    places, number = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return places, [np.bincount(number, np.concatenate([f[1][i] for f in found]), len(places)) for i in range(4)]
 
 
 def image_of(cells: pd.DataFrame, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
